@@ -10,7 +10,9 @@ function of what its marginals add up to.
 
 from __future__ import annotations
 
+import heapq
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -125,27 +127,59 @@ def summary(p: np.ndarray, doc_stops: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum(take(sums), 6), 1 - none, 1 - none - one, np.ones(len(doc_stops))], 1)
 
 
-def _fit_field(rows: list[tuple[list[str], bool]], rounds: int = 120, margin: float = 3.0, least: int = 6) -> tuple[dict[str, float], float, np.ndarray]:
-    """Weights, bias and transitions from documents (tokens, toxic?)."""
+def distinct_families(rows: list[tuple[list[str], bool]], size: int = 16, shared: int = 5) -> list[tuple[list[str], bool]]:
+    """One document of each family of copies: those that share few of their least word hashes with any before.
+
+    A sample drawn from a corpus with copies would else take a copied document's chance words
+    for signs of its label.
+    """
+    posted: dict[int, list[int]] = {}
+    out = []
+    for tokens, toxic in rows:
+        least = heapq.nsmallest(size, {zlib.crc32(w.encode()) * 0x9E3779B1 % 2**32 for w in tokens if len(w) > 4})
+        met = Counter(i for h in least for i in posted.get(h, ()))
+        if least and met and met.most_common(1)[0][1] >= min(shared, len(least)):
+            continue
+        for h in least:
+            posted.setdefault(h, []).append(len(out))
+        out.append((tokens, toxic))
+    return out
+
+
+def _signs(rows: list[tuple[list[str], bool]], least_lift: float = 2.5, least_g: float = 35.0) -> tuple[set[str], set[str]]:
+    """Features surely likelier in toxic documents (log-likelihood ratio and lift), and all frequent ones."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     size = [0, 0]
     for tokens, toxic in rows:
         size[toxic] += 1
         seen[toxic].update({f for w in set(tokens) for f in features(w)})
-    lift = {f: np.log((c + 0.5) / (size[1] + 1)) - np.log((seen[0][f] + 0.5) / (size[0] + 1)) for f, c in seen[1].items() if c >= least}
-    seeds = {f for f, x in lift.items() if x >= margin}
-    kept = {f for s in seen for f, c in s.items() if c >= least}
+    seeds = set()
+    if all(size):
+        for f, c1 in seen[1].items():
+            c0 = seen[0][f]
+            lift = np.log((c1 + 0.5) / (size[1] + 1)) - np.log((c0 + 0.5) / (size[0] + 1))
+            mean = (c0 + c1) / sum(size)
+            g = 2 * (c1 * np.log(c1 / (size[1] * mean)) + (c0 * np.log(c0 / (size[0] * mean)) if c0 else 0))
+            if lift >= least_lift and g >= least_g:
+                seeds.add(f)
+    return seeds, {f for s in seen for f, c in s.items() if c >= 6}
+
+
+def _fit_field(rows: list[tuple[list[str], bool]], rounds: int = 80) -> tuple[dict[str, float], float, np.ndarray]:
+    """Weights, bias and transitions from documents (tokens, toxic?)."""
+    rows = distinct_families(rows)
+    seeds, kept = _signs(rows)
     index = {f: i for i, f in enumerate(sorted(kept))}
     rng = np.random.default_rng(0)
     chains: list[tuple[list[str], list[int]]] = []
     for tokens, toxic in rows:
         known = {w: any(f in seeds for f in features(w)) for w in set(tokens)}
-        hits = [i for i, w in enumerate(tokens) if known[w]][:40]
+        hits = [i for i, w in enumerate(tokens) if known[w]][:12]
         spots = hits or (rng.integers(0, len(tokens), 3).tolist() if tokens else [])
         for i in spots:
             a, b = max(0, i - REACH), min(len(tokens), i + REACH + 1)
             chains.append((tokens[a:b], [int(toxic and known[w]) for w in tokens[a:b]]))
-    if not chains or not size[1] or not size[0]:
+    if not seeds:
         return {}, -6.0, np.zeros((2, 2))
     width = 2 * REACH + 1
     length = np.array([len(c) for c, _ in chains])
