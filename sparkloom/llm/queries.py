@@ -18,6 +18,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fmindex import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
