@@ -24,6 +24,12 @@ def op2_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixmerge import byte_dedup
+
+    return byte_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
