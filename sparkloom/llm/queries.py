@@ -24,6 +24,12 @@ def op2_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collisions import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixmerge import byte_dedup
 
