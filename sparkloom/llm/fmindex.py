@@ -197,3 +197,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges = repeated_windows(rows.where("id is not null and text is not null"), u, repeated_in_shards, scratch)
     out = remove(rows, ranges, u, with_text)
     return out.withColumnsRenamed({"id": "doc_id", "n_symbols": "n_words"}).drop("n_spans")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs``, all columns, with the words removed that earlier documents' windows cover.
+
+    A text that loses words is its kept words joined by one space, and its length follows; a
+    text that loses none stays as it is. No row is dropped.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct("*").alias("row"))
+    u = unit()
+    ranges = repeated_windows(rows.select("id", "text").where("id is not null and text is not null"), u, repeated_in_shards, scratch)
+    out = remove(rows.withColumn("row", F.col("row").dropFields(text_col)), ranges, u, True, True)
+    text = {text_col: F.col("kept_text"), length_col: F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col(f"row.{length_col}"))}
+    return out.select(*(text.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))

@@ -282,3 +282,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     out = scanned.drop("sig").join(named, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with one document of each near-duplicate component: the one with the least id. Rows with a null id stay."""
+    found = near_duplicates(docs, size, percent, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id"))
+    found = Scratch(docs.sparkSession).keep(found, "kept")
+    return docs.join(found, docs[id_col] == found["kept_id"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))

@@ -162,11 +162,12 @@ def by_content(segs: DataFrame, unit: Unit) -> DataFrame:
     return hit.select("id", "tag", "first", (F.col("first") + 1).alias("stop"))
 
 
-def remove(docs: DataFrame, ranges: DataFrame, unit: Unit, with_text: bool = False) -> DataFrame:
+def remove(docs: DataFrame, ranges: DataFrame, unit: Unit, with_text: bool = False, as_was: bool = False) -> DataFrame:
     """``docs`` (id, text, and any others) with what the windows in ``ranges`` cover removed.
 
     Adds n_symbols, n_removed, n_spans and kept_sha256, and kept_text if asked for. Kept
-    words are joined by one space, kept bytes concatenated.
+    words are joined by one space, kept bytes concatenated; with ``as_was`` the kept text of a
+    document that loses nothing is its text, null or not.
     """
     spans = ranges.groupBy("id").agg(F.collect_list(F.struct("tag", "first", "stop")).alias("spans"))
     names = [c for c in docs.columns if c != "id"]
@@ -201,9 +202,13 @@ def remove(docs: DataFrame, ranges: DataFrame, unit: Unit, with_text: bool = Fal
                     cols["n_removed"].append(int(out.sum()))
                     cols["n_spans"].append(int((out & ~np.concatenate([[False], out[:-1]])).sum()) if n else 0)
                     cols["kept_sha256"].append(hashlib.sha256(raw).hexdigest())
-                    if with_text:
+                    if with_text and as_was and not out.any():
+                        cols["kept_text"].append(batch["text"][int(rows[i])].as_py())
+                    elif with_text:
                         cols["kept_text"].append(raw.decode("utf-8", "replace"))
-                if not with_text:
+                if with_text:
+                    cols["kept_text"] = pa.array(cols["kept_text"], pa.string())
+                else:
                     cols.pop("kept_text")
                 own = batch.slice(int(rows[0]), len(rows))
                 yield _batch({c: own[c] for c in order} | cols)

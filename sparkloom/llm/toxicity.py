@@ -249,6 +249,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 5000) -> Model:
     return model
 
 
+PART = 400  # documents scored at a time
+
+
+def score_texts(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of texts, P(toxic) of all their tokens one after the other, and where each text's tokens stop."""
+    words = [_TOKEN.findall(t) for t in texts]
+    stops = np.cumsum([len(w) for w in words])
+    have, emit = model.cache.get, model.emission
+    got: list[float] = []
+    for ws in words:
+        got += [emit(w) if x is None else x for w, x in zip(ws, map(have, ws), strict=True)]
+    p = token_marginals(np.array(got, dtype=float), stops, model)
+    return 1 / (1 + np.exp(-np.clip(summary(p, stops) @ model.logistic, -30, 30))), p, stops
+
+
 SPAN = "array<struct<start:int,stop:int,p:double>>"
 
 
@@ -263,19 +278,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch[0], batch[1].to_pylist()
-            for k in range(0, len(texts), 400):
-                part = [t or "" for t in texts[k : k + 400]]
-                words = [_TOKEN.findall(t) for t in part]
-                stops = np.cumsum([len(w) for w in words])
-                have, emit = model.cache.get, model.emission
-                got: list[float] = []
-                for ws in words:
-                    got += [emit(w) if x is None else x for w, x in zip(ws, map(have, ws), strict=True)]
-                e = np.array(got, dtype=float)
-                p = token_marginals(e, stops, model)
-                x = summary(p, stops)
-                s = 1 / (1 + np.exp(-np.clip(x @ model.logistic, -30, 30)))
+            texts = batch[1].to_pylist()
+            for k in range(0, len(texts), PART):
+                part = [t or "" for t in texts[k : k + PART]]
+                s, p, stops = score_texts(part, model)
                 spans: list[list[dict]] = []
                 for t, a, b in zip(part, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
                     found: list[dict] = []
@@ -289,6 +295,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                                     found.append({"start": m.start(), "stop": m.end(), "p": p[a + i]})
                                 last = i
                     spans.append(found)
-                yield pa.RecordBatch.from_arrays([ids.slice(k, len(part)).cast(pa.int64()), pa.array(s), pa.array(spans, kind)], names=["doc_id", "score", "toxic_spans"])
+                yield pa.RecordBatch.from_arrays([batch[0].slice(k, len(part)).cast(pa.int64()), pa.array(s), pa.array(spans, kind)], names=["doc_id", "score", "toxic_spans"])
 
     return docs.select(id_col, text_col).mapInArrow(run, out)
+
+
+def without_toxic(docs: DataFrame, model: Model, at: float = 0.3, text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, without the rows whose text scores ``at`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch[text_col].to_pylist()]
+            for k in range(0, len(texts), PART):
+                yield batch.slice(k, PART).filter(pa.array(score_texts(texts[k : k + PART], model)[0] < at))
+
+    return docs.mapInArrow(run, docs.schema)
