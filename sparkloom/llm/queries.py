@@ -36,6 +36,12 @@ def op4_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -57,6 +63,12 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .segmentations import sampled
+
+    return sampled(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], k=4)
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
