@@ -38,9 +38,15 @@ def d01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("o_orderpriority").agg(F.percentile("o_totalprice", 0.25).alias("p25"), F.count("*").alias("n")).where("n >= 20")
 
 
+def _register() -> None:
+    from . import queries_core  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _register()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _register()
     return dict(_SQL)
