@@ -39,7 +39,7 @@ def d01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _register() -> None:
-    from . import queries_core, queries_text  # noqa: F401
+    from . import queries_core, queries_io, queries_text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -48,9 +48,9 @@ def i03(spark: S, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.round(T.overlap_coefficient(F.col("a"), F.col("b")), 6).alias("overlap"), F.round(T.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
-@query("i05_i08_readability", f"SELECT doc_id, round(CASE WHEN n > 0 THEN greatest(0, 0.39 * n / s + 11.8 * syl / n - 15.59) ELSE 0 END, 5) AS grade, round(CASE WHEN n > 0 THEN 0.4 * (n / s + 100.0 * hard / n) ELSE 0 END, 5) AS fog FROM ({_MEASURES})")
+@query("i05_i08_readability", f"SELECT doc_id, round(CASE WHEN n > 0 THEN greatest(0, 0.39 * n / s + 11.8 * syl / n - 15.59) ELSE 0 END, 9) AS grade, round(CASE WHEN n > 0 THEN 0.4 * (n / s + 100.0 * hard / n) ELSE 0 END, 9) AS fog FROM ({_MEASURES})")
 def i05(spark: S, d: str) -> DataFrame:
-    return t(spark, d, "documents").select("doc_id", F.round(T.flesch_kincaid(F.col("text")), 5).alias("grade"), F.round(T.gunning_fog(F.col("text")), 5).alias("fog"))
+    return t(spark, d, "documents").select("doc_id", F.round(T.flesch_kincaid(F.col("text")), 9).alias("grade"), F.round(T.gunning_fog(F.col("text")), 9).alias("fog"))
 
 
 @query(
