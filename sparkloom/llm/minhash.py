@@ -205,7 +205,8 @@ def confirmed_edges(docs: DataFrame, families: DataFrame, id_col: str, text_col:
     sizes = families.groupBy("family").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("volume"))
     members = families.join(sizes, "family").select(F.col("rep").alias("doc_id"), "family", F.greatest(F.ceil(F.col("members") / FAMILY_BLOCK), F.ceil(F.col("volume") / FAMILY_SHINGLES)).cast("int").alias("blocks"))
     members = members.withColumn("blocks", F.least("blocks", F.lit(1 << 20)))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(members, "doc_id").select("doc_id", "text", "family", "blocks")
+    # members grow with the corpus: the plan that holds at scale is taken at every size
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(members.hint("merge"), "doc_id").select("doc_id", "text", "family", "blocks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,4 +289,4 @@ def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, i
     """``docs``, all columns, with one document of each near-duplicate component: the one with the least id. Rows with a null id stay."""
     found = near_duplicates(docs, size, percent, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id"))
     found = Scratch(docs.sparkSession).keep(found, "kept")
-    return docs.join(found, docs[id_col] == found["kept_id"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    return docs.join(found.hint("merge"), docs[id_col] == found["kept_id"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))

@@ -23,12 +23,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 from .textvec import _BYTE, U64, anchored, chunks, prefix_sums, span_hash, words
 
+NEAR = 8
 MOST = 400  # different segments of one anchor that a task compares
 _SEED = U64(0x3C6EF372FE94F82A)
 
@@ -150,18 +151,37 @@ def repeated_windows(docs: DataFrame, unit: Unit, engine: Engine, scratch: Scrat
 
 
 def by_content(segs: DataFrame, unit: Unit) -> DataFrame:
-    """The same as an engine, for anchors with very many different segments: groups windows by two hashes of their content."""
-    width = unit.window * (8 if unit.name == "word" else 1)
+    """The same as an engine, for anchors with very many different segments: compares hashes of content.
+
+    Windows at NEAR consecutive distances from the anchor have a core in common. Cores that
+    one document has alone cannot lie in a repeated window; only the windows around the
+    others are told apart by their whole content.
+    """
     step = 8 if unit.name == "word" else 1
-    at = F.sequence(F.lit(0), F.floor((F.length("content") - width) / step).cast("int"))
-    each = segs.select("id", "tag", "lo", "content", F.explode(at).alias("j"))
-    part = F.substring(F.col("content"), F.col("j") * step + 1, F.lit(width))
-    each = each.select("id", "tag", (F.col("lo") + F.col("j")).alias("first"), F.xxhash64(part).alias("h1"), F.xxhash64(F.lit(1), part).alias("h2"))
-    least = each.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
-    hit = each.join(least.select("h1", "h2", "a"), ["h1", "h2"]).where("id > a")
+    width = unit.window * step
+    n = F.floor((F.length("content") - width) / step).cast("int") + 1
+    near = F.floor(F.col("left") / NEAR).cast("int")
+    far = F.floor((F.col("left") - n + 1) / NEAR).cast("int")
+    parts = segs.withColumn("n", n).withColumn("core", F.explode(F.transform(F.sequence(far, near), lambda k: F.col("left") - NEAR * k)))
+    cores = parts.select("id", "tag", "lo", "n", "core", "content", *_hashes(F.substring(F.col("content"), F.col("core") * step + 1, F.lit(width - (NEAR - 1) * step))))
+    windows = _shared(cores, F.min("id") < F.max("id"), "id >= a")
+    at = F.sequence(F.greatest(F.lit(0), F.col("core") - NEAR + 1), F.least(F.col("n") - 1, F.col("core")))
+    each = windows.select("id", "tag", "lo", "content", F.explode(at).alias("j"))
+    each = each.select("id", "tag", (F.col("lo") + F.col("j")).alias("first"), *_hashes(F.substring(F.col("content"), F.col("j") * step + 1, F.lit(width))))
+    hit = _shared(each, F.min("id") < F.max("id"), "id > a")
     return hit.select("id", "tag", "first", (F.col("first") + 1).alias("stop"))
 
 
+def _hashes(content: Column) -> tuple[Column, Column]:
+    return F.xxhash64(content).alias("h1"), F.xxhash64(F.lit(1), content).alias("h2")
+
+
+def _shared(rows: DataFrame, shared: Column, kept: str) -> DataFrame:
+    """Rows whose content occurs in several documents, with a, the least of these, under a condition."""
+    least = rows.groupBy("h1", "h2").agg(F.min("id").alias("a"), shared.alias("shared")).where("shared").drop("shared")
+    return rows.join(least, ["h1", "h2"]).where(kept)
+
+
 def remove(docs: DataFrame, ranges: DataFrame, unit: Unit, with_text: bool = False, as_was: bool = False) -> DataFrame:
     """``docs`` (id, text, and any others) with what the windows in ``ranges`` cover removed.
 

@@ -15,9 +15,10 @@ def append(rows: DataFrame, path: str) -> None:
 def read(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad lines): a line that doesn't parse is skipped, not fatal."""
     full = StructType([*schema.fields, StructField("_bad", StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    # the engine doesn't scan for the bad-line column alone, so bad lines keep a real column beside it
-    return rows.where(F.col("_bad").isNull()).drop("_bad"), rows.where(F.col("_bad").isNotNull()).select("_bad", schema.fieldNames()[0])
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    rows = lines.select("value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
+    return rows.where(~bad).select(*(F.col(f"r.{f.name}") for f in schema.fields)), rows.where(bad).select("value")
 
 
 def table_or_empty(spark: SparkSession, name: str, schema: StructType) -> DataFrame:
