@@ -127,16 +127,18 @@ def summary(p: np.ndarray, doc_stops: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum(take(sums), 6), 1 - none, 1 - none - one, np.ones(len(doc_stops))], 1)
 
 
-def distinct_families(rows: list[tuple[list[str], bool]], size: int = 16, shared: int = 5) -> list[tuple[list[str], bool]]:
-    """One document of each family of copies: those that share few of their least word hashes with any before.
+def distinct_families(rows: list[tuple[list[str], bool]], size: int = 16, shared: int = 5, run: int = 3) -> list[tuple[list[str], bool]]:
+    """One document of each family of copies: those that share few of their least hashes of word runs with any before.
 
     A sample drawn from a corpus with copies would else take a copied document's chance words
-    for signs of its label.
+    for signs of its label. Runs of ``run`` words tell copies from documents that only have
+    their vocabulary in common.
     """
     posted: dict[int, list[int]] = {}
     out = []
     for tokens, toxic in rows:
-        least = heapq.nsmallest(size, {zlib.crc32(w.encode()) * 0x9E3779B1 % 2**32 for w in tokens if len(w) > 4})
+        runs = {" ".join(tokens[i : i + run]) for i in range(max(1, len(tokens) - run + 1))} if tokens else ()
+        least = heapq.nsmallest(size, {zlib.crc32(w.encode()) * 0x9E3779B1 % 2**32 for w in runs})
         met = Counter(i for h in least for i in posted.get(h, ()))
         if least and met and met.most_common(1)[0][1] >= min(shared, len(least)):
             continue
