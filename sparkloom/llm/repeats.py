@@ -27,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .textvec import _BYTE, U64, anchored, chunks, prefix_sums, span_hash, words
+from .textvec import _BYTE, IS_SPACE, U64, anchored, chunks, prefix_sums, span_hash, words
 
 NEAR = 8
-MOST = 400  # different segments of one anchor that a task compares
+MOST = 4000  # different segments of one anchor that a task compares; as many words as a shard holds
 _SEED = U64(0x3C6EF372FE94F82A)
 
 Symbols = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -48,9 +48,17 @@ class Unit:
         at = np.arange(len(data))
         return _BYTE[data], at, at + 1, off
 
-    def content(self, codes: np.ndarray, data: np.ndarray, first: int, stop: int) -> bytes:
-        """The symbols of a span in a form that compares as they do."""
-        return codes[first:stop].tobytes() if self.name == "word" else data[first:stop].tobytes()
+    def kept(self, data: np.ndarray, off: np.ndarray, symbols: Symbols, gone: np.ndarray) -> tuple[bytes, list[int]]:
+        """The bytes of the symbols that are not gone, words of a document joined by one space, and each document's first."""
+        _, starts, stops, bounds = symbols
+        if self.name == "byte":
+            return data[~gone].tobytes(), np.concatenate([[0], np.cumsum(~gone)])[bounds].tolist()
+        own = np.flatnonzero(~gone)
+        doc = np.searchsorted(bounds, own, "right")
+        more = np.concatenate([doc[1:] == doc[:-1], [False]])[: len(own)]  # then the byte that follows is a separator
+        edge = np.bincount(starts[own], minlength=len(data) + 1) - np.bincount(stops[own] + more, minlength=len(data) + 1)
+        kept = np.cumsum(edge[:-1]) > 0
+        return np.where(IS_SPACE[data], np.uint8(0x20), data)[kept].tobytes(), np.concatenate([[0], np.cumsum(kept)])[off].tolist()
 
 
 def _batch(cols: dict) -> pa.RecordBatch:
@@ -95,15 +103,15 @@ def segments(docs: DataFrame, marks: DataFrame, unit: Unit, scratch: Scratch) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, los = batch[0].to_numpy(zero_copy_only=False), batch[2]
-            flat, ends = los.flatten().to_numpy(), np.cumsum(los.value_lengths().to_numpy())
-            begins = np.concatenate([[0], ends[:-1]])
+            ids = batch[0].to_numpy(zero_copy_only=False)
             for rows, off, data in chunks(batch[0], batch[1], 1 << 18):
                 if (found := _segments(unit, data, off)) is None:
                     continue
-                _, bounds, lo, hi, anchor, sums, doc, key = found
-                want = [flat[begins[r] : ends[r]] + bounds[i] for i, r in enumerate(rows.tolist())]
-                keep = np.isin(lo, np.concatenate(want))
+                codes, bounds, lo, hi, anchor, sums, doc, key = found
+                owner, los = _listed(batch[2], rows)
+                wanted = np.zeros(len(codes) + 1, bool)
+                wanted[bounds[owner] + los.to_numpy()] = True
+                keep = wanted[lo]
                 lo, hi, anchor, doc, key = lo[keep], hi[keep], anchor[keep], doc[keep], key[keep]
                 seg = (span_hash(sums, lo, hi + unit.window) ^ _SEED).view(np.int64)
                 yield _batch({"key": key, "seg": seg, "id": ids[rows[doc]], "tag": text_tags(sums, bounds)[doc], "lo": (lo - bounds[doc]).astype(np.int32), "n": (hi - lo + 1).astype(np.int32), "left": (anchor - lo).astype(np.int32)})
@@ -112,6 +120,13 @@ def segments(docs: DataFrame, marks: DataFrame, unit: Unit, scratch: Scratch) ->
     return scratch.keep(out, "segments")
 
 
+def _listed(lists: pa.ListArray, rows: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The entries of some rows' lists one after the other, and the number of each one's row among these; a null list is empty."""
+    part = lists.slice(int(rows[0]), len(rows))
+    sizes = part.value_lengths().fill_null(0).to_numpy()
+    return np.repeat(np.arange(len(rows)), sizes), part.flatten()
+
+
 Engine = Callable[[DataFrame, Unit], DataFrame]
 
 
@@ -129,19 +144,24 @@ def repeated_windows(docs: DataFrame, unit: Unit, engine: Engine, scratch: Scrat
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = batch[0].to_pylist(), batch[2].to_pylist()
+            ids = batch[0].to_numpy(zero_copy_only=False)
             for rows, off, data in chunks(batch[0], batch[1], 1 << 18):
                 codes, _, _, bounds = unit.symbols(data, off)
-                tags = text_tags(prefix_sums(codes), bounds).tolist()
-                for i, r in enumerate(rows.tolist()):
-                    own = [s for s in lists[r] if s["tag"] == tags[i]]
-                    if own:
-                        at = [int(bounds[i]) + s["lo"] for s in own]
-                        yield _batch({
-                            "key": np.array([s["key"] for s in own]), "id": np.full(len(own), ids[r]), "tag": np.full(len(own), tags[i]), "lo": np.array([s["lo"] for s in own], np.int32),
-                            "left": np.array([s["left"] for s in own], np.int32), "hot": pa.array([s["hot"] for s in own]),
-                            "content": pa.array([unit.content(codes, data, a, a + s["n"] + unit.window - 1) for a, s in zip(at, own, strict=True)], pa.binary()),
-                        })
+                tags = text_tags(prefix_sums(codes), bounds)
+                owner, segs = _listed(batch[2], rows)
+                tag, key, lo, n, left = (segs.field(c).to_numpy() for c in ("tag", "key", "lo", "n", "left"))
+                own = np.flatnonzero(tag == tags[owner])
+                if not len(own):
+                    continue
+                size = n[own].astype(np.int64) + unit.window - 1
+                stop = np.cumsum(size)
+                spots = np.arange(stop[-1]) + np.repeat(bounds[owner[own]] + lo[own] - stop + size, size)
+                content, step = (codes[spots], 8) if unit.name == "word" else (data[spots], 1)
+                edges = np.concatenate([[0], stop * step]).astype(np.int32)
+                yield _batch({
+                    "key": key[own], "id": ids[rows[owner[own]]], "tag": tag[own], "lo": lo[own], "left": left[own], "hot": segs.field("hot").take(pa.array(own)),
+                    "content": pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(edges), pa.py_buffer(content)]),
+                })
 
     full = docs.join(todo, docs["id"] == todo["id"]).select(docs["id"], "text", "segs").mapInArrow(contents, "key long, id long, tag long, lo int, left int, hot boolean, content binary")
     full = scratch.keep(full, "contents")
@@ -198,39 +218,28 @@ def remove(docs: DataFrame, ranges: DataFrame, unit: Unit, with_text: bool = Fal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch["spans"]
             for rows, off, data in chunks(batch["id"], batch["text"], 1 << 19):
-                codes, starts, stops, bounds = unit.symbols(data, off)
-                tags = text_tags(prefix_sums(codes), bounds).tolist()
-                cols: dict[str, list] = {k: [] for k in ("n_symbols", "n_removed", "n_spans", "kept_sha256", "kept_text")}
-                part = lists.slice(int(rows[0]), len(rows)).to_pylist()
-                for i, found in enumerate(part):
-                    a, b = int(bounds[i]), int(bounds[i + 1])
-                    n = b - a
-                    gone = np.zeros(n + 1, np.int64)
-                    for s in found or ():
-                        if s["tag"] != tags[i]:
-                            continue
-                        gone[min(s["first"], n)] += 1
-                        gone[min(s["stop"] + unit.window - 1, n)] -= 1
-                    out = np.cumsum(gone[:n]) > 0
-                    if unit.name == "word":
-                        raw = b" ".join([data[x:y].tobytes() for x, y in zip(starts[a:b][~out].tolist(), stops[a:b][~out].tolist(), strict=True)])
-                    else:
-                        raw = data[a:b][~out].tobytes() if found else data[a:b].tobytes()
-                    cols["n_symbols"].append(n)
-                    cols["n_removed"].append(int(out.sum()))
-                    cols["n_spans"].append(int((out & ~np.concatenate([[False], out[:-1]])).sum()) if n else 0)
-                    cols["kept_sha256"].append(hashlib.sha256(raw).hexdigest())
-                    if with_text and as_was and not out.any():
-                        cols["kept_text"].append(batch["text"][int(rows[i])].as_py())
-                    elif with_text:
-                        cols["kept_text"].append(raw.decode("utf-8", "replace"))
+                symbols = unit.symbols(data, off)
+                codes, bounds = symbols[0], symbols[3]
+                owner, spans = _listed(batch["spans"], rows)
+                tag, first, stop = (spans.field(c).to_numpy() for c in ("tag", "first", "stop"))
+                own = tag == text_tags(prefix_sums(codes), bounds)[owner]
+                at, end = bounds[owner[own]], bounds[owner[own] + 1]
+                edge = np.bincount(at + first[own], minlength=len(codes) + 1) - np.bincount(np.minimum(at + stop[own] + unit.window - 1, end), minlength=len(codes) + 1)
+                gone = np.cumsum(edge[:-1]) > 0
+                begun = gone.copy()
+                begun[1:] &= ~gone[:-1]
+                heads = bounds[:-1][bounds[:-1] < len(codes)]
+                begun[heads] = gone[heads]
+                counts = (np.diff(np.concatenate([[0], np.cumsum(x)])[bounds]) for x in (gone, begun))
+                raw, cuts = unit.kept(data, off, symbols, gone)
+                parts = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                n_removed, n_spans = counts
+                cols: dict = {"n_symbols": np.diff(bounds), "n_removed": n_removed, "n_spans": n_spans, "kept_sha256": [hashlib.sha256(x).hexdigest() for x in parts]}
                 if with_text:
-                    cols["kept_text"] = pa.array(cols["kept_text"], pa.string())
-                else:
-                    cols.pop("kept_text")
-                own = batch.slice(int(rows[0]), len(rows))
-                yield _batch({c: own[c] for c in order} | cols)
+                    same = n_removed == 0 if as_was else np.zeros(len(rows), bool)
+                    cols["kept_text"] = pa.array([batch["text"][int(rows[i])].as_py() if same[i] else x.decode("utf-8", "replace") for i, x in enumerate(parts)], pa.string())
+                rest = batch.slice(int(rows[0]), len(rows))
+                yield _batch({c: rest[c] for c in order} | cols)
 
     return joined.mapInArrow(run, schema)
