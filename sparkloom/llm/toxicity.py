@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -187,7 +189,7 @@ def _fit_field(rows: list[tuple[list[str], bool]], rounds: int = 80) -> tuple[di
     length = np.array([len(c) for c, _ in chains])
     live = np.arange(width) < length[:, None]
     y = np.zeros((len(chains), width))
-    flat, spot = [], []
+    flat, spot = array("i"), array("i")  # millions of entries: plain lists of them would fill the driver
     for r, (tokens, marks) in enumerate(chains):
         y[r, : len(marks)] = marks
         for j, w in enumerate(tokens):
@@ -195,7 +197,7 @@ def _fit_field(rows: list[tuple[list[str], bool]], rounds: int = 80) -> tuple[di
                 if f in index:
                     flat.append(index[f])
                     spot.append(r * width + j)
-    cols, cells = np.array(flat, np.int64), np.array(spot, np.int64)
+    cols, cells = (np.frombuffer(x, np.int32).astype(np.int64) for x in (flat, spot))
     w, bias, t = np.zeros(len(index)), -3.0, np.zeros((2, 2))
     gw, gb, gt = np.full(len(index), 1e-3), 1e-3, np.full((2, 2), 1e-3)
     both = live[:, 1:] & live[:, :-1]
@@ -236,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 5000) -> Model:
     marks = {d: k for k, ids in chosen.items() for d in ids}
     rows = docs.select("doc_id", "text").where(F.col("doc_id").isin(list(marks))).collect() if marks else []
     rows.sort(key=lambda r: (r[0], r[1] or ""))
-    tokens = [([w.lower() for w in _TOKEN.findall(r[1] or "")], bool(marks[r[0]])) for r in rows]
+    tokens = [([sys.intern(w.lower()) for w in _TOKEN.findall(r[1] or "")], bool(marks[r[0]])) for r in rows]
     weights, bias, transition = _fit_field(tokens)
     model = Model(weights, bias, transition, np.zeros(4))
     y = np.array([float(t) for _, t in tokens])
