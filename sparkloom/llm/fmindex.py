@@ -144,7 +144,7 @@ class FMIndex:
 
 
 def repeated_in_shards(segs: DataFrame, unit: Unit) -> DataFrame:
-    """id, tag, first, stop: windows of segments that start in another segment with a smaller id."""
+    """id, tag, lo, first, stop: windows of segments (lo: a segment's first) that start in another segment with a smaller id."""
 
     def answer(ids: np.ndarray, tags: np.ndarray, los: np.ndarray, texts: list[np.ndarray]) -> pa.RecordBatch:
         index = FMIndex(texts, ids, unit.window)
@@ -157,7 +157,7 @@ def repeated_in_shards(segs: DataFrame, unit: Unit) -> DataFrame:
         start = np.flatnonzero(new)
         stop = np.append(start[1:], len(hit))[: len(start)] - 1
         first = los[own[start]] + spot[start]
-        return _batch({"id": ids[own[start]], "tag": tags[own[start]], "first": first.astype(np.int32), "stop": (los[own[stop]] + spot[stop] + 1).astype(np.int32)})
+        return _batch({"id": ids[own[start]], "tag": tags[own[start]], "lo": los[own[start]], "first": first.astype(np.int32), "stop": (los[own[stop]] + spot[stop] + 1).astype(np.int32)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -176,7 +176,7 @@ def repeated_in_shards(segs: DataFrame, unit: Unit) -> DataFrame:
         if held:
             yield flush()
 
-    return segs.repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, tag long, first int, stop int")
+    return segs.repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, tag long, lo int, first int, stop int")
 
 
 def unit() -> Unit:

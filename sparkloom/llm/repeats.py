@@ -6,11 +6,12 @@ with one anchor form a segment. The steps, each a Spark job over tables:
 
 1. anchors that occur in one document only cannot hold a repeated window and drop out;
 2. the segments of the others are named by a hash of their content; of equal segments the one
-   in the least document represents all, and the others are repeats as a whole;
+   in the least document represents all, and those in other documents are repeats as a whole;
 3. an anchor with several different segments goes to an engine, which finds which windows of
    a representative start in another one with a smaller document. The engine is what the two
    deduplicators differ in: an FM-index over words, or merged sorted suffix runs over bytes;
-4. the windows found are laid over the documents, and what they cover is removed.
+4. what is found in a representative holds for the equal segments of its own document, too;
+5. the windows found are laid over the documents, and what they cover is removed.
 
 An anchor with more than MOST different segments (a frequent line in ever new surroundings)
 is not given to one task: its windows are told apart by their whole content instead.
@@ -110,7 +111,8 @@ def segments(docs: DataFrame, marks: DataFrame, unit: Unit, scratch: Scratch) ->
                 codes, bounds, lo, hi, anchor, sums, doc, key = found
                 owner, los = _listed(batch[2], rows)
                 wanted = np.zeros(len(codes) + 1, bool)
-                wanted[bounds[owner] + los.to_numpy()] = True
+                at = bounds[owner] + los.to_numpy()
+                wanted[at[at < bounds[owner + 1]]] = True  # rows that repeat an id share its marks
                 keep = wanted[lo]
                 lo, hi, anchor, doc, key = lo[keep], hi[keep], anchor[keep], doc[keep], key[keep]
                 seg = (span_hash(sums, lo, hi + unit.window) ^ _SEED).view(np.int64)
@@ -135,8 +137,11 @@ def repeated_windows(docs: DataFrame, unit: Unit, engine: Engine, scratch: Scrat
     found = segments(docs, shared_anchors(docs, unit, scratch), unit, scratch)
     least = found.groupBy("key", "seg").agg(F.min(F.struct("id", "tag", "lo", "n", "left")).alias("r"))
     reps = scratch.keep(least.select("key", "seg", "r.*"), "representatives")
-    copies = found.join(reps.select("key", "seg", F.col("id").alias("first_id")), ["key", "seg"]).where("id > first_id")
-    copies = scratch.keep(copies.select("id", "tag", F.col("lo").alias("first"), (F.col("lo") + F.col("n")).alias("stop")), "copies")
+    others = found.join(reps.select("key", "seg", *(F.col(c).alias(f"rep_{c}") for c in ("id", "tag", "lo"))), ["key", "seg"]).where("id > rep_id or tag <> rep_tag or lo <> rep_lo")
+    rep = [F.when(F.col("id") == F.col("rep_id"), F.col(c)).alias(c) for c in ("rep_tag", "rep_lo")]
+    others = scratch.keep(others.select("id", "tag", "lo", "n", *rep), "others")
+    copies = others.where("rep_lo is null").select("id", "tag", F.col("lo").alias("first"), (F.col("lo") + F.col("n")).alias("stop"))
+    twins = others.where("rep_lo is not null").select("id", F.col("tag").alias("twin_tag"), F.col("lo").alias("twin_lo"), F.col("rep_tag").alias("tag"), F.col("rep_lo").alias("lo"))
 
     many = reps.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
     todo = reps.join(many, "key").select("id", F.struct("key", "tag", "lo", "n", "left", (F.col("kinds") > MOST).alias("hot")).alias("s"))
@@ -167,7 +172,10 @@ def repeated_windows(docs: DataFrame, unit: Unit, engine: Engine, scratch: Scrat
     full = scratch.keep(full, "contents")
     small = scratch.keep(engine(full.where("not hot").drop("hot"), unit), "engine")
     large = scratch.keep(by_content(full.where("hot"), unit), "split")
-    return copies.unionByName(small).unionByName(large)
+    hits = small.unionByName(large)
+    shift = F.col("twin_lo") - F.col("lo")
+    again = hits.join(twins, ["id", "tag", "lo"]).select("id", F.col("twin_tag").alias("tag"), (F.col("first") + shift).alias("first"), (F.col("stop") + shift).alias("stop"))
+    return copies.unionByName(hits.drop("lo")).unionByName(again)
 
 
 def by_content(segs: DataFrame, unit: Unit) -> DataFrame:
@@ -187,9 +195,9 @@ def by_content(segs: DataFrame, unit: Unit) -> DataFrame:
     windows = _shared(cores, F.min("id") < F.max("id"), "id >= a")
     at = F.sequence(F.greatest(F.lit(0), F.col("core") - NEAR + 1), F.least(F.col("n") - 1, F.col("core")))
     each = windows.select("id", "tag", "lo", "content", F.explode(at).alias("j"))
-    each = each.select("id", "tag", (F.col("lo") + F.col("j")).alias("first"), *_hashes(F.substring(F.col("content"), F.col("j") * step + 1, F.lit(width))))
+    each = each.select("id", "tag", "lo", (F.col("lo") + F.col("j")).alias("first"), *_hashes(F.substring(F.col("content"), F.col("j") * step + 1, F.lit(width))))
     hit = _shared(each, F.min("id") < F.max("id"), "id > a")
-    return hit.select("id", "tag", "first", (F.col("first") + 1).alias("stop"))
+    return hit.select("id", "tag", "lo", "first", (F.col("first") + 1).alias("stop"))
 
 
 def _hashes(content: Column) -> tuple[Column, Column]:

@@ -140,7 +140,7 @@ def unpacked_run(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes
 
 
 def repeated_in_runs(runs: list[bytes], window: int = WINDOW, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """id, tag, first, stop of the windows of a part's segments that start in another with a smaller id.
+    """id, tag, lo, first, stop of the windows of a part's segments (lo: a segment's first) that start in another with a smaller id.
 
     A window ``before`` bytes ahead of the anchor is the same in two segments if their suffixes
     share window - before bytes and their contexts before. Both orders' common prefixes cut
@@ -183,11 +183,11 @@ def repeated_in_runs(runs: list[bytes], window: int = WINDOW, gram: int = GRAM)
     new = np.concatenate([[True], (own[1:] != own[:-1]) | (spot[1:] != spot[:-1] + 1)])[: len(own)]
     a = np.flatnonzero(new)
     z = np.append(a[1:], len(own))[: len(a)] - 1
-    return {"id": ids[own[a]], "tag": tags[own[a]], "first": (los[own[a]] + spot[a]).astype(np.int32), "stop": (los[own[z]] + spot[z] + 1).astype(np.int32)}
+    return {"id": ids[own[a]], "tag": tags[own[a]], "lo": los[own[a]], "first": (los[own[a]] + spot[a]).astype(np.int32), "stop": (los[own[z]] + spot[z] + 1).astype(np.int32)}
 
 
 def repeated_by_merging(segs: DataFrame, unit: Unit) -> DataFrame:
-    """id, tag, first, stop: windows of segments that start in another segment with a smaller id."""
+    """id, tag, lo, first, stop: windows of segments (lo: a segment's first) that start in another segment with a smaller id."""
     parts = 4 * shuffle_width(segs.sparkSession)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +225,7 @@ def repeated_by_merging(segs: DataFrame, unit: Unit) -> DataFrame:
             yield _batch(repeated_in_runs(held, unit.window, unit.gram))
 
     sent = segs.mapInArrow(runs, "part int, run binary")
-    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(combine, "id long, tag long, first int, stop int")
+    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(combine, "id long, tag long, lo int, first int, stop int")
 
 
 def unit() -> Unit:

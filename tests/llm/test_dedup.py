@@ -83,6 +83,27 @@ def test_rows_that_repeat_an_id(spark):
     assert got == [(1, 60, 0), (2, 60, 0), (3, 61, 60), (3, 62, 60)]
 
 
+def twice():
+    """Documents that hold a repeated passage more than once, between equal passages of their own."""
+    rng = random.Random(11)
+    say = lambda n: " ".join("v%d" % rng.randrange(10**6) for _ in range(n))
+    p, x, y, short = say(60), say(60), say(60), say(25)
+    docs = [p, f"{x} {p} {y} {x} {p} {y}", f"{y} {p} {x} {y} {p} {x} {y} {p} {x}", f"{short} {say(60)}", f"{x} {short} {y} " * 3, " ".join([say(30), p] * 2), f"{x} {p} {y} {x} {p} {y}"]
+    rows = [(i + 1, t, "en", None, None) for i, t in enumerate(docs)]
+    return [*rows, (2, f"{say(20)} {x} {p} {y} {x} {p} {y}", "en", None, None)]
+
+
+@pytest.mark.parametrize("most", [400, 1])
+@pytest.mark.parametrize(("unit", "op"), [("word", fmindex.substring_dedup), ("byte", suffixmerge.byte_dedup)])
+def test_passages_that_a_document_repeats(spark, monkeypatch, unit, op, most):
+    monkeypatch.setattr(repeats, "MOST", most)
+    rows = twice()
+    got = op(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r["doc_id"], r[f"n_{unit}s"], r["n_removed"], r["kept_sha256"]) for r in got), key=repr) == [(d, n, k, h) for d, n, k, _, h in brute(rows, unit)]
+    if unit == "word":
+        assert (2, 120) in {(r["doc_id"], r["n_removed"]) for r in got}
+
+
 def test_kept_text_replaces_only_what_changed(spark):
     a = " ".join(f"a{i}" for i in range(60))
     rows = [(1, a, 5, "k"), (2, f"new  start {a} end", 9, None), (3, "two  spaces", 11, "k"), (4, None, None, "k"), (None, a, 1, "k")]
