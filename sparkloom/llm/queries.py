@@ -66,6 +66,12 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .segmentations import sampled
 
+    return sampled(table(spark, sf_dir, "documents"), ["doc_id"], k=4)
+
+
+def op9_gumbel_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .segmentations import sampled
+
     return sampled(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], k=4)
 
 

@@ -1,6 +1,7 @@
 """Attribution, licenses, packing, toxicity, fingerprints and segmentations on small inputs."""
 
 import hashlib
+import os
 import random
 import zlib
 from math import exp
@@ -8,7 +9,7 @@ from math import exp
 import numpy as np
 import pytest
 
-from sparkloom.llm import attribution, licenses, merkle, packing, segmentations, toxicity
+from sparkloom.llm import attribution, licenses, merkle, packing, queries, segmentations, toxicity
 from sparkloom.llm.common import TOKENIZER_DIR, Scratch, components
 from sparkloom.llm.wordbpe import encoder
 
@@ -244,3 +245,11 @@ def test_components(spark):
         groups.setdefault(r["root"], set()).add(r["node"])
     assert sorted(map(sorted, groups.values())) == [list(range(61)), [100, 101, 102]]
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
+
+
+def test_segmentations_cover_the_documents(spark):
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    docs = {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
+    got = queries.op9_gumbel_segmentations(spark, sf)
+    assert "doc_id" in got.columns
+    assert {r["doc_id"] for r in got.select("doc_id").distinct().collect()} == docs
