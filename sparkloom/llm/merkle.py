@@ -1,14 +1,16 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs.
 
 A document's lines are its paragraphs, runs of lines up to a blank one are its sections.
-Equal roots mean equal texts; where roots differ, walking down the branches that differ
-locates the edits. Beside its root a fingerprint carries the least hashes of the document's
-byte grams, so that the likeness of two different documents can be told from fingerprints.
+A fingerprint is the whole tree: equal roots mean equal texts, and where roots differ, walking
+down the branches that differ locates the edits. The paragraphs that two trees share tell their
+likeness; beside the tree a fingerprint carries the least hashes of the document's byte grams,
+for edits inside paragraphs.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +28,8 @@ SHORT_GRAM = 3
 SKETCH = 64
 
 
-def _h(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
+def _h(data: bytes, size: int = 16) -> bytes:
+    return hashlib.blake2b(data, digest_size=size).digest()
 
 
 @dataclass(frozen=True)
@@ -35,17 +37,39 @@ class Tree:
     root: str
     sections: tuple[bytes, ...]
     paragraphs: tuple[tuple[bytes, ...], ...]
+    sizes: tuple[tuple[int, ...], ...]  # bytes of each paragraph, its line end included
+
+    def written(self) -> str:
+        """The whole tree as text: the root, and of each section its hash and its paragraphs' hashes and sizes."""
+        return ":".join([self.root, *(f"{s.hex()}=" + ",".join(f"{p.hex()}.{n:x}" for p, n in zip(ps, ns, strict=True)) for s, ps, ns in zip(self.sections, self.paragraphs, self.sizes, strict=True))])
+
+    @staticmethod
+    def read(text: str) -> Tree:
+        root, *sections = text.split(":")
+        hashes, paragraphs, sizes = [], [], []
+        for s in sections:
+            h, _, rest = s.partition("=")
+            own = [x.partition(".") for x in rest.split(",")] if rest else []
+            hashes.append(bytes.fromhex(h))
+            paragraphs.append(tuple(bytes.fromhex(p) for p, _, _ in own))
+            sizes.append(tuple(int(n, 16) for _, _, n in own))
+        return Tree(root, tuple(hashes), tuple(paragraphs), tuple(sizes))
 
 
 def tree(text: str | None) -> Tree:
-    """The tree of a text; null counts as empty."""
+    """The tree of a text; null counts as empty. The root has 16 bytes, branches and leaves have 6."""
     sections: list[list[bytes]] = [[]]
-    for line in (text or "").split("\n"):
-        sections[-1].append(_h(line.encode("utf-8", "surrogatepass")))
+    sizes: list[list[int]] = [[]]
+    for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
+        sections[-1].append(_h(b"P" + line, 6))
+        sizes[-1].append(len(line) + 1)
         if not line.strip():
             sections.append([])
-    above = tuple(_h(b"S" + b"".join(s)) for s in sections)
-    return Tree(_h(b"R" + b"".join(above)).hex(), above, tuple(map(tuple, sections)))
+            sizes.append([])
+    # the root is over whole lines' full hashes, as sections and leaves are cut short
+    above = tuple(_h(b"S" + b"".join(s), 6) for s in sections)
+    root = _h(b"R" + b"".join(above) + _h((text or "").encode("utf-8", "surrogatepass"))).hex()
+    return Tree(root, above, tuple(map(tuple, sections)), tuple(map(tuple, sizes)))
 
 
 def differing_branches(a: Tree, b: Tree) -> list[tuple[int, int]]:
@@ -61,6 +85,29 @@ def differing_branches(a: Tree, b: Tree) -> list[tuple[int, int]]:
     return out
 
 
+def shared_bytes(a: Tree, b: Tree) -> int:
+    """The bytes of the paragraphs that two trees have in common, wherever they stand; whole sections meet first."""
+    if a.root == b.root:
+        return sum(map(sum, a.sizes))
+    left: dict[bytes, list[int]] = {}
+    for i, h in enumerate(b.sections):
+        left.setdefault(h, []).append(i)
+    common, rest_a = 0, []
+    for i, h in enumerate(a.sections):
+        if left.get(h):
+            left[h].pop()
+            common += sum(a.sizes[i])
+        else:
+            rest_a.append(i)
+    rest_b = Counter(p for spots in left.values() for i in spots for p in b.paragraphs[i])
+    for i in rest_a:
+        for p, n in zip(a.paragraphs[i], a.sizes[i], strict=True):
+            if rest_b[p] > 0:
+                rest_b[p] -= 1
+                common += n
+    return common
+
+
 def sketches(texts: list[str]) -> list[np.ndarray]:
     """The SKETCH least distinct 32-bit hashes of each text's byte grams, ascending; none of an empty text."""
     out: list[np.ndarray] = []
@@ -90,16 +137,31 @@ def sketches(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def written(root: str, sketch: np.ndarray) -> str:
-    return f"{root}:{sketch.astype('>u4').tobytes().hex()}"
+def written(t: Tree, sketch: np.ndarray) -> str:
+    return f"{sketch.astype('>u4').tobytes().hex()}:{t.written()}"
+
+
+def read(fingerprint: str) -> tuple[Tree, np.ndarray]:
+    sketch, _, rest = fingerprint.partition(":")
+    return Tree.read(rest), np.frombuffer(bytes.fromhex(sketch), ">u4").astype(np.uint64)
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1 from two fingerprints: 1 for equal roots, else the estimated Jaccard likeness of the byte grams."""
-    (ra, _, sa), (rb, _, sb) = a.partition(":"), b.partition(":")
-    if ra == rb:
+    """0 to 1 from two fingerprints."""
+    (x, sx), (y, sy) = read(a), read(b)
+    return tree_likeness(x, sx, y, sy)
+
+
+def tree_likeness(a: Tree, sa: np.ndarray, b: Tree, sb: np.ndarray) -> float:
+    """1 for equal roots. Else the greater of two Jaccard likenesses: of the bytes in branches that the
+    trees have in common, exactly, and of byte grams, estimated from the sketches, which sees edits
+    inside paragraphs.
+    """
+    if a.root == b.root:
         return 1.0
-    return _alike(*(np.frombuffer(bytes.fromhex(s), ">u4").astype(np.uint64) for s in (sa, sb)))
+    common = shared_bytes(a, b) if len(sa) and len(sb) else 0
+    whole = sum(map(sum, a.sizes)) + sum(map(sum, b.sizes))
+    return max(common / (whole - common) if common else 0.0, _alike(sa, sb))
 
 
 def _alike(x: np.ndarray, y: np.ndarray) -> float:
@@ -115,32 +177,38 @@ def _alike(x: np.ndarray, y: np.ndarray) -> float:
 def with_successor(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """bucket, look, ord, id, text: documents dealt by ascending id into ranges, each followed by its next range's first.
 
-    The range bounds are ids taken as approximate quantiles, as many as there are shuffle
-    partitions, so neither the driver nor a task sees more than its share. A row with
-    ``look`` 1 only stands for the successor of the range's last document; the last range
-    is followed by the first document of all. Null ids come first.
+    The range bounds are about evenly spaced quantiles, as many as there are shuffle partitions,
+    so neither the driver nor a task sees more than its share; they need not be ids that
+    occur. What each range begins with is found exactly. A row with ``look`` 1 only stands for
+    the successor of the range's last document; the last range is followed by the first
+    document of all. Null ids come first.
     """
     width = shuffle_width(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("ord"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    probs = [i / width for i in range(width)]
-    found = rows.stat.approxQuantile("ord", probs, 1 / (4 * width)) if width > 1 else []
-    least = rows.agg(F.min("ord")).first()[0]
-    bounds = sorted({int(x) for x in found if x is not None and least is not None and int(x) > least})
+    found = rows.stat.approxQuantile("ord", [i / width for i in range(1, width)], 1 / (4 * width)) if width > 1 else []
+    bounds = sorted({max(-(2**63), min(2**63 - 1, int(x))) for x in found if x is not None})
     at = F.lit(bounds).cast("array<bigint>")
     bucket: Column = F.aggregate(at, F.lit(0), lambda n, b: n + (b <= F.col("ord")).cast("int")) if bounds else F.lit(0)
-    extra = F.when(F.col("ord") == F.lit(least), F.lit(len(bounds)))
-    if bounds:
-        extra = F.when(F.array_contains(at, F.col("ord")), bucket - 1).otherwise(extra)
-    spots = F.array_compact(F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("look")), F.when(extra.isNotNull(), F.struct(extra.alias("bucket"), F.lit(1).alias("look")))))
-    rows = rows.select("*", F.inline(spots))
-    return rows.repartitionByRange(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "look", "ord", "text")
+    dealt = rows.select(bucket.alias("bucket"), "*")
+    firsts = sorted(tuple(r) for r in dealt.groupBy("bucket").agg(F.min("ord")).collect())  # a row for each range
+    # the range before (of those that hold any) looks at a range's first id
+    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
+    extra = F.lit(None).cast("int")
+    if before:
+        spot = F.array_position(F.lit(list(before)).cast("array<bigint>"), F.col("ord")).cast("int")
+        extra = F.when(spot > 0, F.get(F.lit(list(before.values())).cast("array<int>"), spot - 1))
+    spots = F.array_compact(F.array(F.struct("bucket", F.lit(0).alias("look")), F.when(extra.isNotNull(), F.struct(extra.alias("bucket"), F.lit(1).alias("look")))))
+    spread = dealt.select("ord", "id", "text", F.inline(spots))
+    return spread.repartitionByRange(max(1, len(firsts)), "bucket").sortWithinPartitions("bucket", "look", "ord", "text")
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_at array<struct<section:int,paragraph:int>>"
+_NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_at"]
+_EDITS = pa.list_(pa.struct([("section", pa.int32()), ("paragraph", pa.int32())]))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of every whole text, of its edited text, and their likenesses.
+    """Fingerprints of every whole text, of its edited text, their likenesses, and the branches where the two differ.
 
     The edited text has its last floor(n/4) code points replaced by the first as many (or
     all) of the next document in ascending id; the last document's next is the first. A null
@@ -155,7 +223,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = list(zip(batch["bucket"].to_pylist(), batch["look"].to_pylist(), batch["id"].to_pylist(), [t or "" for t in batch["text"].to_pylist()], strict=True))
             for k in range(0, len(rows), 256):
                 part = rows[k : k + 256]
-                own = [(*r, tree(r[3]).root, s) for r, s in zip(part, sketches([r[3] for r in part]), strict=True)]
+                own = [(*r, tree(r[3]), s) for r, s in zip(part, sketches([r[3] for r in part]), strict=True)]
                 pairs = []
                 for x, y in zip([held, *own[:-1]], own, strict=True):
                     if x and not x[1] and x[0] == y[0]:
@@ -166,20 +234,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     continue
                 edited = [p[2] for p in pairs]
                 es = sketches(edited)
-                roots = [tree(t).root for t in edited]
-                like = [1.0 if r == x[4] else _alike(x[5], s) for (x, _, _), r, s in zip(pairs, roots, es, strict=True)]
-                after = [1.0 if x[4] == y[4] else _alike(x[5], y[5]) for x, y, _ in pairs]
+                trees = [tree(t) for t in edited]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([x[2] for x, _, _ in pairs], pa.int64()),
                         pa.array([len(x[3]) for x, _, _ in pairs], pa.int64()),
                         pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),
                         pa.array([written(x[4], x[5]) for x, _, _ in pairs]),
-                        pa.array([written(r, s) for r, s in zip(roots, es, strict=True)]),
-                        pa.array(like, pa.float64()),
-                        pa.array(after, pa.float64()),
+                        pa.array([written(t, s) for t, s in zip(trees, es, strict=True)]),
+                        pa.array([tree_likeness(x[4], x[5], t, s) for (x, _, _), t, s in zip(pairs, trees, es, strict=True)], pa.float64()),
+                        pa.array([tree_likeness(x[4], x[5], y[4], y[5]) for x, y, _ in pairs], pa.float64()),
+                        pa.array([[{"section": s, "paragraph": p} for s, p in differing_branches(x[4], t)] for (x, _, _), t in zip(pairs, trees, strict=True)], _EDITS),
                     ],
-                    names=[c.split()[0] for c in _OUT.split(", ")],
+                    names=_NAMES,
                 )
 
     return with_successor(docs, id_col, text_col).mapInArrow(run, _OUT)
