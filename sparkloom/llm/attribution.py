@@ -9,30 +9,52 @@ its bytes, on a tie to the earlier one; its bytes in each section are reported a
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import TOKENIZER_DIR
+from .common import vocabulary
 
 #: The pattern that splits text before the merges, as published with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Long runs of what the pattern's white space matches; it would backtrack over each of them as a whole.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 _loaded: dict[str, tuple] = {}
 
 
-def encoder(path: str):
-    """The encoding at ``path`` and the byte length of every token; loaded once a worker."""
-    if path not in _loaded:
+class Encoder:
+    """Encodes whole texts. A long blank run is one piece of the pattern, less its last character where
+    text follows; it is encoded as such beside the pattern, with the same ids.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
         import tiktoken
 
+        self.plain = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.piece = tiktoken.Encoding("piece", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode(self, text: str) -> list[int]:
+        ids: list[int] = []
+        at = 0
+        for m in BLANKS.finditer(text):
+            stop = m.end() - (m.end() < len(text))
+            ids += self.plain(text[at : m.start()]) + self.piece(text[m.start() : stop])
+            at = stop
+        return ids + self.plain(text[at:]) if at else self.plain(text)
+
+
+def encoder(path: str) -> tuple[Encoder, np.ndarray]:
+    """The encoding at ``path`` and the byte length of every token; loaded once a worker."""
+    if path not in _loaded:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         size = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             size[i] = len(token)
-        _loaded[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), size
+        _loaded[path] = Encoder(ranks), size
     return _loaded[path]
 
 
@@ -66,15 +88,17 @@ def attribute(ends: np.ndarray, starts: np.ndarray, total: int) -> tuple[np.ndar
 _OUT = "doc_id long, section int, start_char long, stop_char long, n_bytes long, n_tokens long, n_touching long, n_crossing long"
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken") -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """A row for each section (line) of each document; the sections' n_tokens add up to the document's tokens.
 
-    A null or empty text gives one section of no tokens. Repeated rows are counted each for
-    itself; other columns are not read.
+    ``path`` is the vocabulary's file, else the public one called ``name``. A null or empty text
+    gives one section of no tokens, an empty table no row. Repeated rows are counted each for
+    itself; other columns are not read. A text may be of any length, blank runs included.
     """
+    path = path or vocabulary(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, size = encoder(vocabulary)
+        enc, size = encoder(path)
         for batch in batches:
             ids, texts = batch[0].to_pylist(), batch[1].to_pylist()
             for k in range(0, len(ids), 512):
@@ -83,7 +107,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     text = text or ""
                     raw = text.encode("utf-8", "surrogatepass")
                     starts = sections(text, raw)
-                    got = np.asarray(enc.encode_ordinary(text), dtype=np.int64) if text else np.zeros(0, np.int64)
+                    got = np.asarray(enc.encode(text), dtype=np.int64) if text else np.zeros(0, np.int64)
                     given, touch, cross = attribute(np.cumsum(size[got]), starts, len(raw))
                     stops = np.append(starts[1:], len(raw))
                     if text.isascii():

@@ -5,11 +5,17 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKENIZER_DIR = "/opt/tokenizers"
+@cache
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,16 +30,21 @@ class Scratch:
     """A folder of its own for one job, under the shared folder that spark.checkpoint.dir names.
 
     ``keep`` writes a result and reads it back. That cuts the lineage: executors that are
-    lost later cost at most the stage that was running. Where the setting is missing, as in
-    tests on one machine, a temporary folder takes its place.
+    lost later cost at most the stage that was running. The folder goes when the session's
+    process ends. Without the setting a master on this machine gets a temporary folder; on a
+    cluster, whose executors would each write to their own, that is an error.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="scratch-")
         self.root = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"

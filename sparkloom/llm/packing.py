@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_DIR, Scratch, shuffle_width
+from .common import Scratch, shuffle_width, vocabulary
 from .wordbpe import encoder
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -104,7 +104,7 @@ def plan(counts: np.ndarray, capacity: int) -> dict[int, np.ndarray]:
     return {n: np.array(r, np.int64).reshape(-1, 3) for n, r in runs.items()}
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = f"{TOKENIZER_DIR}/word_bpe_49k.json", capacity: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = 2048) -> DataFrame:
     """A row per piece with its sequence and its offset there; sequences have no gaps before their ends.
 
     A null or empty text is one piece of the end id alone. Repeated rows are packed each for
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     shuffle partitions at most), so a length that a third of all pieces share is ranked in parts.
     """
     scratch = Scratch(docs.sparkSession)
-    cut = scratch.keep(pieces(docs, id_col, text_col, tokenizer, capacity), "pieces")
+    cut = scratch.keep(pieces(docs, id_col, text_col, tokenizer or vocabulary("word_bpe_49k.json"), capacity), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for n, c in cut.groupBy("length").count().collect():
         counts[n] = c

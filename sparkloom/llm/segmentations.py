@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_DIR
+from .common import vocabulary
 
 SPACE = "▁"
+MODEL = "piece_bpe_32k.model"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 MOST_CACHED = 50_000
 _loaded: dict[tuple[str, float], SubwordModel] = {}
@@ -159,7 +160,7 @@ def top_k(lattice: list[list[Step]], k: int, seed: int) -> list[tuple[list[int],
     return found
 
 
-def sampled(rows: DataFrame, keys: list[str], text_col: str = "text", k: int = 4, path: str = f"{TOKENIZER_DIR}/piece_bpe_32k.model", sharpness: float = 1.0, ids: bool = False) -> DataFrame:
+def sampled(rows: DataFrame, keys: list[str], text_col: str = "text", k: int = 4, path: str | None = None, sharpness: float = 1.0, ids: bool = False) -> DataFrame:
     """A row per sampled segmentation: the keys, sample (from 0), n_pieces, log_p, inclusion, ids_crc32, round_trip (and ids).
 
     The seed is a hash of the row's keys alone, so it doesn't depend on partitions or order;
@@ -168,12 +169,13 @@ def sampled(rows: DataFrame, keys: list[str], text_col: str = "text", k: int = 4
     only, certainly included. Whole texts are segmented, however long. Ids are packed for
     ids_crc32 as little-endian unsigned 32-bit numbers.
     """
+    file = path or vocabulary(MODEL)
     kinds = [(c, dict(rows.dtypes)[c]) for c in keys]
     schema = ", ".join(f"`{c}` {t}" for c, t in kinds) + ", sample int, n_pieces int, log_p double, inclusion double, ids_crc32 long, round_trip boolean" + ", ids array<int>" * ids
     names = [*keys, "sample", "n_pieces", "log_p", "inclusion", "ids_crc32", "round_trip"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path, sharpness)
+        m = model(file, sharpness)
         for batch in batches:
             texts, seeds = batch["__text"].to_pylist(), batch["__seed"].to_pylist()
             for a in range(0, len(texts), 256):
@@ -195,12 +197,13 @@ def sampled(rows: DataFrame, keys: list[str], text_col: str = "text", k: int = 4
     return rows.select(*keys, F.col(text_col).alias("__text"), seed.alias("__seed")).mapInArrow(run, schema)
 
 
-def encoded(rows: DataFrame, keys: list[str], text_col: str = "text", path: str = f"{TOKENIZER_DIR}/piece_bpe_32k.model") -> DataFrame:
+def encoded(rows: DataFrame, keys: list[str], text_col: str = "text", path: str | None = None) -> DataFrame:
     """The keys and ids: the library's own encoding of each whole text; null and empty texts have no ids."""
+    file = path or vocabulary(MODEL)
     schema = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in keys) + ", ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = model(file)
         for batch in batches:
             got = m.lib.encode([t or "" for t in batch["__text"].to_pylist()], num_threads=1)
             yield pa.RecordBatch.from_arrays([*batch.select(keys).columns, pa.array(got, pa.list_(pa.int32()))], names=[*keys, "ids"])
@@ -208,12 +211,13 @@ def encoded(rows: DataFrame, keys: list[str], text_col: str = "text", path: str
     return rows.select(*keys, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
-def decoded(rows: DataFrame, keys: list[str], ids_col: str = "ids", path: str = f"{TOKENIZER_DIR}/piece_bpe_32k.model") -> DataFrame:
+def decoded(rows: DataFrame, keys: list[str], ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """The keys and text that each row's ids spell; null ids count as none."""
+    file = path or vocabulary(MODEL)
     schema = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in keys) + ", text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = model(file)
         for batch in batches:
             got = [m.decode(x or []) for x in batch["__ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.select(keys).columns, pa.array(got, pa.string())], names=[*keys, "text"])

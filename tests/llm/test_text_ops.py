@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from sparkloom.llm import attribution, licenses, merkle, packing, queries, segmentations, toxicity
-from sparkloom.llm.common import TOKENIZER_DIR, Scratch, components
+from sparkloom.llm.common import Scratch, components, vocabulary
 from sparkloom.llm.wordbpe import encoder
 
 ODD = [None, "", "one", "a\n\nb\n", "é日本🙂\nx", "tab\tand\x1csep", "y " * 5000, "x" * 20_000]
@@ -23,10 +23,10 @@ def frame(spark, texts, extra=True):
 
 def test_tokens_add_up_and_boundaries_follow_the_rule(spark):
     got = attribution.token_counts(frame(spark, ODD)).collect()
-    enc, size = attribution.encoder(f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken")
+    enc, size = attribution.encoder(vocabulary("byte_bpe_50k.tiktoken"))
     for i, t in enumerate(ODD):
         own = [r for r in got if r["doc_id"] == i]
-        assert sum(r["n_tokens"] for r in own) == len(enc.encode_ordinary(t or ""))
+        assert sum(r["n_tokens"] for r in own) == len(enc.encode(t or ""))
         assert sum(r["n_bytes"] for r in own) == len((t or "").encode())
         assert max(r["stop_char"] for r in own) == len(t or "")
     # a token of 4 bytes over sections of 1 and 3 goes to the second, one of 2 over 1 and 1 to the first
@@ -34,6 +34,41 @@ def test_tokens_add_up_and_boundaries_follow_the_rule(spark):
     assert given.tolist() == [1, 2, 0] and touch.tolist() == [2, 2, 1] and cross.tolist() == [1, 2, 1]
 
 
+def test_tokens_of_every_section_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "the ", " word", "\n", "\n\n", " \n ", "é", "日本", "🙂", "1,2", "'s", "\r\n", "  "]) for _ in range(rng.randrange(120))) for _ in range(40)]
+    got = attribution.token_counts(frame(spark, texts)).collect()
+    enc, size = attribution.encoder(vocabulary("byte_bpe_50k.tiktoken"))
+    for i, t in enumerate(texts):
+        owner = [k for k, line in enumerate(x + b"\n" for x in t.encode().split(b"\n")) for _ in line][: len(t.encode())]
+        want, touch, at = [0] * (max(owner, default=0) + 1), [0] * (max(owner, default=0) + 1), 0
+        for token in enc.encode(t):
+            own = owner[at : at + int(size[token])]
+            at += int(size[token])
+            want[max(sorted(set(own)), key=own.count)] += 1
+            for k in set(own):
+                touch[k] += 1
+        rows = sorted((r["section"], r["n_tokens"], r["n_touching"]) for r in got if r["doc_id"] == i)
+        assert rows == [(k, a, b) for k, (a, b) in enumerate(zip(want, touch, strict=True))]
+
+
+def test_long_blank_runs_keep_their_tokens(spark):
+    import tiktoken
+
+    enc, _ = attribution.encoder(vocabulary("byte_bpe_50k.tiktoken"))
+    for blank in (" ", "\n", " \n\t", "\u3000"):
+        for text in (blank * 5000, f"a{blank * 5000}b", f"a{blank * 5000} b {blank * 6000}", f"{blank * 4096}'s x"):
+            assert enc.encode(text) == enc.plain(text)
+    assert isinstance(enc.plain.__self__, tiktoken.Encoding)
+    got = attribution.token_counts(frame(spark, [" " * 1_000_000, "x" + " " * 1_000_000 + "y"])).collect()
+    assert sorted(r["n_tokens"] for r in got)[0] > 900_000
+
+
+@pytest.mark.parametrize("op", [attribution.token_counts, licenses.license_scan, merkle.fingerprints, packing.pack, lambda d: segmentations.sampled(d, ["doc_id"])])
+def test_empty_tables(spark, op):
+    assert op(frame(spark, [])).count() == 0
+
+
 def test_licenses(spark):
     apache = licenses.NOTICES["Apache-2.0"]
     texts = [*ODD, f"head\n{apache}\ntail", apache.replace("the Apache", "an apache"), "Licensed under nothing at all", f"{apache} and {apache}", licenses.NOTICES["BSD-3-Clause"].replace("forms, with", "forms,\nwith  ")]
@@ -64,7 +99,7 @@ def test_packing(spark):
     texts = [*ODD, *(" ".join(rng.choice(["alpha", "Beta,", "12", "don't"]) for _ in range(rng.randrange(3000))) for _ in range(60))]
     docs = frame(spark, texts)
     got = packing.pack(docs.unionByName(docs.limit(0))).collect()
-    enc = encoder(f"{TOKENIZER_DIR}/word_bpe_49k.json")
+    enc = encoder(vocabulary("word_bpe_49k.json"))
     total, spots = 0, {}
     for i, t in enumerate(texts):
         ids = [*enc.slow.encode(t or "", add_special_tokens=False).ids, 0]
@@ -187,6 +222,32 @@ def test_fingerprints(spark):
     assert alone[0]["near_next"] == 1.0
 
 
+def test_fingerprints_lose_no_row_and_find_successors_at_any_id(spark):
+    for base, step in ((2**60 + 1, 3), (2**63 - 401, 1), (-(2**63), 1), (-200, 1)):
+        rows = [(base + step * i, f"text number {i} " * (1 + i % 5)) for i in range(400)]
+        got = sorted(merkle.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r["doc_id"])
+        assert [r["doc_id"] for r in got] == [r[0] for r in rows]
+        for i, r in enumerate(got):
+            t, after = rows[i][1], rows[(i + 1) % 400][1]
+            assert r["edited_sha256"] == hashlib.sha256((t[: len(t) - len(t) // 4] + after[: len(t) // 4]).encode()).hexdigest()
+
+
+def test_likeness_against_exact_values(spark):
+    rng = random.Random(8)
+    say = lambda n: " ".join("w%d" % rng.randrange(10**5) for _ in range(n))
+    lines = [say(30) for _ in range(40)]
+    base = "\n".join(lines)
+    grams = lambda t: {t[i : i + 8] for i in range(len(t) - 7)}
+    for k in (1, 5, 20, 40):
+        other = "\n".join([*lines[: 40 - k], *(say(30) for _ in range(k))])
+        a, b = (merkle.written(merkle.tree(t), merkle.sketches([t])[0]) for t in (base, other))
+        ga, gb = grams(base.encode()), grams(other.encode())
+        assert merkle.likeness(a, b) == pytest.approx(len(ga & gb) / len(ga | gb), abs=0.16)
+        assert merkle.differing_branches(merkle.read(a)[0], merkle.read(b)[0]) == [(0, p) for p in range(40 - k, 40)]
+        assert merkle.shared_bytes(merkle.tree(base), merkle.tree(other)) == sum(len(x) + 1 for x in lines[: 40 - k])
+    assert merkle.read(a)[0] == merkle.tree(base)
+
+
 def test_tree_locates_edits():
     a = "title\n\nfirst\nsecond\n\nthird\n"
     assert merkle.differing_branches(merkle.tree(a), merkle.tree(a)) == []
@@ -198,7 +259,7 @@ def test_segmentations(spark):
     texts = ["", None, "the a", "  two  spaces ", "日本🙂\x00", "x" * 3000, "plain words here", "plain words here"]
     rows = spark.createDataFrame([(i // 2, i % 2, t, "s") for i, t in enumerate(texts)], "conv_id long, turn long, text string, sample string")
     got = segmentations.sampled(rows.drop("sample"), ["conv_id", "turn"], k=3, ids=True).collect()
-    m = segmentations.model(f"{TOKENIZER_DIR}/piece_bpe_32k.model")
+    m = segmentations.model(vocabulary("piece_bpe_32k.model"))
     for i, t in enumerate(texts):
         own = [r for r in got if (r["conv_id"], r["turn"]) == (i // 2, i % 2)]
         assert len({tuple(r["ids"]) for r in own}) == len(own) >= 1
@@ -210,7 +271,7 @@ def test_segmentations(spark):
 
 
 def test_sampling_follows_the_lattice_without_replacement():
-    m = segmentations.SubwordModel(f"{TOKENIZER_DIR}/piece_bpe_32k.model", 0.2)
+    m = segmentations.SubwordModel(vocabulary("piece_bpe_32k.model"), 0.2)
     lattice = m.lattice("the")
     paths = {}
 
