@@ -11,13 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .minhash import groups
-from .repeats import Unit, _batch, remove, repeated_windows
+from .packed import joined, pack
+from .repeats import Collector, Found, Layout, Ranges, Unit, remove, repeated_ranges
+from .textvec import U64, span_hash
 
 SHARD = 400_000  # words in one index; an anchor's segments stay together
 WINDOW = 50
@@ -143,40 +143,81 @@ class FMIndex:
         return length, least
 
 
-def repeated_in_shards(segs: DataFrame, unit: Unit) -> DataFrame:
-    """id, tag, lo, first, stop: windows of segments (lo: a segment's first) that start in another segment with a smaller id."""
+class WordRuns(Collector):
+    """Sends marked segments, as runs of word codes sorted by anchor, to the part that an anchor's key names.
 
-    def answer(ids: np.ndarray, tags: np.ndarray, los: np.ndarray, texts: list[np.ndarray]) -> pa.RecordBatch:
-        index = FMIndex(texts, ids, unit.window)
-        length, least = index.matching_statistics(texts)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        hit = np.flatnonzero((length >= unit.window) & (least < ids[owner]))
-        own, spot = owner[hit], hit - (np.cumsum(sizes) - sizes)[owner[hit]]
-        new = np.concatenate([[True], (own[1:] != own[:-1]) | (spot[1:] != spot[:-1] + 1)])[: len(hit)]
+    Of segments that are equal within a run only those of the least document are sent.
+    """
+
+    def __init__(self, layout: Layout, unit: Unit):
+        self.parts, self.window = layout.parts, unit.window
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.many = 0
+
+    def add(self, found: Found) -> None:
+        s = found.segments
+        size = s.hi - s.lo + self.window
+        stop = np.cumsum(size)
+        spots = np.arange(stop[-1] if len(stop) else 0) + np.repeat(s.lo - stop + size, size)
+        self.held.append((s.key, span_hash(s.sums, s.lo, s.lo + size), found.id, found.tag, found.lo, size.astype(np.uint16), s.codes[spots]))
+        self.many += len(spots)
+
+    def size(self) -> int:
+        return self.many // 8
+
+    def flush(self) -> tuple[list[tuple[int, bytes]], Ranges]:
+        if not self.many:
+            return [], [np.zeros(0, k) for k in (np.int64, np.uint32, np.int32, np.int32)]
+        key, content, id_, tag, lo, size, codes = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.many = [], 0
+        part = (key % U64(self.parts)).astype(np.int32)
+        order = np.lexsort((content, key, part))
+        at = (np.cumsum(size.astype(np.int64)) - size)[order]
+        key, content, id_, tag, lo, size, part = (x[order] for x in (key, content, id_, tag, lo, size, part))
+        start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])]))
+        copy = id_ > np.repeat(np.minimum.reduceat(id_, start), np.diff(np.append(start, len(id_))))
+        decided = [id_[copy], tag[copy], lo[copy], lo[copy] + size[copy].astype(np.int32) - self.window + 1]
+        kept = np.flatnonzero(~copy)
+        cuts = [0, *(np.flatnonzero(np.diff(part[kept])) + 1).tolist(), len(kept)]
+        runs = []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            own = kept[i:j]
+            many = size[own].astype(np.int64)
+            stop = np.cumsum(many)
+            numbers = pack([key[own], id_[own], tag[own], lo[own], size[own]])
+            runs.append((int(part[own[0]]), len(numbers).to_bytes(4, "little") + numbers + codes[np.arange(stop[-1]) + np.repeat(at[own] - stop + many, many)].tobytes()))
+        return runs, decided
+
+
+def repeated_in_shards(runs: list[bytes], window: int) -> Iterator[Ranges]:
+    """id, tag, first, stop of the windows of a part's segments that start in another with a smaller id.
+
+    Segments of about SHARD words, an anchor's never apart, are indexed at a time and streamed
+    against their index.
+    """
+    split = [(int.from_bytes(r[:4], "little"), r) for r in runs]
+    key, id_, tag, lo, size = joined([r[4 : 4 + n] for n, r in split], [np.uint64, np.int64, np.uint32, np.int32, np.uint16])
+    codes = np.concatenate([np.frombuffer(r, np.uint64, -1, 4 + n) for n, r in split])
+    size = size.astype(np.int64)
+    begin = np.cumsum(size) - size
+    order = np.argsort(key, kind="stable")
+    edges = np.append(np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])), len(key))
+    words_before = np.concatenate([[0], np.cumsum(size[order])])[edges]
+    i = 0
+    while i < len(edges) - 1:
+        j = max(i + 1, int(np.searchsorted(words_before, words_before[i] + SHARD, "right")) - 1)
+        own = order[edges[i] : edges[j]]
+        i = j
+        index = FMIndex([codes[a : a + n] for a, n in zip(begin[own].tolist(), size[own].tolist(), strict=True)], id_[own], window)
+        length, least = index.matching_statistics([codes[a : a + n] for a, n in zip(begin[own].tolist(), size[own].tolist(), strict=True)])
+        owner = np.repeat(np.arange(len(own)), size[own])
+        hit = np.flatnonzero((length >= window) & (least < id_[own][owner]))
+        mine, spot = owner[hit], hit - (np.cumsum(size[own]) - size[own])[owner[hit]]
+        new = np.concatenate([[True], (mine[1:] != mine[:-1]) | (spot[1:] != spot[:-1] + 1)])[: len(hit)]
         start = np.flatnonzero(new)
         stop = np.append(start[1:], len(hit))[: len(start)] - 1
-        first = los[own[start]] + spot[start]
-        return _batch({"id": ids[own[start]], "tag": tags[own[start]], "lo": los[own[start]], "first": first.astype(np.int32), "stop": (los[own[stop]] + spot[stop] + 1).astype(np.int32)})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            t = pa.concat_tables(held)
-            return answer(t["id"].to_numpy(), t["tag"].to_numpy(), t["lo"].to_numpy(), [np.frombuffer(x, np.uint64) for x in t["content"].to_pylist()])
-
-        for g in groups(batches, ["key"]):
-            held.append(g)
-            size += g["content"].nbytes // 8
-            if size >= SHARD:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
-
-    return segs.repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, tag long, lo int, first int, stop int")
+        at = own[mine[start]]
+        yield [id_[at], tag[at], (lo[at] + spot[start]).astype(np.int32), (lo[at] + spot[stop] + 1).astype(np.int32)]
 
 
 def unit() -> Unit:
@@ -194,8 +235,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     u = unit()
-    ranges = repeated_windows(rows.where("id is not null and text is not null"), u, repeated_in_shards, scratch)
-    out = remove(rows, ranges, u, with_text)
+    ranges, parts = repeated_ranges(rows.where("id is not null and text is not null"), u, lambda layout: WordRuns(layout, u), lambda runs: repeated_in_shards(runs, u.window), scratch)
+    scratch.settle()
+    out = remove(rows, ranges, parts, u, with_text)
     return out.withColumnsRenamed({"id": "doc_id", "n_symbols": "n_words"}).drop("n_spans")
 
 
@@ -208,7 +250,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct("*").alias("row"))
     u = unit()
-    ranges = repeated_windows(rows.select("id", "text").where("id is not null and text is not null"), u, repeated_in_shards, scratch)
-    out = remove(rows.withColumn("row", F.col("row").dropFields(text_col)), ranges, u, True, True)
+    some = rows.select("id", "text").where("id is not null and text is not null")
+    ranges, parts = repeated_ranges(some, u, lambda layout: WordRuns(layout, u), lambda runs: repeated_in_shards(runs, u.window), scratch)
+    scratch.settle()
+    out = remove(rows.withColumn("row", F.col("row").dropFields(text_col)), ranges, parts, u, True, True)
     text = {text_col: F.col("kept_text"), length_col: F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col(f"row.{length_col}"))}
     return out.select(*(text.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))

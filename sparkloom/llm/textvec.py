@@ -112,19 +112,14 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """For every i with i + width <= len(values): the leftmost position of the least of values[i:i+width]."""
-    m, p, span = values, np.arange(len(values), dtype=np.int64), 1
+    """For every i with i + width <= len(values): where the least of values[i:i+width] lies, by its upper 32 bits; of equal ones the leftmost."""
+    m, span = values & U64(0xFFFFFFFF00000000) | np.arange(len(values), dtype=np.uint64), 1
     while span * 2 <= width:
-        a, b = m[:-span], m[span:]
-        right = b < a
-        p = np.where(right, p[span:], p[:-span])
-        m = np.where(right, b, a)
+        m = np.minimum(m[:-span], m[span:])
         span *= 2
     if span < width:
-        d = width - span
-        right = m[d:] < m[:-d]
-        p = np.where(right, p[d:], p[:-d])
-    return p
+        m = np.minimum(m[: span - width], m[width - span :])
+    return (m & U64(0xFFFFFFFF)).view(np.int64)
 
 
 def anchored(values: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -141,9 +136,7 @@ def anchored(values: np.ndarray, offsets: np.ndarray, window: int, gram: int) ->
     none = np.zeros(0, np.int64)
     if n < window:
         return none, none, none, sums
-    at = np.arange(n - gram + 1)
     grams = mix((sums[gram:] - sums[:-gram]) * powers(n + 1, True)[: n - gram + 1] ^ U64(0x5851F42D4C957F2D))
-    del at
     anchor = sliding_argmin(grams, window - gram + 1)  # for window starts 0 .. n - window
     starts = np.arange(n - window + 1)
     doc_stop = np.repeat(offsets[1:], np.diff(offsets))[: n - window + 1]

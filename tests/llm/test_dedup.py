@@ -58,9 +58,10 @@ def brute(rows, unit):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("most", [400, 1])
-def test_word_windows(spark, monkeypatch, most):
-    monkeypatch.setattr(repeats, "MOST", most)
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_word_windows(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "LEAST_HOT", hot)
+    monkeypatch.setattr(repeats, "HOT_SHARE", 128 if hot > 1 else 1 << 40)
     rows = corpus()
     got = fmindex.substring_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
     want = [(d, n, k, h) for d, n, k, _, h in brute(rows, "word")]
@@ -68,9 +69,10 @@ def test_word_windows(spark, monkeypatch, most):
     assert sum(r["n_removed"] for r in got) > 500
 
 
-@pytest.mark.parametrize("most", [400, 1])
-def test_byte_strings(spark, monkeypatch, most):
-    monkeypatch.setattr(repeats, "MOST", most)
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_byte_strings(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "LEAST_HOT", hot)
+    monkeypatch.setattr(repeats, "HOT_SHARE", 128 if hot > 1 else 1 << 40)
     rows = corpus(5)
     got = suffixmerge.byte_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=repr) == brute(rows, "byte")
@@ -93,10 +95,11 @@ def twice():
     return [*rows, (2, f"{say(20)} {x} {p} {y} {x} {p} {y}", "en", None, None)]
 
 
-@pytest.mark.parametrize("most", [400, 1])
+@pytest.mark.parametrize("hot", [2000, 1])
 @pytest.mark.parametrize(("unit", "op"), [("word", fmindex.substring_dedup), ("byte", suffixmerge.byte_dedup)])
-def test_passages_that_a_document_repeats(spark, monkeypatch, unit, op, most):
-    monkeypatch.setattr(repeats, "MOST", most)
+def test_passages_that_a_document_repeats(spark, monkeypatch, unit, op, hot):
+    monkeypatch.setattr(repeats, "LEAST_HOT", hot)
+    monkeypatch.setattr(repeats, "HOT_SHARE", 128 if hot > 1 else 1 << 40)
     rows = twice()
     got = op(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(((r["doc_id"], r[f"n_{unit}s"], r["n_removed"], r["kept_sha256"]) for r in got), key=repr) == [(d, n, k, h) for d, n, k, _, h in brute(rows, unit)]
