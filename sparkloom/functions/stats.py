@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import pi, sqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,13 +48,33 @@ def fisher_exact(tables: DataFrame, a: str = "a", b: str = "b", c: str = "c", d:
     return cells.groupBy(key).agg(F.least(F.lit(1.0), F.sum(F.when(F.col("p") <= F.col("p_seen") * (1 + 1e-9), F.col("p")).otherwise(0.0))).alias("p_value"))
 
 
-def kendall_tau(points: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """tau and n over a small set of points (an aggregate's result, such as one per metro).
+def normal_cdf(z: Column) -> Column:
+    """The standard normal distribution function, from a series for the error function whose terms are all positive; 0 or 1 beyond 6."""
+    x = F.least(F.abs(z), F.lit(6.0)) / sqrt(2)
+    start = F.struct(x.alias("term"), x.alias("total"))
+
+    def grow(s: Column, k: Column) -> Column:
+        term = s["term"] * 2 * x * x / (2 * k + 1)
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+
+    erf = 2 / sqrt(pi) * F.exp(-x * x) * F.aggregate(F.sequence(F.lit(1), F.lit(120)), start, grow)["total"]
+    return 0.5 * (1 + F.signum(z) * F.least(F.lit(1.0), erf))
+
+
+MOST_POINTS = 20_000
+
+
+def kendall_tau(points: DataFrame, x: str, y: str, key: str, most: int = MOST_POINTS) -> DataFrame:
+    """tau, p_value and n over a small set of points (an aggregate's result, such as one per metro).
 
     Concordant minus discordant pairs over sqrt((P + ties in x only) * (P + ties in y only));
-    pairs tied in both count for neither. Pairs come from an ordered self-join, so keep the
-    input aggregated.
+    pairs tied in both count for neither. p_value comes from the normal approximation, 1 for
+    fewer than 10 points. Pairs come from an ordered self-join, so the input must be an
+    aggregate: more than ``most`` points are an error.
     """
+    n = points.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} points; aggregate them first")
     left = points.select(F.col(key).alias("k1"), F.col(x).alias("x1"), F.col(y).alias("y1"))
     right = points.select(F.col(key).alias("k2"), F.col(x).alias("x2"), F.col(y).alias("y2"))
     s = F.signum(F.col("x1") - F.col("x2")) * F.signum(F.col("y1") - F.col("y2"))
@@ -63,7 +85,9 @@ def kendall_tau(points: DataFrame, x: str, y: str, key: str) -> DataFrame:
     )
     both = F.col("con") + F.col("dis")
     tau = F.try_divide((F.col("con") - F.col("dis")).cast("double"), F.sqrt(((both + F.col("tx")) * (both + F.col("ty"))).cast("double")))
-    return sums.select(F.coalesce(tau, F.lit(0.0)).alias("tau"), F.col("con").alias("concordant"), F.col("dis").alias("discordant"))
+    tau = F.coalesce(tau, F.lit(0.0))
+    p = 2 * (1 - normal_cdf(F.abs(tau) / sqrt(2 * (2 * n + 5) / (9 * n * (n - 1))))) if n >= 10 else F.lit(1.0)
+    return sums.select(tau.alias("tau"), p.alias("p_value"), F.lit(n).cast("long").alias("n"), F.col("con").alias("concordant"), F.col("dis").alias("discordant"))
 
 
 def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

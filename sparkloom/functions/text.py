@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that carry no role information.
@@ -58,20 +64,80 @@ def sentence_count(text: Column) -> Column:
     return F.greatest(F.lit(1), F.size(parts))
 
 
+def syllable_sums(text: Column) -> Column:
+    """n, total and hard: a text's words, their syllables, and those with three or more, in one pass over its words."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("total"), F.lit(0).alias("hard"))
+
+    def add(s: Column, w: Column) -> Column:
+        return F.struct((s["n"] + 1).alias("n"), (s["total"] + w).alias("total"), (s["hard"] + (w >= 3).cast("int")).alias("hard"))
+
+    return F.aggregate(F.transform(ascii_words(text), syllables), zero, add)
+
+
+def grade_of(sums: Column, sentences: Column) -> Column:
+    n = sums["n"]
+    return F.when(n > 0, F.greatest(F.lit(0.0), 0.39 * n / sentences + 11.8 * sums["total"] / n - 15.59)).otherwise(F.lit(0.0))
+
+
+def fog_of(sums: Column, sentences: Column) -> Column:
+    n = sums["n"]
+    return F.when(n > 0, 0.4 * (n / sentences + 100.0 * sums["hard"] / n)).otherwise(F.lit(0.0))
+
+
 def flesch_kincaid(text: Column) -> Column:
     """0.39 words/sentences + 11.8 syllables/words - 15.59, at least 0; 0 without words."""
-    words = ascii_words(text)
-    n = F.size(words)
-    total = F.aggregate(words, F.lit(0), lambda s, w: s + syllables(w))
-    return F.when(n > 0, F.greatest(F.lit(0.0), 0.39 * n / sentence_count(text) + 11.8 * total / n - 15.59)).otherwise(F.lit(0.0))
+    return grade_of(syllable_sums(text), sentence_count(text))
 
 
 def gunning_fog(text: Column) -> Column:
     """0.4 (words/sentences + 100 share of words with three syllables or more); 0 without words."""
-    words = ascii_words(text)
-    n = F.size(words)
-    hard = F.size(F.filter(words, lambda w: syllables(w) >= 3))
-    return F.when(n > 0, 0.4 * (n / sentence_count(text) + 100.0 * hard / n)).otherwise(F.lit(0.0))
+    return fog_of(syllable_sums(text), sentence_count(text))
+
+
+def readability(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, grade and fog: both measures from one count of each text's syllables, in batches of Arrow.
+
+    Counting runs vectorised over all words of a batch at once, which interpreted lambdas over
+    arrays of words can't do; the measures themselves are columns.
+    """
+    kind = dict(rows.dtypes)[key]
+    counted = rows.select(key, text, sentence_count(F.col(text)).alias("_s")).mapInArrow(_counted, f"`{key}` {kind}, n long, total long, hard long, s int")
+    sums = F.struct("n", "total", "hard")
+    return counted.select(key, grade_of(sums, F.col("s")).alias("grade"), fog_of(sums, F.col("s")).alias("fog"))
+
+
+_VOWEL = np.zeros(256, bool)
+_VOWEL[list(b"aeiouyAEIOUY")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def word_syllables(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Syllables of every word (run of ASCII letters) of many texts laid end to end, and where each text's words begin."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
+    letter, vowel = _LETTER[data], _VOWEL[data]
+    opens = np.zeros(n, bool)
+    opens[bounds[:-1][bounds[:-1] < n]] = True
+    before = np.concatenate([[False], letter[:-1]]) & ~opens
+    after = np.concatenate([letter[1:] & ~opens[1:], [False]])
+    start, stop = np.flatnonzero(letter & ~before), np.flatnonzero(letter & ~after)
+    groups = vowel & ~(np.concatenate([[False], vowel[:-1]]) & before)
+    sums = np.concatenate([[0], np.cumsum(groups)])
+    many = sums[stop + 1] - sums[start]
+    silent = ((data[stop] | 0x20) == ord("e")) & (many > 1)
+    return np.maximum(1, many - silent), np.searchsorted(start, bounds)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            raw = [(t or "").encode() for t in part[1].to_pylist()]
+            syl, first = word_syllables(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+            total, hard = (np.diff(np.concatenate([[0], np.cumsum(x)])[first]) for x in (syl, syl >= 3))
+            yield pa.RecordBatch.from_arrays([part[0], pa.array(np.diff(first)), pa.array(total.astype(np.int64)), pa.array(hard.astype(np.int64)), part[2]], names=[part.schema.names[0], "n", "total", "hard", "s"])
 
 
 def entropy(text: Column) -> Column:
@@ -105,3 +171,30 @@ def looks_random(text: Column) -> Column:
 def plain_punctuation(text: Column) -> Column:
     """Typographic quotes, dashes and spaces as their ASCII counterparts."""
     return F.translate(text, "‘’“”–—  ", "''\"\"--  ")
+
+
+def evidence(text: Column, most: int = 200) -> Column:
+    """The first characters of a text, as signals carry them."""
+    return F.substring(text, 1, most)
+
+
+def clamped(x: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """0 to 1: twice the matched characters over both lengths, by longest common blocks, in any case; 0 where either is empty."""
+
+    @F.pandas_udf("double")
+    def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x.lower(), y.lower()).ratio() if x and y else 0.0 for x, y in zip(xs, ys, strict=True)], dtype=float)
+
+    return run(a, b)
+
+
+def best_match(rows: DataFrame, key: str, text: str, candidates: list[str]) -> DataFrame:
+    """key, match and score: the most similar of some candidates (a small list), of equal ones the first."""
+    each = rows.select(key, text, F.posexplode(F.array(*map(F.lit, candidates))).alias("_i", "_candidate"))
+    scored = each.withColumn("_score", similarity(F.col(text), F.col("_candidate")))
+    best = F.max_by(F.struct("_candidate", "_score"), F.struct("_score", -F.col("_i")))
+    return scored.groupBy(key).agg(best.alias("r")).select(key, F.col("r._candidate").alias("match"), F.col("r._score").alias("score"))

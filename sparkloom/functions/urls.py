@@ -71,3 +71,37 @@ def company_label(h: Column) -> Column:
     labels = F.split(F.regexp_replace(h, "^www\\.", ""), "\\.")
     first = F.get(labels, F.lit(0))
     return F.when(first.isin("jobs", "careers", "apply", "boards", "job", "career") & (F.size(labels) > 2), F.get(labels, F.lit(1))).otherwise(first)
+
+
+def resolved(href: Column, page: Column) -> Column:
+    """A link as an absolute URL: with a scheme as it is, with two slashes under the page's scheme, else under its host or folder."""
+    scheme, host = F.concat(part(page, "PROTOCOL"), F.lit(":")), part(page, "AUTHORITY")
+    root = F.concat(scheme, F.lit("//"), host)
+    folder = F.regexp_replace(F.coalesce(F.nullif(part(page, "PATH"), F.lit("")), F.lit("/")), "[^/]*$", "")
+    return (
+        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(scheme, href))
+        .when(href.startswith("/"), F.concat(root, href))
+        .otherwise(F.concat(root, folder, href))
+    )
+
+
+def next_page(url: Column, param: str, first: int, step: int, page: Column) -> Column:
+    """The URL with a page parameter set to first + step * (page - 1) at the end, others kept; null if it isn't absolute."""
+    kept = F.filter(_pairs(url), lambda p: _key(p) != param)
+    query = F.array_join(F.concat(kept, F.array(F.concat(F.lit(f"{param}="), (first + step * (page - 1)).cast("string")))), "&")
+    fragment = F.regexp_extract(url, "(#.*)$", 1)
+    base = F.concat(part(url, "PROTOCOL"), F.lit("://"), part(url, "AUTHORITY"), F.coalesce(part(url, "PATH"), F.lit("")))
+    return F.concat(base, F.lit("?"), query, fragment)
+
+
+_HOST = r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63}"
+
+
+def redacted(text: Column) -> Column:
+    """A text whose rendered URLs are cut to their hosts: with a scheme, as breadcrumbs, or with www and a path."""
+    whole = F.regexp_extract_all(text, F.lit("\\b[A-Za-z][A-Za-z0-9+.-]*://[^\\s<>\"']+"), F.lit(0))
+    longest_first = F.array_sort(F.array_distinct(whole), lambda a, b: F.length(b) - F.length(a))
+    x = F.aggregate(longest_first, text, lambda s, u: F.replace(s, u, F.coalesce(host(u), F.lit(""))))
+    x = F.regexp_replace(x, rf"({_HOST})(?::\d+)?[ \t\u00a0]*[\u203a\u00bb][^\n]*", "$1")
+    return F.regexp_replace(x, rf"(?i)(?<![\w.@-])(www\.{_HOST})(?::\d+)?[/?#][^\s<>\"']*", "$1")

@@ -38,3 +38,30 @@ def rates(rows: DataFrame, key: str, hit: Column, grain: str) -> DataFrame:
 def ready_batches(rows: DataFrame, key: Column, seq: str, least: int = 3) -> DataFrame:
     """Keys with ``least`` members or more, the largest first, of equal ones the first seen first."""
     return rows.groupBy(key.alias("batch")).agg(F.count("*").alias("n"), F.min(seq).alias("first_seq")).where(F.col("n") >= least)
+
+
+def dedup_stats(rows: DataFrame, exact: str, signature: str, order: str) -> DataFrame:
+    """Checks, exact duplicates, signature duplicates, unique rows and the rate of duplicates, when the first row of a signature stays.
+
+    A duplicate is exact if it equals the row that stays. Sums per signature come first, so no
+    task sees all the rows of a frequent one.
+    """
+    kept = rows.groupBy(signature).agg(F.min_by(exact, order).alias("_kept"), F.count("*").alias("_n"))
+    same = rows.groupBy(signature, exact).agg(F.count("*").alias("_same"))
+    each = kept.join(same.withColumnRenamed(signature, "_s"), F.col(signature).eqNullSafe(F.col("_s")) & F.col("_kept").eqNullSafe(F.col(exact)), "left")
+    total = each.agg(F.sum("_n").alias("total_checks"), F.sum(F.col("_same") - 1).alias("exact_duplicates"), F.count("*").alias("unique_urls"))
+    twice = F.col("total_checks") - F.col("unique_urls")
+    return total.select("total_checks", "exact_duplicates", (twice - F.col("exact_duplicates")).alias("signature_duplicates"), "unique_urls", F.round(twice / F.col("total_checks"), 4).alias("duplicate_rate"))
+
+
+def run_counters(rows: DataFrame, passes: Column, signature: str, order: str, off_shape: Column) -> DataFrame:
+    """What a discovery run found, dropped and kept, by difference: raw_found, prefiltered, deduped, terminal, mined, enqueued.
+
+    ``off_shape`` names where a kept row goes instead of the queue ("terminal" or "mined").
+    """
+    per = rows.groupBy(signature).agg(F.count("*").alias("_all"), F.count_if(passes).alias("_pass"), F.min_by(F.when(passes, off_shape), F.when(passes, F.col(order))).alias("_off"))
+    some = F.col("_pass") > 0
+    return per.agg(
+        F.sum("_all").alias("raw_found"), (F.sum("_all") - F.sum("_pass")).alias("prefiltered"), (F.sum("_pass") - F.count_if(some)).alias("deduped"),
+        F.count_if(some & (F.col("_off") == "terminal")).alias("terminal"), F.count_if(some & (F.col("_off") == "mined")).alias("mined"), F.count_if(some & F.col("_off").isNull()).alias("enqueued"),
+    )

@@ -16,14 +16,14 @@ from ..functions import text as T
 
 #: Words coded masculine and feminine in job advertisements (Gaucher, Friesen and Kay 2011).
 MASCULINE = (
-    "competitive competition compete dominant dominate dominance independent independence outspoken ambitious ambition analytical decisive "
-    "decision-maker fearless headstrong self-reliant aggressive assertive adventurous confident leader driven champion ninja rockstar guru "
-    "wizard warrior crusade conquer superior exceptional elite"
-).split()
+    "competitive", "competition", "compete", "dominant", "dominate", "dominance", "independent", "independence", "outspoken", "ambitious",
+    "ambition", "analytical", "decisive", "decision-maker", "fearless", "headstrong", "self-reliant", "aggressive", "assertive", "adventurous",
+    "confident", "leader", "driven", "champion", "ninja", "rockstar", "guru", "wizard", "warrior", "crusade", "conquer", "superior", "exceptional", "elite",
+)
 FEMININE = (
-    "collaborative cooperation cooperative interpersonal support nurturing committed dependable loyal responsive understanding caring "
-    "empathetic warm sensitive gentle community inclusive together team-player consensus"
-).split()
+    "collaborative", "cooperation", "cooperative", "interpersonal", "support", "nurturing", "committed", "dependable", "loyal", "responsive",
+    "understanding", "caring", "empathetic", "warm", "sensitive", "gentle", "community", "inclusive", "together", "team-player", "consensus",
+)
 #: Age patterns with severity and confidence.
 AGE_PATTERNS = [
     (r"\brecent(?:ly)?\s+graduate\b", "violation", 0.85),
@@ -54,6 +54,28 @@ FILL_DAYS = {"default": 41, "engineering": 52, "executive": 68, "healthcare": 49
 EVERGREEN = ["retail", "warehouse", "cashier", "seasonal", "part-time", "part time", "delivery", "driver", "food service", "housekeeping"]
 
 
+#: Senior terms, sets of rivals, and phrases that veil conditions with their weights.
+SENIOR_TERMS = ["kubernetes", "terraform", "distributed systems", "machine learning", "principal engineer", "staff engineer", "system design", "aws architect"]
+RIVALS = [["react", "angular", "vue"], ["aws", "azure", "gcp"], ["postgresql", "oracle", "mongodb", "mysql", "cassandra"]]
+VEILED = [
+    ("work hard and play hard", 0.75), ("wear many hats", 0.80), ("unlimited pto", 0.70), ("fast-paced environment", 0.65), ("like a family", 0.72), ("self-starter", 0.60),
+    ("competitive salary", 0.65), ("equity opportunity", 0.68), ("passionate about our mission", 0.72), ("startup culture", 0.65), ("results-only work environment", 0.70),
+    ("high-energy environment", 0.68),
+]
+#: Years in which some technologies were released.
+RELEASED = {"python": 1991, "javascript": 1995, "typescript": 2012, "rust": 2015, "go": 2012, "kotlin": 2011, "swift": 2014, "react": 2013, "angular": 2016, "vue": 2014, "svelte": 2016, "django": 2005, "flask": 2010, "fastapi": 2018}
+YEARS_WITH = r"(?i)(\d+)[\+\-]?\s*(?:years?\s+)(?:of\s+)?(?:experience\s+(?:with|in|using)\s+)([\w\s\+\#\.]+?)\s*(?:[\.,;]|$)"
+#: Where asking for past pay is banned, where non-competes are void or restricted.
+PAY_HISTORY_BANS = ["CA", "CO", "CT", "DC", "HI", "IL", "ME", "MD", "MA", "MI", "NV", "NJ", "NY", "NYC", "OR", "RI", "VT", "WA", "Chicago", "Cincinnati", "Louisville", "Montgomery_County_MD", "Philadelphia", "Pittsburgh", "Toledo"]
+NON_COMPETE_VOID = ["CA", "MN", "ND", "OK", "DC"]
+NON_COMPETE_RESTRICTED = ["IL", "MA", "NH", "OR", "WA", "CO", "MD", "VA"]
+NON_COMPETE = r"\bnon.?compete\b|\bnon.?solicitation\b|\brestrict(?:ions?)?\s+on\s+future\s+employment\b"
+UNPAID_INTERN = r"\bunpaid\s+intern(?:ship)?\b"
+PRODUCTIVE = [r"\bwill\s+(?:build|develop|create|manage|lead|own)\b", r"\bresponsible\s+for\s+(?:production|live|customer-facing)\b", r"\bno\s+academic\s+credit\s+required\b", r"\byear.?round\b|\bongoing\b"]
+#: 90th percentiles of screening thresholds, and whether a higher one is stricter.
+NORMS = {"min_years_experience": (8, True), "min_salary_expectation_ceiling": (200_000, False), "min_degree_level": (2, True)}
+
+
 def signal(kind: str, severity: Column | str, confidence: Column | float) -> Column:
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.struct(F.lit(kind).alias("signal_type"), as_col(severity).alias("severity"), as_col(confidence).cast("double").alias("confidence"))
@@ -98,7 +120,7 @@ def coded_words(text: Column, masculine: Sequence[str] = MASCULINE, feminine: Se
     f = F.size(F.filter(words, lambda w: w.isin(list(feminine))))
     score = F.try_divide(m - f, m + f)
     size = F.abs(score)
-    severity = F.when(size >= 0.6, "violation").when(size >= 0.4, "concern").otherwise("flag")
+    severity = F.when(size > 0.6, "violation").when(size > 0.4, "concern").otherwise("flag")
     return F.when((m + f >= 3) & (size >= 0.25), signal("DISC-01", severity, F.least(F.lit(0.9), 0.55 + size * 0.35 + F.least((m + f) / 20, F.lit(0.1)))))
 
 
@@ -131,13 +153,13 @@ def entry_contradiction(title: Column, text: Column, titles: Sequence[str] = ENT
     return F.when(has_any(F.lower(title), titles) & (years >= 4), signal("QS-02", F.when(years >= 5, "violation").otherwise("concern"), F.least(F.lit(0.95), 0.7 + (years - 4) * 0.05)))
 
 
-def pay_against_skills(text: Column, salary_max: Column, terms: Sequence[str], pay: float = 65_000) -> Column:
+def pay_against_skills(text: Column, salary_max: Column, terms: Sequence[str] = SENIOR_TERMS, pay: float = 65_000) -> Column:
     """QS-04: four senior terms or more for less than ``pay``."""
     n = sum((F.lower(text).contains(w).cast("int") for w in terms), F.lit(0))
     return F.when((salary_max < pay) & (n >= 4), signal("QS-04", "concern", 0.68))
 
 
-def clashing_skills(text: Column, sets: Sequence[Sequence[str]]) -> list[Column]:
+def clashing_skills(text: Column, sets: Sequence[Sequence[str]] = RIVALS) -> list[Column]:
     """QS-05: three members or more of one set of rivals."""
     low = F.lower(text)
     return [F.when(sum((low.contains(w).cast("int") for w in s), F.lit(0)) >= 3, signal("QS-05", "flag", 0.65)) for s in sets]
@@ -165,7 +187,7 @@ def below_market(salary_min: Column, salary_max: Column, p25: Column, n: Column)
     return F.when((n >= 20) & (pay < p25), signal("ST-03", F.when(short > 0.3, "violation").otherwise("concern"), F.least(F.lit(0.85), 0.55 + 0.6 * short)))
 
 
-def obfuscation(text: Column, lexicon: Sequence[tuple[str, float]]) -> Column:
+def obfuscation(text: Column, lexicon: Sequence[tuple[str, float]] = VEILED) -> Column:
     """DP-02: the weights of the phrases found add up to 0.65 or more."""
     low = F.lower(text)
     s = sum((F.when(low.contains(p.lower()), w).otherwise(0.0) for p, w in lexicon), F.lit(0.0))
@@ -200,9 +222,92 @@ def hard_reading(title: Column, text: Column, titles: Sequence[str] = ("entry",
     return F.when((n >= 50) & has_any(F.lower(title), titles) & (grade >= 16), signal("AH-02", "flag", F.least(F.lit(0.78), 0.45 + (grade - 16) * 0.05)))
 
 
-def run(postings: DataFrame, key: str, detectors: Sequence[Column], with_compound: bool = True) -> DataFrame:
-    """key, seq, signal_type, severity, confidence: all signals of all postings, the surest first within each."""
-    found = F.array_compact(F.array(*detectors))
+def impossible_years(text: Column, released: dict[str, int] = RELEASED, year: int = 2026) -> Column:
+    """QS-01: an array of signals, one for each mention of more years with a technology than four fifths of its age.
+
+    Mention and technology match if either name holds the other.
+    """
+    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(YEARS_WITH), F.lit(1)).alias("n"), F.regexp_extract_all(text, F.lit(YEARS_WITH), F.lit(2)).alias("what"))
+    mentions = F.transform(both, lambda m: F.struct(F.try_to_number(m["n"], F.lit("999999999")).cast("long").alias("years"), F.lower(F.trim(m["what"])).alias("what")))
+    ages = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(year - y).alias("age")) for name, y in released.items()))
+
+    def fired(m: Column) -> Column:
+        own = F.filter(ages, lambda a: (m["what"].contains(a["name"]) | a["name"].contains(m["what"])) & (m["years"] > a["age"] * 0.8))
+        return F.transform(own, lambda a: signal("QS-01", F.when(m["years"] > a["age"], "violation").otherwise("concern"), F.when(m["years"] > a["age"], 0.92).otherwise(0.75)))
+
+    return F.flatten(F.transform(F.filter(mentions, lambda m: m["years"].isNotNull()), fired))
+
+
+def pay_history(asks: Column, jurisdiction: Column, banned: Sequence[str] = PAY_HISTORY_BANS) -> Column:
+    """ST-04: a form that asks for past pay where that is banned."""
+    return F.when(asks & jurisdiction.isin(list(banned)), signal("ST-04", "violation", 0.97))
+
+
+def layoffs(filed: Column) -> Column:
+    """RC-01: hiring while a notice of mass layoffs is filed."""
+    return F.when(filed, signal("RC-01", "violation", 0.88))
+
+
+def non_compete(text: Column, jurisdiction: Column, void: Sequence[str] = NON_COMPETE_VOID, restricted: Sequence[str] = NON_COMPETE_RESTRICTED) -> Column:
+    """RC-02: a non-compete clause where it is void or restricted."""
+    held = matches(text, NON_COMPETE)
+    return F.when(held & jurisdiction.isin(list(void)), signal("RC-02", "violation", 0.9)).when(held & jurisdiction.isin(list(restricted)), signal("RC-02", "concern", 0.75))
+
+
+def unpaid_internship(text: Column, productive: Sequence[str] = PRODUCTIVE) -> Column:
+    """RC-03: an unpaid internship with two marks or more of productive work."""
+    n = sum((matches(text, p).cast("int") for p in productive), F.lit(0))
+    return F.when(matches(text, UNPAID_INTERN) & (n >= 2), signal("RC-03", "violation", F.least(F.lit(0.9), 0.6 + n * 0.08)))
+
+
+def no_form(generic: Column, fields: Column) -> Column:
+    """GJ-04: an apply link that leads to no form."""
+    return F.when(generic & (fields == 0), signal("GJ-04", "concern", 0.8))
+
+
+def never() -> Column:
+    """GJ-05: in the roster, but never raised."""
+    return F.when(F.lit(False), signal("GJ-05", "flag", 0.0))
+
+
+def low_for_place(salary_min: Column, salary_max: Column, index: Column, median: float = 68_000.0, least: float = 0.65) -> Column:
+    """DISC-05: pay over the place's cost of living is less than ``least`` of the median."""
+    pay = F.coalesce(F.nullif(salary_max, F.lit(0)), F.nullif(salary_min, F.lit(0))).cast("double")
+    share = pay / F.when(index > 0, index) / median
+    return F.when(share < least, signal("DISC-05", "flag", F.least(F.lit(0.7), 0.35 + (least - share))))
+
+
+def phantom_company(page_days: Column, domain_days: Column, presence: Column) -> Column:
+    """DP-05: two or more of a new company page, a new domain and no presence elsewhere."""
+    n = sum((F.coalesce(c, F.lit(False)).cast("int") for c in (page_days < 30, domain_days < 90, ~presence)), F.lit(0))
+    return F.when(n >= 2, signal("DP-05", "concern", F.least(F.lit(0.75), 0.45 + n * 0.12)))
+
+
+def strict_thresholds(postings: DataFrame, key: str, thresholds: str, norms: DataFrame) -> DataFrame:
+    """AH-01: key, question, signal_type, severity, confidence of screening thresholds beyond their norm.
+
+    ``thresholds`` is a map of question to value, joined with ``norms`` (question, p90, higher).
+    """
+    each = postings.select(key, F.explode(thresholds).alias("question", "value")).join(F.broadcast(norms), "question")
+    beyond = F.when(F.col("higher"), F.col("value") > F.col("p90")).otherwise(F.col("value") < F.col("p90"))
+    off = F.abs(F.col("value") - F.col("p90")) / F.greatest(F.abs("p90"), F.lit(1.0))
+    return each.where(beyond).select(key, "question", F.lit("AH-01").alias("signal_type"), F.lit("concern").alias("severity"), F.least(F.lit(0.85), 0.55 + off * 0.5).alias("confidence"))
+
+
+def pay_by_place(tau: DataFrame) -> DataFrame:
+    """LM-03: a signal where pay and a place's index correlate: ten places or more, |tau| over 0.3, p under 0.05. ``tau`` has tau, p_value, n."""
+    hit = tau.where("n >= 10 and abs(tau) > 0.3 and p_value < 0.05")
+    return hit.select(F.lit("LM-03").alias("signal_type"), F.lit("flag").alias("severity"), F.least(F.lit(0.65), F.abs("tau")).alias("confidence"), "tau", "p_value", "n")
+
+
+def run(postings: DataFrame, key: str, detectors: Sequence[Column], with_compound: bool = True, more: Sequence[Column] = ()) -> DataFrame:
+    """key, seq, signal_type, severity, confidence: all signals of all postings, the surest first within each; of equal ones the earlier detector's.
+
+    ``detectors`` give a signal each, ``more`` arrays of signals.
+    """
+    found = F.array_compact(F.array(*detectors)) if detectors else more[0]
+    for m in more if detectors else more[1:]:
+        found = F.concat(found, m)
     if with_compound:
         found = F.array_compact(F.concat(found, F.array(compound(found))))
     ranked = F.array_sort(found, lambda a, b: F.when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1).otherwise(0))

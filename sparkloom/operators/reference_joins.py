@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 from ..functions.urls import host_suffixes
 
 MOST_BROADCAST = 100_000
+MOST_PLANS = 2_000  # entries of each list of a plan
 
 
-def small(dim: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """A reference table, broadcast only after a check that it has ``most`` rows or fewer; a larger one is left to a shuffled join."""
-    return F.broadcast(dim) if dim.limit(most + 1).count() <= most else dim
+def small(dim: DataFrame, most: int = MOST_BROADCAST, must: bool = False) -> DataFrame:
+    """A reference table, broadcast only after a check that it has ``most`` rows or fewer.
+
+    A larger one is left to a shuffled join, or is an error where ``must`` says that the join
+    has no key to shuffle by.
+    """
+    if dim.limit(most + 1).count() <= most:
+        return F.broadcast(dim)
+    if must:
+        raise ValueError(f"a reference table for a join without keys has more than {most} rows")
+    return dim
 
 
 def geo_lookup(rows: DataFrame, places: DataFrame) -> DataFrame:
@@ -35,9 +44,21 @@ def platform_by_host(rows: DataFrame, host: str, key: str, domains: DataFrame) -
     return each.join(small(domains), "domain").groupBy(key).agg(F.min_by("platform", F.struct("load_order", "platform")).alias("platform"))
 
 
+def platform_by_pattern(rows: DataFrame, url: str, key: str, patterns: DataFrame) -> DataFrame:
+    """key and platform: the first platform, in load order, one of whose globs matches the URL without its scheme, in any case.
+
+    ``patterns`` (glob, platform, load_order) is a small table by contract, checked before it is
+    broadcast; globs become regular expressions whose only wildcard is the star.
+    """
+    pattern = F.concat(F.lit("(?i)^"), F.replace(F.regexp_replace("glob", r"([.+?^$(){}|\[\]\\])", r"\\$1"), F.lit("*"), F.lit(".*")))
+    bare = rows.select(key, F.regexp_replace(url, "^[A-Za-z][A-Za-z0-9+.-]*://", "").alias("_bare"))
+    hits = bare.join(small(patterns.withColumn("_pattern", pattern), must=True), F.expr("_bare rlike _pattern"))
+    return hits.groupBy(key).agg(F.min_by("platform", F.struct("load_order", "platform")).alias("platform"))
+
+
 def mutual_substring(mentions: DataFrame, name: str, table: DataFrame, other: str) -> DataFrame:
     """Pairs in which either name holds the other. The table is a small one by contract, checked before it is broadcast."""
-    return mentions.join(small(table), F.col(name).contains(F.col(other)) | F.col(other).contains(F.col(name)))
+    return mentions.join(small(table, must=True), F.col(name).contains(F.col(other)) | F.col(other).contains(F.col(name)))
 
 
 def absent(roster: DataFrame, recorded: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,5 +67,5 @@ def absent(roster: DataFrame, recorded: DataFrame, keys: list[str]) -> DataFrame
 
 def budgeted_product(left: DataFrame, right: DataFrame, order: list[Column], budget: int) -> DataFrame:
     """The combinations of two plan lists (both small, checked) in order, with whether each is within the budget."""
-    both = small(left).crossJoin(small(right))
+    both = small(left, MOST_PLANS, True).crossJoin(small(right, MOST_PLANS, True))
     return both.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("planned", F.col("rank") <= budget)

@@ -32,18 +32,49 @@ def percentile_before(rows: DataFrame, key: str, order: list[str], value: str, p
     return rows.withColumn("p_before", F.percentile(value, p).over(w)).withColumn("n_before", F.count(value).over(w))
 
 
-def ema(rows: DataFrame, key: str, order: list[str], value: str, alpha: float) -> DataFrame:
-    """Exponential moving average per key in order: the first value, then (1-a) old + a new; n rows."""
-    series = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("x"))))
-    step = lambda s, r: F.when(s.isNull(), r["x"]).otherwise(s * (1 - alpha) + r["x"] * alpha)
-    return rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.aggregate(series, F.lit(None).cast("double"), step).alias("ema"), F.count("*").alias("n"))
-
-
-def within_budget(rows: DataFrame, part: str, newest_first: list[Column], size: str, budget: int) -> DataFrame:
-    """Rows kept when the oldest are dropped until a part's total size fits; the newest always stays."""
-    w = Window.partitionBy(part).orderBy(*newest_first)
-    run = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_run", run).withColumn("_rank", F.row_number().over(w)).where((F.col("_run") <= budget) | (F.col("_rank") == 1)).drop("_run", "_rank")
+def ema(rows: DataFrame, key: str, order: list[str], value: str, alpha: float, block: Column | None = None) -> DataFrame:
+    """Exponential moving average per key in order: the first value, then (1-a) old + a new; n rows.
+
+    A step is an affine map of the average, and so are many steps in a row: the rows of each
+    ``block`` (a value that grows with the order; by default its first column's day, for a
+    timestamp) become one map by a partial aggregation, and a key's maps are few. So no task
+    holds all the rows of a frequent key.
+    """
+    if block is None:
+        block = F.to_date(order[0]) if dict(rows.dtypes)[order[0]].startswith("timestamp") else F.floor(F.col(order[0]) / 10_000)
+    own = rows.where(F.col(value).isNotNull()).withColumn("_block", block)
+    back = F.row_number().over(Window.partitionBy(key, "_block").orderBy(*(F.desc(c) for c in order))) - 1
+    at = F.struct(*order)
+    maps = own.withColumn("_back", back).groupBy(key, "_block").agg(
+        F.count("*").alias("m"), F.sum(alpha * F.pow(F.lit(1 - alpha), F.col("_back")) * F.col(value)).alias("s"), F.min_by(F.col(value).cast("double"), at).alias("first")
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("_block", "m", "s", "first")))
+    step = lambda e, b: b["s"] + F.pow(F.lit(1 - alpha), b["m"]) * F.coalesce(e, b["first"])
+    return maps.groupBy(key).agg(F.aggregate(ordered, F.lit(None).cast("double"), step).alias("ema"), F.sum("m").alias("n"))
+
+
+def within_budget(rows: DataFrame, part: str, newest: str, size: str, budget: int, width: int = 1000) -> DataFrame:
+    """Rows kept when the oldest (by a whole number) are dropped until a part's total size fits; the newest always stays.
+
+    Sums over ranges of ``width`` numbers tell which ranges lie wholly beyond the budget; only
+    the rows of the others are ordered, so a part with very many rows is no task's load.
+    """
+    ranged = rows.withColumn("_range", F.floor(F.col(newest) / width))
+    sums = ranged.groupBy(part, "_range").agg(F.sum(size).alias("_size"))
+    w = Window.partitionBy(part).orderBy(F.desc("_range"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    near = ranged.join(sums.where(F.col("_before") <= budget).select(part, "_range"), [part, "_range"], "left_semi")
+    each = Window.partitionBy(part).orderBy(F.desc(newest))
+    run = F.sum(size).over(each.rowsBetween(Window.unboundedPreceding, 0))
+    kept = near.withColumn("_run", run).withColumn("_rank", F.row_number().over(each)).where((F.col("_run") <= budget) | (F.col("_rank") == 1))
+    return kept.select(*rows.columns)
+
+
+def prior_state(sightings: DataFrame, keys: list[str], day: str) -> DataFrame:
+    """Each key's days with what was known of the key before: its first day and the number of its days."""
+    days = sightings.where(F.col(day).isNotNull()).select(*keys, day).distinct()
+    w = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    return days.withColumn("first_before", F.min(day).over(w)).withColumn("seen_before", F.count(day).over(w))
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,3 +45,38 @@ def within_budget(plan: DataFrame, part: str, order: list[Column], budget: int)
     """The first ``budget`` rows of each part, and how many were dropped beside each."""
     w = Window.partitionBy(part)
     return plan.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("dropped", F.greatest(F.lit(0), F.count("*").over(w) - budget)).where(F.col("rank") <= budget)
+
+
+def automation_url(base: str, query: Column, location: Column, date_param: str, date_format: str, codes: dict[str, str], date_range: Column) -> Column:
+    """The URL that automated discovery sends: query and location, and the date restriction where the surface has a code for it."""
+    code = F.element_at(F.create_map(*(F.lit(x) for kv in codes.items() for x in kv)), date_range)
+    before, after = date_format.split("{code}")
+    return url(F.lit(base), {"q": query, "l": location, date_param: F.when(code.isNotNull(), F.concat(F.lit(before), code, F.lit(after)))})
+
+
+@dataclass(frozen=True)
+class Surface:
+    """A search surface: its name, its link's base, and which restrictions its typed form has (none: no typed form)."""
+
+    name: str
+    base: str
+    operators: tuple[str, ...]
+
+
+def composed_both(requests: DataFrame, surfaces: list[Surface]) -> DataFrame:
+    """``requests`` (surface, required, exclude) with text, url and note.
+
+    A restriction that a surface cannot express stops both, with a note; a surface without a
+    typed form takes the plain words in its link.
+    """
+    text, link, note = (F.lit(None).cast("string") for _ in range(3))
+    for s in surfaces:
+        own = F.col("surface") == s.name
+        typed = composed(F.col("required"), F.array().cast("array<string>"), F.col("exclude"), F.lit(None).cast("string"))
+        plain = F.array_join("required", " ")
+        refused = (F.size("exclude") > 0) if "exclude" not in s.operators else F.lit(False)
+        query = typed if s.operators else plain
+        text = F.when(own, typed if s.operators else F.lit(None).cast("string")).otherwise(text)
+        link = F.when(own & ~refused, url(F.lit(s.base), {"q": query})).when(own, F.lit(None).cast("string")).otherwise(link)
+        note = F.when(own, F.when(refused, "unexpressible").otherwise("" if s.operators else "no typed form")).otherwise(note)
+    return requests.withColumn("text", text).withColumn("url", link).withColumn("note", note)

@@ -219,7 +219,7 @@ def e07(spark: S, d: str) -> DataFrame:
     """SELECT source, doc_id, n_chars FROM (SELECT source, doc_id, n_chars, sum(n_chars) OVER w AS run, row_number() OVER w AS r FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING)) WHERE run <= 20000 OR r = 1""",
 )
 def e08(spark: S, d: str) -> DataFrame:
-    return seq.within_budget(t(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", [F.desc("doc_id")], "n_chars", 20000)
+    return seq.within_budget(t(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 20000)
 
 
 @query("e09_retention", "SELECT event_id FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-31' - 14")
@@ -326,12 +326,6 @@ def g10(spark: S, d: str) -> DataFrame:
     return a.unionByName(t(spark, d, "supplier").select(F.col("s_nationkey").alias("nationkey"), F.col("s_acctbal").alias("bal")))
 
 
-@query("g13_g14_repeated_groups", "SELECT p_brand, p_type, count(*) AS n, array_to_string(list_sort(list(p_partkey)), ',') AS members FROM part GROUP BY 1, 2 HAVING count(*) >= 2")
-def g13(spark: S, d: str) -> DataFrame:
-    g = t(spark, d, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("p_partkey")).alias("m")).where("n >= 2")
-    return g.select("p_brand", "p_type", "n", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("members"))
-
-
 @query("c01_c02_dim_join", "SELECT c_custkey, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
 def c01(spark: S, d: str) -> DataFrame:
     n, r = rj.small(t(spark, d, "nation")), rj.small(t(spark, d, "region"))
@@ -362,6 +356,11 @@ def c09(spark: S, d: str) -> DataFrame:
     return rj.absent(t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
+@query("c10_prior_state", f"WITH days AS ({_DAYS}) SELECT user_id, event_type, day, min(day) OVER w AS first_before, count(*) OVER w AS seen_before FROM days WINDOW w AS (PARTITION BY user_id, event_type ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def c10(spark: S, d: str) -> DataFrame:
+    return seq.prior_state(t(spark, d, "events").withColumn("day", F.to_date("ts")), ["user_id", "event_type"], "day")
+
+
 @query("c13_history", "SELECT c_custkey, coalesce(n, 0) AS n, CAST(last AS DATE) AS last_day FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS last FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 def c13(spark: S, d: str) -> DataFrame:
     h = t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderdate").alias("last"))
@@ -388,7 +387,7 @@ def c17(spark: S, d: str) -> DataFrame:
 )
 def l01(spark: S, d: str) -> DataFrame:
     g = t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("x"), F.round(F.avg("c_acctbal"), 2).alias("y"))
-    return stats.kendall_tau(g, "x", "y", "k").withColumn("tau", F.round("tau", 8))
+    return stats.kendall_tau(g, "x", "y", "k").select(F.round("tau", 8).alias("tau"), "concordant", "discordant")
 
 
 @query("i30_haversine", "SELECT s_suppkey, round(2 * 3958.8 * asin(sqrt(least(1, pow(sin(radians(40 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(40)) * pow(sin(radians(-74 - lon) / 2), 2)))), 4) AS miles FROM (SELECT s_suppkey, 25 + s_nationkey AS lat, -120 + s_nationkey * 2 AS lon FROM supplier)")
@@ -434,10 +433,18 @@ def b07(spark: S, d: str) -> DataFrame:
     return t(spark, d, "customer").join(F.broadcast(black), F.lower("c_mktsegment") == F.col("name"), "left_anti").select("c_custkey")
 
 
-@query("b11_throttle", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) <= 3 AS allowed FROM orders")
+@query(
+    "b11_throttle",
+    """SELECT c_custkey, CASE WHEN (SELECT count(*) FILTER (WHERE day = DATE '1999-06-01') FROM h) >= 500 THEN 'daily limit' WHEN n >= 12 THEN 'company cap' WHEN date_diff('day', last, DATE '1999-06-01') < coalesce(days, 60) THEN 'cooldown' END AS reason
+       FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(day) AS last FROM h GROUP BY 1) ON c_custkey = o_custkey LEFT JOIN (SELECT c_custkey AS k, 30 + c_custkey % 400 AS days FROM customer WHERE c_custkey % 10 = 0) ON c_custkey = k""".replace(
+        "SELECT c_custkey, CASE", "WITH h AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate <= DATE '1999-06-01') SELECT c_custkey, CASE", 1
+    ),
+)
 def b11(spark: S, d: str) -> DataFrame:
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    return t(spark, d, "orders").select("o_orderkey", (F.row_number().over(w) <= 3).alias("allowed"))
+    history = t(spark, d, "orders").where(F.col("o_orderdate") <= F.lit("1999-06-01").cast("date")).select(F.col("o_custkey").alias("c_custkey"), F.to_date("o_orderdate").alias("day"))
+    jobs = t(spark, d, "customer").select("c_custkey")
+    mandates = jobs.where("c_custkey % 10 = 0").withColumn("days", (30 + F.col("c_custkey") % 400).cast("int"))
+    return vet.throttled(jobs, history, mandates, "c_custkey", "day", "1999-06-01", 500, 12, None, 60).select("c_custkey", "reason")
 
 
 @query("b13_routing", "SELECT CASE WHEN url LIKE '%?%' THEN 'list' WHEN url LIKE '%/en/%' THEN 'terminal' ELSE 'page' END AS branch, count(*) AS n FROM pages GROUP BY 1")
@@ -467,10 +474,13 @@ def b18(spark: S, d: str) -> DataFrame:
     return vet.quality_report(t(spark, d, "pages"), {"url": u.startswith("http"), "tracking": ~u.contains("utm_")})
 
 
-@query("b22_degradation", "SELECT user_id, coalesce(n >= 3 AND last / nullif(mean, 0) <= 0.15, false) AS degraded FROM (SELECT user_id, count(*) AS n, avg(value) AS mean, arg_max(value, (ts, event_id)) AS last FROM events GROUP BY 1)")
+_BASE = """WITH RECURSIVE o AS (SELECT user_id, value AS f, event_id % 1000 + 1 AS b, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+   e AS (SELECT user_id, i, n, f::DOUBLE AS f, b::DOUBLE AS b FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.i, o.n, e.f * 0.7 + o.f * 0.3, e.b * 0.7 + o.b * 0.3 FROM e JOIN o ON o.user_id = e.user_id AND o.i = e.i + 1)"""
+
+
+@query("b22_degradation", _BASE + " SELECT o.user_id, coalesce(o.n - 1 >= 3 AND e.f >= 1 AND e.b >= 1 AND o.f / e.f <= 0.15 AND o.b / e.b <= 0.25, false) AS degraded FROM o LEFT JOIN e ON o.user_id = e.user_id AND e.i = o.n - 1 WHERE o.i = o.n")
 def b22(spark: S, d: str) -> DataFrame:
-    g = t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max_by("value", F.struct("ts", "event_id")).alias("last"))
-    return g.select("user_id", F.coalesce((F.col("n") >= 3) & (F.try_divide("last", "mean") <= 0.15), F.lit(False)).alias("degraded"))
+    return vet.degraded(t(spark, d, "events").withColumn("bytes", F.col("event_id") % 1000 + 1), "user_id", ["ts", "event_id"], "value", "bytes")
 
 
 @query("b25_migration", "SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN NULL ELSE o_custkey END AS o_custkey FROM orders")

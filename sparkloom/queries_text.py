@@ -50,7 +50,7 @@ def i03(spark: S, d: str) -> DataFrame:
 
 @query("i05_i08_readability", f"SELECT doc_id, round(CASE WHEN n > 0 THEN greatest(0, 0.39 * n / s + 11.8 * syl / n - 15.59) ELSE 0 END, 9) AS grade, round(CASE WHEN n > 0 THEN 0.4 * (n / s + 100.0 * hard / n) ELSE 0 END, 9) AS fog FROM ({_MEASURES})")
 def i05(spark: S, d: str) -> DataFrame:
-    return t(spark, d, "documents").select("doc_id", F.round(T.flesch_kincaid(F.col("text")), 9).alias("grade"), F.round(T.gunning_fog(F.col("text")), 9).alias("fog"))
+    return T.readability(t(spark, d, "documents"), "doc_id", "text").select("doc_id", F.round("grade", 9).alias("grade"), F.round("fog", 9).alias("fog"))
 
 
 @query(
@@ -155,7 +155,7 @@ _M, _W = ["the", "and", "that"], ["of", "in", "with"]
 _CODED = """SELECT doc_id, m, f, (m - f) / (m + f) AS g FROM (SELECT doc_id, len(list_filter(w, lambda x: x IN ('the', 'and', 'that'))) AS m, len(list_filter(w, lambda x: x IN ('of', 'in', 'with'))) AS f FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents)) WHERE m + f >= 3"""
 
 
-@query("j05_coded_words", f"SELECT doc_id, CASE WHEN abs(g) >= 0.6 THEN 'violation' WHEN abs(g) >= 0.4 THEN 'concern' ELSE 'flag' END AS severity, round(least(0.9, 0.55 + abs(g) * 0.35 + least((m + f) / 20, 0.1)), 6) AS confidence FROM ({_CODED}) WHERE abs(g) >= 0.25")
+@query("j05_coded_words", f"SELECT doc_id, CASE WHEN abs(g) > 0.6 THEN 'violation' WHEN abs(g) > 0.4 THEN 'concern' ELSE 'flag' END AS severity, round(least(0.9, 0.55 + abs(g) * 0.35 + least((m + f) / 20, 0.1)), 6) AS confidence FROM ({_CODED}) WHERE abs(g) >= 0.25")
 def j05(spark: S, d: str) -> DataFrame:
     out = D.run(t(spark, d, "documents"), "doc_id", [D.coded_words(F.col("text"), _M, _W)], False)
     return out.select("doc_id", "severity", F.round("confidence", 6).alias("confidence"))
