@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .catalog import query, t
 from .plans import search_plan as sp
-from .sources import export, jsonl, shared
+from .queries_core import _EMA
+from .sources import export, jsonl, shared, warc
 from .streaming import ingest
 
 S = SparkSession
@@ -40,12 +41,97 @@ def a10(spark: S, d: str) -> DataFrame:
 def m01(spark: S, d: str) -> DataFrame:
     schema = t(spark, d, "events").schema
     root = shared.folder(spark)
-    t(spark, d, "events").repartition(3).write.parquet(f"{root}/events")
-    stream = ingest.sightings(ingest.read_folder(spark, f"{root}/events", schema), ["user_id", "event_type"], "ts")
-    stream.writeStream.format("parquet").option("path", f"{root}/days").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    t(spark, d, "events").repartition(24, F.xxhash64("event_id")).write.parquet(f"{root}/events")
+    ingest.ingest_sightings(ingest.read_folder(spark, f"{root}/events", schema), ["user_id", "event_type"], "ts", f"{root}/days", f"{root}/state")
     return ingest.lifecycles_of(spark, f"{root}/days", ["user_id", "event_type"]).select("user_id", "event_type", "times_seen", "times_reposted")
 
 
+@query("m02_routed_tables", "SELECT event_type AS kind, count(*) AS n FROM events WHERE event_type IN ('view', 'click', 'error') GROUP BY 1")
+def m02(spark: S, d: str) -> DataFrame:
+    root, kinds = shared.folder(spark), ("view", "click", "error")
+    t(spark, d, "events").repartition(12, F.xxhash64("event_id")).write.parquet(f"{root}/events")
+    ingest.route(ingest.read_folder(spark, f"{root}/events", t(spark, d, "events").schema, 5), "event_type", {k: f"{root}/{k}" for k in kinds}, f"{root}/state")
+    parts = [spark.read.parquet(f"{root}/{k}").select(F.lit(k).alias("kind")) for k in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("m04_m05_smoothed", _EMA.format(key="user_id", value="value").replace("ORDER BY ts, event_id", "ORDER BY event_id"))
+def m04(spark: S, d: str) -> DataFrame:
+    root = shared.folder(spark)
+    rows = t(spark, d, "events").select("user_id", "event_id", "value")
+    third = rows.agg(F.max("event_id")).first()[0] // 3 + 1
+    for k in range(3):  # files in the order of their rows, one a micro-batch
+        rows.where(F.floor(F.col("event_id") / third) == k).coalesce(1).write.mode("append").parquet(f"{root}/events")
+    stream = ingest.smoothed(ingest.read_folder(spark, f"{root}/events", rows.schema, 1), "user_id", "event_id", "value", 0.3)
+    ingest.keep_latest(stream, f"{root}/ema", f"{root}/state")
+    last = spark.read.parquet(f"{root}/ema").groupBy("key").agg(F.max_by("ema", "n").alias("ema"), F.max("n").alias("n"))
+    return last.select(F.col("key").alias("user_id"), F.round("ema", 6).alias("ema"), "n")
+
+
+@query("a01_a02_table_or_none", "SELECT n_nationkey FROM nation WHERE false")
+def a02(spark: S, d: str) -> DataFrame:
+    return jsonl.table_or_empty(spark, "no_such_table", t(spark, d, "nation").select("n_nationkey").schema)
+
+
+_DAY = "'2024-01-' || lpad(CAST(1 + page_id % 9 AS VARCHAR), 2, '0')"
+
+
+@query(
+    "a03_a04_a05_archive",
+    f"SELECT min({_DAY}) AS day, url AS uri, sha256(html) AS sha FROM pages GROUP BY url, html",
+)
+def a03(spark: S, d: str) -> DataFrame:
+    path = shared.folder(spark)
+    day = F.concat(F.lit("2024-01-"), F.lpad((1 + F.col("page_id") % 9).cast("string"), 2, "0"))
+    copies = t(spark, d, "pages").select(F.col("url").alias("uri"), day.alias("day"), F.col("html").cast("binary").alias("payload"))
+    warc.store(copies.unionByName(copies), path, 1 << 40)
+    kept = spark.read.parquet(path).select(F.col("copy_id").alias("path"), "content")
+    return warc.members(kept).select("day", "uri", F.sha2("payload", 256).alias("sha"))
+
+
+@query("a05_e08_evicted_days", f"SELECT DISTINCT {_DAY} AS day FROM pages WHERE {_DAY} = (SELECT max({_DAY}) FROM pages)")
+def a05(spark: S, d: str) -> DataFrame:
+    path = shared.folder(spark)
+    day = F.concat(F.lit("2024-01-"), F.lpad((1 + F.col("page_id") % 9).cast("string"), 2, "0"))
+    warc.store(t(spark, d, "pages").select(F.col("url").alias("uri"), day.alias("day"), F.col("html").cast("binary").alias("payload")), path, 1)
+    return spark.read.parquet(path).select(F.col("day").cast("string").alias("day")).distinct()
+
+
+@query("a09_ndjson_sink", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def a09(spark: S, d: str) -> DataFrame:
+    rows, path = t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), shared.folder(spark)
+    export.write_table(rows, ["c_custkey"], path, "json")
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query(
+    "a11_a12_a13_f09_n04_bundle",
+    "SELECT 'customer' AS name, count(*) AS n, 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' AS columns, true AS same FROM customer UNION ALL SELECT 'nation', count(*), 'n_nationkey,n_name,n_regionkey', true FROM nation",
+)
+def a12(spark: S, d: str) -> DataFrame:
+    tables = {"nation": (t(spark, d, "nation"), ["n_nationkey"]), "customer": (t(spark, d, "customer"), ["c_custkey"])}
+    index, one = export.bundle(spark, tables, shared.folder(spark), "csv")
+    _, two = export.bundle(spark, {k: (f.repartition(5), keys) for k, (f, keys) in tables.items()}, shared.folder(spark), "csv")
+    return index.select("name", "n", "columns", F.lit(one == two).alias("same"))
+
+
+@query("a19_reports", "SELECT user_id AS session_id, CAST(max(event_id) AS VARCHAR) AS started_at, row_number() OVER (ORDER BY CAST(max(event_id) AS VARCHAR) DESC, user_id) AS rank FROM events GROUP BY 1")
+def a19(spark: S, d: str) -> DataFrame:
+    path = shared.folder(spark)
+    rows = t(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.max("event_id").cast("string").alias("started_at"))
+    rows.coalesce(1).write.json(path)
+    listed = export.reports(spark, path, rows.schema)
+    ranks = listed.agg(F.collect_list("session_id").alias("ids"))  # a listing: one short entry a session
+    return rows.crossJoin(ranks).select("session_id", "started_at", F.array_position("ids", F.col("session_id")).alias("rank"))
+
+
+@query("a20_replay_lines", "SELECT '{\"id\":' || s_suppkey || '}' AS value FROM supplier")
+def a20(spark: S, d: str) -> DataFrame:
+    path = shared.folder(spark)
+    export.write_lines(t(spark, d, "supplier").select("s_suppkey", F.to_json(F.struct(F.col("s_suppkey").alias("id"))).alias("line")), ["s_suppkey"], "line", path)
+    return spark.read.text(path)
+
+
 @query("o01_compose", """SELECT c_custkey, 'role ' || CASE WHEN contains(seg, ' ') THEN '"' || seg || '"' ELSE seg END || ' (remote OR "on site") -unpaid site:example.com' AS text FROM (SELECT c_custkey, lower(c_mktsegment) AS seg FROM customer)""")
 def o01(spark: S, d: str) -> DataFrame:
     a = lambda *x: F.array(*(F.lit(w) if isinstance(w, str) else w for w in x))

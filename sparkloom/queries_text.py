@@ -120,7 +120,17 @@ def i19(spark: S, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", *(H.count_tag(h, x).cast("long").alias(n) for x, n in (("a", "links"), ("script", "scripts"), ("p", "paragraphs"))))
 
 
-@query("i15_i16_visible_text")
+_VIS = "regexp_replace(CASE WHEN regexp_matches(html, '(?is)<body[^>]*>(.*)</body>') THEN regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1) ELSE html END, '(?s)<!--.*?-->', '', 'g')"
+for _tag in ("script", "style", "noscript", "template"):
+    _VIS = f"regexp_replace({_VIS}, '(?is)<{_tag}\\b.*?</{_tag}>', '', 'g')"
+for _pattern, _to in (("(?i)<br[^>]*>|</(?:p|div|li|ul|ol|h[1-6]|tr|table|section|article|nav|header|footer)>", "\n"), ("(?i)</t[dh]>", " "), ("<[^>]*>", "")):
+    _VIS = f"regexp_replace({_VIS}, '{_pattern}', '{_to}', 'g')"
+for _name, _c in H.ENTITIES:
+    _VIS = f"replace({_VIS}, '{_name}', '{_c.replace(chr(39), chr(39) * 2)}')"
+_VIS = f"trim(regexp_replace(regexp_replace({_VIS}, '[ \\t]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'))"
+
+
+@query("i15_i16_visible_text", f"SELECT page_id, {_VIS} AS text FROM pages")
 def i15(spark: S, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", H.visible_text(F.col("html")).alias("text"))
 

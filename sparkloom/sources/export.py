@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def digest(hashes: DataFrame) -> str:
-    """sha256 over the sorted "sha  name" lines of a bundle's files: one short line a file."""
-    line = F.concat(F.col("sha"), F.lit("  "), F.col("name"), F.lit("\n"))
+    """sha256 over the sorted "sha  name" lines of a bundle's files, each named by its place in the order: one short line a file."""
+    line = F.concat(F.col("sha"), F.lit("  "), F.regexp_extract("name", r"^(part-\d+)", 1), F.lit("\n"))
     return hashes.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256)).first()[0]
 
 
@@ -40,3 +42,34 @@ def verify(spark: SparkSession, path: str, fmt: str, schema, n: int, expected: s
     rows = (reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(path)
     got = row_digest(rows).first()
     return [f"{n} rows expected, {got['n']} found"] * (got["n"] != n) + ["the rows' digest differs"] * (got["digest"] != expected)
+
+
+def bundle(spark: SparkSession, tables: dict[str, tuple[DataFrame, list[str]]], path: str, fmt: str = "parquet") -> tuple[DataFrame, str]:
+    """Writes each table in the total order of its keys; gives the index (name, columns, n, files, sha) and the bundle's digest.
+
+    Formats not at hand degrade to CSV; the digest covers the files, the format asked for and
+    whether it was degraded. Driver work is one line a table.
+    """
+    used = fmt if fmt in FORMATS else "csv"
+    rows, lines = [], []
+    for name, (frame, keys) in sorted(tables.items()):
+        write_table(frame, keys, f"{path}/{name}", used)
+        hashes = file_hashes(spark, f"{path}/{name}")
+        own = hashes.agg(F.count("*").alias("files")).first()
+        sha = digest(hashes)
+        rows.append((name, ",".join(frame.columns), row_digest(frame).first()["n"], own["files"], sha))
+        lines.append(f"{sha}  {name}\n")
+    text = "".join(lines) + f"requested_format={fmt}\ndegraded={int(used != fmt)}\n"
+    index = spark.createDataFrame(rows, "name string, columns string, n long, files long, sha string")
+    return index, hashlib.sha256(text.encode()).hexdigest()
+
+
+def write_lines(rows: DataFrame, keys: list[str], text: str, path: str) -> None:
+    """A column's texts, a line each, in the total order of ``keys``: the same bytes for the same rows."""
+    rows.orderBy(*keys).select(text).write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
+def reports(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Saved session reports (JSON), newest first: by when they started, then by the stamp in the file's name; unreadable ones are skipped."""
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).withColumn("report_path", F.col("_metadata.file_path"))
+    return rows.where("session_id is not null").orderBy(F.desc_nulls_last("started_at"), F.desc("report_path"), "session_id")

@@ -9,5 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="engine-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder's name under the shared one. Only a master on this machine does without the setting; the folder goes at exit."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="engine-")
+    name = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return name

@@ -8,7 +8,8 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _ROWS = "file string, kind string, uri string, day string, payload binary, error string"
 
@@ -36,8 +37,8 @@ def record(kind: str, uri: str, day: str, payload: bytes) -> bytes:
     return gzip.compress(text.encode() + payload + b"\r\n\r\n", mtime=0)
 
 
-def read(spark: SparkSession, path: str, pattern: str = "*.warc.gz") -> DataFrame:
-    """A row per record; a file that can't be read gives one row with the error instead of failing the scan."""
+def members(files: DataFrame) -> DataFrame:
+    """A row per record of archives (``path``, ``content``); one that can't be read gives a row with the error instead of failing the scan."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -49,5 +50,38 @@ def read(spark: SparkSession, path: str, pattern: str = "*.warc.gz") -> DataFram
                     out.append((file, None, None, None, None, type(x).__name__))
             yield pd.DataFrame(out, columns=["file", "kind", "uri", "day", "payload", "error"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(run, _ROWS)
+
+
+def read(spark: SparkSession, path: str, pattern: str = "*.warc.gz") -> DataFrame:
+    """The records of a folder's archive files. A file is read as a whole, so archives should be kept to tens of megabytes."""
+    return members(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path))
+
+
+def archived(copies: DataFrame) -> DataFrame:
+    """copy_id, day and content of distinct page copies (uri, day, payload) as one gzipped record each.
+
+    The id is the sha256 of address and payload; a copy that comes again keeps its earliest day.
+    """
+    named = copies.withColumn("copy_id", F.sha2(F.concat(F.col("uri").cast("binary"), F.lit("\n").cast("binary"), "payload"), 256))
+    once = named.groupBy("copy_id").agg(F.min_by(F.struct("uri", "day", "payload"), "day").alias("r")).select("copy_id", "r.*")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            content = [record("resource", u, d, bytes(x)) for u, d, x in zip(f["uri"], f["day"], f["payload"], strict=True)]
+            yield pd.DataFrame({"copy_id": f["copy_id"], "day": f["day"], "content": content})
+
+    return once.mapInPandas(run, "copy_id string, day string, content binary")
+
+
+def store(copies: DataFrame, path: str, budget: int) -> None:
+    """Appends archived copies to a table with a folder a day, after dropping the oldest days until the rest fits the budget in bytes.
+
+    Days are dropped whole; the newest always stays. Sizes are summed by day before the one
+    running sum, so no task sees more than the days.
+    """
+    rows = archived(copies)
+    days = rows.groupBy("day").agg(F.sum(F.length("content")).alias("bytes"))
+    w = Window.orderBy(F.desc("day"))
+    kept = days.withColumn("run", F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(w)).where((F.col("run") <= budget) | (F.col("rank") == 1))
+    rows.join(F.broadcast(kept.select("day")), "day", "left_semi").write.mode("append").partitionBy("day").parquet(path)

@@ -29,15 +29,32 @@ def route(stream: DataFrame, kind: str, sinks: dict[str, str], checkpoint: str)
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def sightings(stream: DataFrame, keys: list[str], ts: str, late: str = "2 days") -> DataFrame:
-    """Each key's days once, whatever the order of arrival within the watermark."""
-    rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).withColumn("day", F.to_date(ts))
-    return rows.dropDuplicatesWithinWatermark([*keys, "day"]).select(*keys, "day")
+def ingest_sightings(stream: DataFrame, keys: list[str], ts: str, path: str, checkpoint: str) -> None:
+    """Writes each key's days once a micro-batch, whatever the order of arrival; ends when all input there now has been taken.
+
+    There is no watermark, so a late row is never lost and no state grows: a day that comes in
+    several batches is stored several times and counted once by ``lifecycles_of``. A batch that
+    is repeated after a failure overwrites its own folder.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.select(*keys, F.to_date(ts).alias("day")).distinct().write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def lifecycles_of(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Lifecycles from the table of sightings: recomputed from the set of days, so late days count in their place."""
-    return sequences.lifecycles(spark.read.parquet(path), keys, "day")
+    return sequences.lifecycles(spark.read.parquet(path).drop("batch"), keys, "day")
+
+
+def keep_latest(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Writes what a stateful stream emits, a folder for each micro-batch."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def smoothed(stream: DataFrame, key: str, seq: str, value: str, alpha: float) -> DataFrame:
