@@ -2,20 +2,26 @@
 
 A text's segmentations are the paths of a lattice of vocabulary pieces. Pieces weigh by their
 rank, and sums over the lattice from its end make every step's choice a probability. A
-perturbed A-star search walks it from the start: each partial path carries the greatest
-Gumbel-perturbed log probability among its completions, so the first k complete paths popped
-are k distinct segmentations sampled without replacement. The key that the (k+1)-th would
-have gives each one's inclusion probability. Noise is seeded by the row's key.
+perturbed A-star search walks it from the start: an open node stands for all the completions of
+a partial path that take none of some choices at its next step, and its key is the greatest
+Gumbel-perturbed log probability among them. The best open node is taken, one completion walked
+to the end under its key, and what every step of the walk did not choose becomes an open node,
+with a key drawn below the walk's. The first k paths are k distinct segmentations sampled without
+replacement; the best key still open after them gives each one's inclusion probability.
+
+Walks of many texts run together, a step of all their words at a time, over one table of the
+batch's distinct words. Noise is a hash of the row's key, the walk, the word and the step, so it
+depends on nothing else.
 """
 
 from __future__ import annotations
 
 import heapq
-import random
 import re
 import zlib
 from collections.abc import Iterator
-from math import exp, expm1, inf, log, log1p
+from dataclasses import dataclass
+from math import exp, expm1, log
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +29,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import vocabulary
+from .textvec import U64, mix
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
-MOST_CACHED = 50_000
+BATCH_CHARS = 300_000  # of the texts whose walks run together
 _loaded: dict[tuple[str, float], SubwordModel] = {}
 
-Step = tuple[int, tuple[int, ...], float]  # stop, piece ids, log probability given the start
+class Trie:
+    """The pieces' common starts as one table of moves: from a node by a character's class to the next node, 0 for none.
+
+    The most frequent classes have dense rows, the others lie in a sorted list of moves.
+    """
+
+    DENSE = 96
+
+    def __init__(self, pieces: list[str]):
+        counts: dict[str, int] = {}
+        for p in pieces:
+            for c in p:
+                counts[c] = counts.get(c, 0) + 1
+        ranked = sorted(counts, key=lambda c: (-counts[c], c))
+        number = {c: i for i, c in enumerate(ranked)}
+        self.many = len(ranked) + 1
+        code = np.array([ord(c) for c in ranked], np.uint32)
+        order = np.argsort(code)
+        self.codes, self.classes = code[order], order
+        moves: dict[int, int] = {}
+        self.piece = [-1]
+        for k, p in enumerate(pieces):
+            node = 0
+            for c in p:
+                key = node * self.many + number[c]
+                node = moves.setdefault(key, len(self.piece))
+                if node == len(self.piece):
+                    self.piece.append(-1)
+            self.piece[node] = k
+        self.piece = np.array(self.piece)
+        keys = np.array(list(moves), np.int64)
+        to = np.array(list(moves.values()), np.int32)
+        node, cls = keys // self.many, keys % self.many
+        self.table = np.zeros((len(self.piece), self.DENSE), np.int32)
+        self.table[node[cls < self.DENSE], cls[cls < self.DENSE]] = to[cls < self.DENSE]
+        rare = np.argsort(keys)
+        rare = rare[cls[rare] >= self.DENSE]
+        self.rare, self.rare_to = np.append(keys[rare], np.iinfo(np.int64).max), np.append(to[rare], 0)
+
+    def class_of(self, points: np.ndarray) -> np.ndarray:
+        """Each code point's class; one that no piece has gets the last."""
+        at = np.minimum(np.searchsorted(self.codes, points), len(self.codes) - 1)
+        return np.where(self.codes[at] == points, self.classes[at], self.many - 1)
+
+    def move(self, node: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        out = self.table[node, np.minimum(cls, self.DENSE - 1)]
+        odd = np.flatnonzero(cls >= self.DENSE)
+        if len(odd):
+            key = node[odd].astype(np.int64) * self.many + cls[odd]
+            at = np.searchsorted(self.rare, key)
+            out[odd] = np.where(self.rare[at] == key, self.rare_to[at], 0)
+        return out
 
 
 class SubwordModel:
-    """The pieces of a SentencePiece model, weighted by rank to the power ``-sharpness``."""
+    """The pieces of a SentencePiece model, weighted by rank to the power ``-sharpness``.
+
+    The file is of the BPE kind, whose scores are the pieces' ranks below zero, no log
+    probabilities; the weights make a distribution of them.
+    """
 
     def __init__(self, path: str, sharpness: float = 1.0):
         import sentencepiece
@@ -47,53 +109,32 @@ class SubwordModel:
         ranked = sorted((i for i in range(n) if not odd[i]), key=lambda i: (-self.lib.get_score(i), i))
         self.weight = {self.pieces[i]: (i, -sharpness * log(k + 2)) for k, i in enumerate(ranked)}
         self.byte_weight = -sharpness * log(n + 2)
-        self.longest = max(map(len, self.weight))
-        self.cache: dict[str, list[list[Step]]] = {}
+        self.trie = Trie([self.pieces[i] for i in ranked])
+        self.ranked_id = np.array(ranked, np.int64)
+        self.ranked_weight = -sharpness * np.log(np.arange(len(ranked)) + 2.0)
+        self.byte_id = np.array([self.byte[b] for b in range(256)], np.int64)
+        spelled = [bytes((int(p[1:-1], 16),)) if self.lib.is_byte(i) else p.encode() for i, p in enumerate(self.pieces)]
+        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
+        self.spell_size = np.array([len(x) for x in spelled], np.int64)
+        self.spell_at = np.cumsum(self.spell_size) - self.spell_size
 
     @staticmethod
     def normal(text: str) -> str:
         """A text as the pieces spell it: spaces marked, one put before."""
         return (SPACE + text.replace(" ", SPACE)) if text else ""
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text that ids spell; bytes that make no character are replaced."""
-        out = bytearray()
-        for i in ids:
-            out += bytes((int(self.pieces[i][1:-1], 16),)) if self.lib.is_byte(i) else self.pieces[i].encode()
-        text = out.decode("utf-8", "replace").replace(SPACE, " ")
+        own = np.asarray(ids, np.int64)
+        size = self.spell_size[own]
+        stop = np.cumsum(size)
+        raw = self.spelled[np.arange(stop[-1] if len(stop) else 0) + np.repeat(self.spell_at[own] - stop + size, size)]
+        text = raw.tobytes().decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
-    def steps(self, chunk: str) -> list[list[Step]]:
-        """For each position of a chunk: the pieces that start there, with their probabilities given the position."""
-        got = self.cache.get(chunk)
-        if got is not None:
-            return got
-        n = len(chunk)
-        edges: list[list[Step]] = []
-        for i in range(n):
-            here = [(j, (w[0],), w[1]) for j in range(i + 1, min(n, i + self.longest) + 1) if (w := self.weight.get(chunk[i:j]))]
-            if not here or here[0][0] != i + 1:
-                raw = chunk[i].encode("utf-8", "surrogatepass")
-                here.insert(0, (i + 1, tuple(self.byte[b] for b in raw), self.byte_weight * len(raw)))
-            edges.append(here)
-        after = [0.0] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            sums = [w + after[j] for j, _, w in edges[i]]
-            top = max(sums)
-            after[i] = top + log(sum(exp(s - top) for s in sums))
-            edges[i] = [(j, ids, s - after[i]) for (j, ids, _), s in zip(edges[i], sums, strict=True)]
-        if len(self.cache) >= MOST_CACHED:
-            self.cache.clear()
-        self.cache[chunk] = edges
-        return edges
-
-    def lattice(self, text: str) -> list[list[Step]]:
-        """The steps at every position of the whole normalised text; pieces don't cross the starts of its words."""
-        out: list[list[Step]] = []
-        for chunk in _CHUNK.findall(self.normal(text)):
-            at = len(out)
-            out += [[(at + j, ids, w) for j, ids, w in here] for here in self.steps(chunk)] if at else self.steps(chunk)
-        return out
+    def words(self, text: str) -> list[str]:
+        """The words of a whole text, normalised; pieces don't cross their starts."""
+        return _CHUNK.findall(self.normal(text))
 
 
 def model(path: str, sharpness: float = 1.0) -> SubwordModel:
@@ -102,62 +143,220 @@ def model(path: str, sharpness: float = 1.0) -> SubwordModel:
     return _loaded[path, sharpness]
 
 
-def _below(limit: float, top: float, value: float) -> float:
-    """``value``, a Gumbel with maximum ``top`` among its like, moved so that the maximum is ``limit``."""
-    v = limit - value + (log1p(-exp(value - top)) if value < top else -inf)
-    if v == -inf:
-        return limit
-    return limit - max(0.0, v) - log1p(exp(-abs(v)))
+class Batch:
+    """The lattices of a batch's distinct words laid end to end: positions are states, steps are numbered through.
 
+    Of each state: where its steps begin. Of each step: the state it leads to (-1: the word's end),
+    its log probability given the state, and its ids.
+    """
 
-def top_k(lattice: list[list[Step]], k: int, seed: int) -> list[tuple[list[int], float, float]]:
-    """At most k distinct segmentations in sampled order: ids, log probability, inclusion probability.
+    def __init__(self, m: SubwordModel, words: list[str]):
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.array([len(w) for w in words], np.int64)
+        self.word_state = np.cumsum(size) - size
+        n = len(points)
+        end = np.repeat(self.word_state + size, size)
+        cls = m.trie.class_of(points)
+        at, node, ahead = np.arange(n), np.zeros(n, np.int32), 0
+        spots, stops, found = [], [], []
+        while len(at):
+            node = m.trie.move(node, cls[at + ahead])
+            go = node > 0
+            at, node, ahead = at[go], node[go], ahead + 1
+            piece = m.trie.piece[node]
+            hit = piece >= 0
+            if ahead == 1:  # a character that is no piece is spelled by its bytes
+                spelled = np.ones(n, bool)
+                spelled[at[hit]] = False
+                raw = np.flatnonzero(spelled)
+                spots.append(raw)
+                stops.append(raw + 1)
+                found.append(np.full(len(raw), -1))
+            spots.append(at[hit])
+            stops.append(at[hit] + ahead)
+            found.append(piece[hit])
+            more = at + ahead < end[at]
+            at, node = at[more], node[more]
+        spot, stop, piece = (np.concatenate(x) for x in (spots, stops, found))
+        order = np.argsort(spot, kind="stable")
+        spot, stop, piece = spot[order], stop[order], piece[order]
+        self.first = np.searchsorted(spot, np.arange(n + 1))
+        own = np.flatnonzero(piece < 0)
+        coded = ["".join(map(chr, points[i : i + 1])).encode("utf-8", "surrogatepass") for i in spot[own].tolist()]
+        many = np.array([len(c) for c in coded], np.int64)
+        weight = m.ranked_weight[piece]
+        weight[own] = m.byte_weight * many
+        self.id_size = np.ones(len(spot), np.int64)
+        self.id_size[own] = many
+        self.id_at = np.cumsum(self.id_size) - self.id_size
+        self.ids = np.repeat(m.ranked_id[piece], self.id_size)
+        self.ids[np.repeat(self.id_at[own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)] = m.byte_id[np.frombuffer(b"".join(coded), np.uint8)]
+        # sums from the words' ends: all the states as far from theirs at a time
+        left = (end - np.arange(n))[spot]
+        turn = np.argsort(left, kind="stable")
+        cuts = np.searchsorted(left[turn], np.arange(1, int(left.max()) + 2))
+        after = np.zeros(n + 1)
+        ends = stop == end[spot]
+        step_sum = np.empty(len(spot))
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            mine = turn[a:z]
+            sums = weight[mine] + np.where(ends[mine], 0.0, after[np.minimum(stop[mine], n)])
+            step_sum[mine] = sums
+            here = spot[mine]
+            begin = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
+            after[here[begin]] = np.logaddexp.reduceat(sums, begin)
+        self.log_p = np.minimum(step_sum - after[spot], 0.0)
+        self.after = np.where(ends, -1, stop)
+        self.state = spot
+        p = np.exp(self.log_p)
+        total = np.cumsum(p)
+        summed = np.minimum(total - np.repeat(np.concatenate([[0.0], total])[self.first[:-1]], np.diff(self.first)), 1.0)
+        summed[self.first[1:] - 1] = 1.0
+        self.reach = spot + summed  # ascends over all steps
+        self.rest = -np.expm1(self.log_p)
+        self.rest[self.first[:-1][np.diff(self.first) == 1]] = 0.0
+
+    def chosen(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The step that a uniform number draws at each state."""
+        return np.minimum(np.searchsorted(self.reach, state + u, "right"), self.first[state + 1] - 1)
+
+    def ids_of(self, steps: np.ndarray) -> np.ndarray:
+        size = self.id_size[steps]
+        stop = np.cumsum(size)
+        return self.ids[np.arange(stop[-1] if len(stop) else 0) + np.repeat(self.id_at[steps] - stop + size, size)]
+
+
+def uniform(noise: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from 64-bit hashes."""
+    return ((mix(noise) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def lowered(limit: np.ndarray, loc: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Gumbel variables about ``loc`` that are known to lie below ``limit``."""
+    return -np.logaddexp(-limit, np.log(-np.log(u)) - loc)
+
+
+_WALK, _WORD, _STEP, _OTHER = U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
+
+
+@dataclass
+class Path:
+    """A complete segmentation: its steps and the words they are in, log probability up to each step, in all, and its key."""
+
+    steps: np.ndarray
+    words: np.ndarray
+    before: np.ndarray
+    total: float
+    key: float
+
+
+def sample_batch(m: SubwordModel, texts: list[str], seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
+    """For each text at most k distinct segmentations in sampled order: ids, log probability, inclusion probability.
 
     Where there are k segmentations or fewer all are returned, each included for certain.
     """
-    if not lattice:
-        return [([], 0.0, 1.0)]
-    rng = random.Random(seed)
-    draw = rng.random
-    end = len(lattice)
-    # entries: key, tie break, position, log probability, path as (before, ids)
-    heap: list[tuple[float, int, int, float, tuple | None]] = [(log(-log(draw() or 1e-300)), 0, 0, 0.0, None)]
-    count = 0
-    out: list[tuple[tuple | None, float]] = []
-    threshold = -inf
-    while heap:
-        key, _, at, phi, path = heapq.heappop(heap)
-        limit = -key
-        while at < end:
-            here = lattice[at]
-            if len(here) == 1:
-                at, ids, w = here[0]
-                phi += w
-                path = (path, ids)
+    index: dict[str, int] = {}
+    known = [np.array([index.setdefault(c, len(index)) for c in m.words(t)], np.int64) for t in texts]
+    out: list[list[tuple[np.ndarray, float, float]]] = [[] if len(w) else [(np.zeros(0, np.int64), 0.0, 1.0)] for w in known]
+    if not index:
+        return out
+    batch = Batch(m, list(index))
+    start = [batch.word_state[w] for w in known]
+    seeds = seeds.view(np.uint64)
+    with np.errstate(over="ignore"):
+        roots = mix(seeds * _WALK + _OTHER)
+    found: list[list[Path]] = [[] for _ in texts]
+    # open nodes of each text: minus the key, a tie break, the path it leaves, at which step, and the steps there that are taken
+    heaps: list[list[tuple[float, int, Path, int, tuple[int, ...]]]] = [[] for _ in texts]
+    ties = 0
+    for turn in range(k):
+        starts = []  # text, key, path to leave (or none), steps kept, next state in the word left, first whole word
+        for i, w in enumerate(known):
+            if not len(w):
                 continue
-            values = [phi + w - log(-log(draw() or 1e-300)) for _, _, w in here]
-            top = max(values)
-            best = values.index(top)
-            for i, (j, ids, w) in enumerate(here):
-                if i != best:
-                    count += 1
-                    heapq.heappush(heap, (-_below(limit, top, values[i]), count, j, phi + w, (path, ids)))
-            at, ids, w = here[best]
-            phi += w
-            path = (path, ids)
-        if len(out) == k:
-            threshold = limit
+            if not turn:
+                starts.append((i, float(-np.log(-np.log(uniform(roots[i : i + 1]))[0])), None, np.zeros(0, np.int64), -1, 0))
+            elif heaps[i]:
+                key, _, path, at, taken = heapq.heappop(heaps[i])
+                step0 = path.steps[at]
+                state = batch.state[step0]
+                options = np.setdiff1d(np.arange(batch.first[state], batch.first[state + 1]), taken)
+                p = np.exp(batch.log_p[options])
+                with np.errstate(over="ignore"):
+                    noise = uniform(mix(seeds[i] + _WALK * U64(turn)) + _OTHER * np.arange(1, 3, dtype=np.uint64))
+                j = min(int(np.searchsorted(np.cumsum(p), noise[0] * p.sum(), "right")), len(options) - 1)
+                left = p.sum() - p[j]
+                if len(options) > 1 and left > 0:
+                    ties += 1
+                    value = lowered(np.array(-key), np.array(path.before[at] + log(left)), noise[1])
+                    heapq.heappush(heaps[i], (-float(value), ties, path, at, (*taken, int(options[j]))))
+                kept = np.append(path.steps[:at], options[j])
+                starts.append((i, -key, path, kept, int(batch.after[options[j]]), int(path.words[at])))
+        if not starts:
             break
-        out.append((path, phi))
-    found = []
-    for path, phi in out:
-        parts = []
-        while path is not None:
-            path, ids = path
-            parts.append(ids)
-        share = 1.0 if threshold == -inf else -expm1(-exp(min(phi - threshold, 50.0)))
-        found.append(([i for ids in reversed(parts) for i in ids], phi, share))
-    return found
+        # all words that the walks still have to cross; a word left midway goes on from its state
+        owner, word, state = [], [], []
+        for n, (i, _, path, _, mid, w0) in enumerate(starts):
+            whole = np.arange(w0 + (path is not None), len(known[i]))
+            if mid >= 0:
+                whole = np.append(w0, whole)
+            at = start[i][whole]
+            if mid >= 0:
+                at[0] = mid
+            owner.append(np.full(len(whole), n))
+            word.append(whole)
+            state.append(at)
+        owner, word, state = (np.concatenate(x) for x in (owner, word, state))
+        text_of = np.array([x[0] for x in starts])
+        with np.errstate(over="ignore"):
+            noise = mix(seeds[text_of[owner]] + _WALK * U64(turn + 1)) + _WORD * word.astype(np.uint64)
+        place = np.arange(len(word))
+        seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        live = place
+        at = state
+        with np.errstate(over="ignore"):
+            while len(live):
+                here = batch.chosen(at, uniform(noise[live]))
+                seen.append((live, here, noise[live] ^ _OTHER))
+                after = batch.after[here]
+                go = after >= 0
+                noise[live] += _STEP
+                live, at = live[go], after[go]
+        if seen:
+            places, steps, other = (np.concatenate(x) for x in zip(*seen, strict=True))
+            order = np.argsort(places, kind="stable")
+            places, steps, other = places[order], steps[order], other[order]
+        else:
+            places, steps, other = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        cuts = np.searchsorted(owner[places], np.arange(len(starts) + 1))
+        log_p, rest = batch.log_p[steps], batch.rest[steps]
+        sums = np.concatenate([[0.0], np.cumsum(log_p)])
+        base = np.array([(float(path.before[len(kept) - 1]) + float(batch.log_p[kept[-1]])) if path is not None else 0.0 for _, _, path, kept, _, _ in starts])
+        before = sums[:-1] - np.repeat(sums[cuts[:-1]] - base, np.diff(cuts))
+        open_ = np.flatnonzero(rest > 0)
+        limit = np.repeat([x[1] for x in starts], np.diff(cuts))[open_]
+        value = lowered(limit, before[open_] + np.log(rest[open_]), uniform(other[open_]))
+        edges = np.searchsorted(open_, cuts)
+        for n, (i, key, path, kept, _, _) in enumerate(starts):
+            a, b = cuts[n], cuts[n + 1]
+            own_steps, own_words, own_before = steps[a:b], word[places[a:b]], before[a:b]
+            if path is not None:
+                own_steps, own_words = np.concatenate([kept, own_steps]), np.concatenate([path.words[: len(kept)], own_words])
+                own_before = np.concatenate([path.before[: len(kept)], own_before])
+            new = Path(own_steps, own_words, own_before, float(base[n] + sums[b] - sums[a]), key)
+            found[i].append(new)
+            v = value[edges[n] : edges[n + 1]]
+            best = np.argpartition(-v, k)[:k] if len(v) > k else np.arange(len(v))  # no more than k of them can be taken
+            for x in best.tolist():
+                site = int(open_[edges[n] + x] - a) + len(kept)
+                ties += 1
+                heapq.heappush(heaps[i], (-float(v[x]), ties, new, site, (int(own_steps[site]),)))
+    for i, paths in enumerate(found):
+        threshold = -heaps[i][0][0] if heaps[i] else None
+        for x in paths:
+            share = 1.0 if threshold is None else -expm1(-exp(min(x.total - threshold, 50.0)))
+            out[i].append((batch.ids_of(x.steps), x.total, share))
+    return out
 
 
 def sampled(rows: DataFrame, keys: list[str], text_col: str = "text", k: int = 4, path: str | None = None, sharpness: float = 1.0, ids: bool = False) -> DataFrame:
@@ -177,17 +376,21 @@ def sampled(rows: DataFrame, keys: list[str], text_col: str = "text", k: int = 4
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(file, sharpness)
         for batch in batches:
-            texts, seeds = batch["__text"].to_pylist(), batch["__seed"].to_pylist()
-            for a in range(0, len(texts), 256):
+            texts = batch["__text"].to_pylist()
+            seeds = batch["__seed"].to_numpy(zero_copy_only=False)
+            sizes = np.cumsum([len(t or "") for t in texts])
+            a = 0
+            while a < len(texts):
+                z = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + BATCH_CHARS, "right")))
                 take: list[int] = []
                 cols: list[list] = [[] for _ in range(7)]
-                for r in range(a, min(a + 256, len(texts))):
-                    text = texts[r] or ""
-                    want = text.replace(SPACE, " ")
-                    for s, (got, log_p, share) in enumerate(top_k(m.lattice(text), k, seeds[r])):
+                for r, found in zip(range(a, z), sample_batch(m, [t or "" for t in texts[a:z]], seeds[a:z], k), strict=True):
+                    want = (texts[r] or "").replace(SPACE, " ")
+                    for n, (got, log_p, share) in enumerate(found):
                         take.append(r)
-                        for c, v in zip(cols, (s, len(got), log_p, share, zlib.crc32(np.array(got, "<u4").tobytes()), m.decode(got) == want, got), strict=True):
+                        for c, v in zip(cols, (n, len(got), round(log_p, 9), round(share, 9), zlib.crc32(got.astype("<u4").tobytes()), m.decode(got) == want, got), strict=True):
                             c.append(v)
+                a = z
                 kept = batch.select(keys).take(pa.array(take, pa.int64()))
                 types = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
                 made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]

@@ -172,6 +172,15 @@ def test_toxicity_on_held_out_documents(spark):
     text = docs.where(f"doc_id = {hit['doc_id']}").first()["text"]
     assert all(text[s["start"] : s["stop"]].startswith(("zg", "vilk")) for s in hit["toxic_spans"]) and hit["toxic_spans"]
     assert got[600]["score"] < 0.3 and got[601]["score"] == got[600]["score"]
+    # stretches about evidence against chains over whole texts
+    for r in docs.limit(60).collect():
+        e = np.array([model.emission(w) for w in toxicity._TOKEN.findall(r["text"] or "")], dtype=float)
+        if len(e):
+            stops = np.array([len(e)])
+            whole = toxicity.forward_backward(e[None, :], stops, model.transition)[0][0]
+            part = toxicity.token_marginals(e, stops, model)
+            a, b = (1 / (1 + np.exp(-toxicity.summary(p, stops) @ model.logistic)) for p in (whole, part))
+            assert abs(a - b)[0] < 0.02
     kept = toxicity.without_toxic(docs, model)
     assert kept.columns == docs.columns and kept.where("doc_id >= 600").count() == 3
 
@@ -270,37 +279,71 @@ def test_segmentations(spark):
     assert sorted(r["text"] for r in plain) == sorted(t or "" for t in texts)
 
 
-def test_sampling_follows_the_lattice_without_replacement():
+def steps_of(m, word):
+    """For each position of a word its pieces (stop, ids, log probability given the position), by the definition."""
+    n = len(word)
+    edges = []
+    for i in range(n):
+        here = [(j, (m.weight[word[i:j]][0],), m.weight[word[i:j]][1]) for j in range(i + 1, n + 1) if word[i:j] in m.weight]
+        if not here or here[0][0] != i + 1:
+            raw = word[i].encode()
+            here.insert(0, (i + 1, tuple(m.byte[b] for b in raw), m.byte_weight * len(raw)))
+        edges.append(here)
+    after = [0.0] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        sums = [w + after[j] for j, _, w in edges[i]]
+        after[i] = np.logaddexp.reduce(sums)
+        edges[i] = [(j, ids, x - after[i]) for (j, ids, _), x in zip(edges[i], sums, strict=True)]
+    return edges
+
+
+@pytest.mark.parametrize("text", ["the", "or a", "日x"])
+def test_sampling_follows_the_lattice_without_replacement(text):
     m = segmentations.SubwordModel(vocabulary("piece_bpe_32k.model"), 0.2)
-    lattice = m.lattice("the")
-    paths = {}
-
-    def walk(at, ids, w):
-        if at == len(lattice):
-            paths[tuple(ids)] = w
-        else:
-            for j, more, x in lattice[at]:
-                walk(j, [*ids, *more], w + x)
-
-    walk(0, [], 0.0)
+    paths = {(): 0.0}
+    for chunk in m.words(text):
+        steps, own = steps_of(m, chunk), {}
+
+        def walk(at, ids, w, steps=steps, own=own):
+            if at == len(steps):
+                own[tuple(ids)] = w
+            else:
+                for j, more, x in steps[at]:
+                    walk(j, [*ids, *more], w + x)
+
+        walk(0, [], 0.0)
+        paths = {a + b: x + y for a, x in paths.items() for b, y in own.items()}
     assert sum(map(exp, paths.values())) == pytest.approx(1)
     first, weight, n = dict.fromkeys(paths, 0), dict.fromkeys(paths, 0.0), 4000
-    for seed in range(n):
-        got = segmentations.top_k(lattice, 3, seed)
-        assert len({tuple(ids) for ids, *_ in got}) == min(3, len(paths))
-        first[tuple(got[0][0])] += 1
+    for got in segmentations.sample_batch(m, [text] * n, np.arange(n), 3):
+        assert len({tuple(ids) for ids, *_ in got}) == len(got) == min(3, len(paths))
+        first[tuple(got[0][0].tolist())] += 1
         for ids, w, share in got:
-            assert w == pytest.approx(paths[tuple(ids)])
-            weight[tuple(ids)] += exp(w) / share / n
+            assert w == pytest.approx(paths[tuple(ids.tolist())])
+            weight[tuple(ids.tolist())] += exp(w) / share / n
     for p, w in paths.items():
         assert first[p] / n == pytest.approx(exp(w), abs=0.03)
         assert weight[p] == pytest.approx(exp(w), abs=0.05)
-    assert len(segmentations.top_k(lattice, 10_000, 1)) == len(paths)
+    every = segmentations.sample_batch(m, [text], np.array([1]), len(paths) + 3)[0]
+    assert len({tuple(ids.tolist()) for ids, *_ in every}) == len(every) == len(paths) and all(share == 1.0 for *_, share in every)
+
+
+def test_samples_do_not_depend_on_their_batch():
+    m = segmentations.model(vocabulary("piece_bpe_32k.model"))
+    texts = ["some words here", "", "x" * 500, "other words, 日本 here", "some words here"]
+    together = segmentations.sample_batch(m, texts, np.arange(5), 4)
+    for i, t in enumerate(texts):
+        alone = segmentations.sample_batch(m, [t], np.array([i]), 4)[0]
+        assert [(x.tolist(), share) for x, _, share in alone] == [(x.tolist(), pytest.approx(share)) for x, _, share in together[i]]
+        assert all(m.decode(x) == t for x, *_ in alone)
+    keys = [share for *_, share in together[0]]
+    assert len(keys) == 4 and all(0 <= x <= 1 for x in keys)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 20, 10**6])
+def test_components(spark, local):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (100, 102), (7, 7)]
-    got = components(spark.createDataFrame(chain, "a long, b long"), Scratch(spark)).collect()
+    got = components(spark.createDataFrame(chain, "a long, b long"), Scratch(spark), "cc", local).collect()
     groups: dict = {}
     for r in got:
         groups.setdefault(r["root"], set()).add(r["node"])
