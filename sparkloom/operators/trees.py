@@ -7,6 +7,7 @@ nodes stay within.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -414,22 +415,28 @@ def paired_labels(nodes: DataFrame, page: str, most: float = 500.0) -> DataFrame
     """
     kind = dict(nodes.dtypes)[page]
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        a, b = f[f["is_input"]].sort_values("node"), f[f["is_label"]].sort_values("node")
-        if a.empty:
-            return pd.DataFrame({page: [], "input": [], "label": []})
+    def pairs(own: list) -> list[tuple[int, int | None]]:
+        own = sorted(own, key=lambda n: n["node"])
+        a, b = [n for n in own if n["is_input"]], [n for n in own if n["is_label"]]
         pair = np.full(len(a), -1)
-        if len(b):
-            cost = np.minimum(np.hypot(a["cx"].to_numpy()[:, None] - b["cx"].to_numpy(), a["cy"].to_numpy()[:, None] - b["cy"].to_numpy()), most)
-            for i, p in enumerate(a["path"]):
-                for j, q in enumerate(b["path"]):
-                    same = next((k for k, (x, y) in enumerate(zip(p, q, strict=False)) if x != y), min(len(p), len(q)))
-                    cost[i, j] += np.log1p(len(p) + len(q) - 2 * same if same else 1_000_000)
+        if a and b:
+            at = lambda side, c: np.array([n[c] for n in side], float)
+            cost = np.minimum(np.hypot(at(a, "cx")[:, None] - at(b, "cx"), at(a, "cy")[:, None] - at(b, "cy")), most)
+            for i, j in itertools.product(range(len(a)), range(len(b))):
+                p, q = a[i]["path"], b[j]["path"]
+                same = next((k for k, (x, y) in enumerate(zip(p, q, strict=False)) if x != y), min(len(p), len(q)))
+                cost[i, j] += np.log1p(len(p) + len(q) - 2 * same if same else 1_000_000)
             pair = assignment(cost)
             pair[(pair >= 0) & (cost[np.arange(len(a)), np.maximum(pair, 0)] >= 2 * most)] = -1
-        label = [int(b["node"].iloc[j]) if j >= 0 else None for j in pair]
-        return pd.DataFrame({page: f[page].iloc[0], "input": a["node"].to_numpy(), "label": pd.array(label, "Int64")})
+        return [(a[i]["node"], b[j]["node"] if j >= 0 else None) for i, j in enumerate(pair.tolist())]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = [(k, *x) for k, own in zip(f[page], f["own"], strict=True) for x in pairs(list(own))]
+            table = pd.DataFrame(out, columns=[page, "input", "label"])
+            table["label"] = table["label"].astype("Int64")
+            yield table
 
     cx, cy = centre(F.col("box"))
-    rows = nodes.where("is_input or is_label").select(page, F.col("node").cast("long").alias("node"), "is_input", "is_label", cx.alias("cx"), cy.alias("cy"), "path")
-    return rows.groupBy(page).applyInPandas(run, f"`{page}` {kind}, input long, label long")
+    rows = nodes.where("is_input or is_label").select(page, F.struct(F.col("node").cast("long").alias("node"), "is_input", "is_label", cx.alias("cx"), cy.alias("cy"), "path").alias("n"))
+    return rows.groupBy(page).agg(F.collect_list("n").alias("own")).mapInPandas(run, f"`{page}` {kind}, input long, label long")

@@ -124,6 +124,13 @@ def test_assignment_is_optimal():
             assert sum(cost[r, c] for r, c in enumerate(got) if c >= 0) == best
 
 
+def test_labels_of_inputs(spark):
+    box = lambda x, y: {"x": float(x), "y": float(y), "w": 2.0, "h": 2.0}
+    nodes = [(1, 1, True, False, box(0, 0), [0, 1]), (1, 2, True, False, box(100, 0), [0, 2]), (1, 3, False, True, box(90, 0), [0, 3]), (1, 4, False, True, box(5, 0), [0, 4]), (2, 1, True, False, box(0, 0), [0, 1])]
+    frame = rows(spark, nodes, "page long, node int, is_input boolean, is_label boolean, box struct<x:double,y:double,w:double,h:double>, path array<int>")
+    assert {tuple(r) for r in trees.paired_labels(frame, "page").collect()} == {(1, 1, 4), (1, 2, 3), (2, 1, None)}
+
+
 def test_hulls(spark):
     rng = random.Random(3)
     points = [("g", rng.gauss(0, 10), rng.gauss(0, 3)) for _ in range(400)] + [("two", 0.0, 0.0), ("two", 1.0, 1.0), ("line", 0.0, 0.0), ("line", 1.0, 1.0), ("line", 2.0, 2.0)]
