@@ -7,21 +7,25 @@ from the rarest to the most frequent, all but the last least-1 suffice to meet i
 prefixes are posted, the most frequent lists are skipped. Members of one list are merged by
 counting the coordinates on which their signatures agree; sets that agree often enough make
 candidate families. Within a family links are confirmed on the full shingle sets, and linked
-sets make components. Families and long lists are cut into blocks, and tasks work on pairs of
-blocks, so no task holds a whole one; they return spanning forests, never all pairs.
+sets make components. Sets in long lists are first linked, confirmed, to the first set of their
+list; what is so known to belong together is not compared again, so thousands of near copies cost
+about as much as they are many. The others meet in pairs of blocks, so no task holds a whole
+family; tasks return spanning forests, never all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import Scratch, components
+from .common import Scratch, components, roots
 from .textvec import U64, chunks, mix, prefix_sums, span_hash, words
 
 COORDINATES = 64
@@ -29,6 +33,8 @@ MISS = 1e-9
 LIST_BLOCK = 512
 FAMILY_BLOCK = 256
 FAMILY_SHINGLES = 400_000  # a family's blocks hold about so many shingles at most
+FEW = 12  # sets in a list that are compared with those of other lists at once
+STAR = 2048  # sets compared with one head in a task
 
 
 @cache
@@ -66,6 +72,13 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, size: int) -> tuple[np.n
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.array(at, np.int64)
 
 
+def set_hashes(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set."""
+    sums = [np.concatenate([[U64(0)], np.cumsum(mix(values ^ U64(s)))]) for s in (0x1234567, 0x7654321)]
+    h1, h2 = ((c[bounds[1:]] - c[bounds[:-1]]).view(np.int64) for c in sums)
+    return h1, h2
+
+
 def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Minima of COORDINATES multiply-shift hashes over each non-empty set, as unsigned 32-bit numbers."""
     keys = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * U64(0xA0761D6478BD642F))
@@ -90,8 +103,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
             for rows, off, data in chunks(batch[0], batch[1], 1 << 19):
                 v, at = shingle_sets(off, data, size)
                 n = np.diff(at)
-                sums = [np.concatenate([[U64(0)], np.cumsum(mix(v ^ U64(s)))]) for s in (0x1234567, 0x7654321)]
-                h1, h2 = ((c[at[1:]] - c[at[:-1]]).view(np.int64) for c in sums)
+                h1, h2 = set_hashes(v, at)
                 sig = signatures(v, at)
                 yield pa.RecordBatch.from_arrays(
                     [batch[0].slice(int(rows[0]), len(rows)).cast(pa.int64()), pa.array(n), pa.array(h1), pa.array(h2), pa.array([s.tobytes() if k else None for s, k in zip(sig, n, strict=True)], pa.binary())],
@@ -101,24 +113,6 @@ def scan(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, _SCAN)
 
 
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For nodes 0..n-1 and links (a, b): the least node of each node's component."""
-    label = np.arange(n)
-    while len(a):
-        x, y = label[a], label[b]
-        live = x != y
-        a, b, x, y = a[live], b[live], x[live], y[live]
-        if not len(a):
-            break
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-    return label
-
-
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of rows with equal keys from batches sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -140,6 +134,31 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about ``rows`` rows or more that hold runs of equal keys as a whole, from batches sorted by them, with where each run begins (and the end)."""
+    held: list[pa.RecordBatch] = []
+    many = 0
+
+    def starts(t: pa.Table) -> np.ndarray:
+        cols = [t[k].to_numpy() for k in keys]
+        return np.append(np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)])), t.num_rows)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            many += batch.num_rows
+        if many >= rows:
+            t = pa.Table.from_batches(held)
+            at = starts(t)
+            if len(at) > 2:
+                yield t.slice(0, at[-2]), at[:-1]
+                held = t.slice(at[-2]).to_batches()
+                many = t.num_rows - int(at[-2])
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, starts(t)
+
+
 def in_block_pairs(df: DataFrame, key: str, blocks: Column, member: str) -> DataFrame:
     """``df`` with bi, bj, mine: each row once for every pair of blocks of its group that its own block is in.
 
@@ -150,6 +169,29 @@ def in_block_pairs(df: DataFrame, key: str, blocks: Column, member: str) -> Data
     return rows.select(*df.columns, F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine")
 
 
+def against_others(df: DataFrame, key: str, known: str, member: str, most: int, volume: str | None = None, most_volume: int = 1) -> DataFrame:
+    """``df`` with bi and bj: rows of a group so dealt that any two which aren't known to belong together meet.
+
+    ``known`` names the component that a row is known to be in. A group's largest known
+    component never meets itself: its blocks only meet those of the others, so a group that is
+    one component costs nothing and one that is nearly so costs what its few others cost.
+    Groups that are one component go.
+    """
+    size = F.sum(volume) if volume else F.lit(0).cast("long")
+    parts = df.groupBy(key, known).agg(F.count("*").alias("n"), size.alias("v"))
+    most_of = F.struct("n", F.col(known).alias("c"), "v")
+    stat = parts.groupBy(key).agg(F.max(most_of).alias("top"), F.sum("n").alias("n"), F.sum("v").alias("v")).where(F.col("n") > F.col("top.n"))
+    cut = lambda n, v: F.greatest(F.lit(1), F.ceil(n / most), F.ceil(v / most_volume)).cast("int")
+    stat = stat.select(key, F.col("top.c").alias("_top"), cut(F.col("n") - F.col("top.n"), F.col("v") - F.col("top.v")).alias("_few"), cut(F.col("top.n"), F.col("top.v")).alias("_many"))
+    rows = df.join(stat, key)
+    top = F.col(known) == F.col("_top")
+    spot = F.xxhash64(member, F.lit(5))
+    own = F.when(top, F.col("_few") + F.pmod(spot, F.col("_many"))).otherwise(F.pmod(spot, F.col("_few"))).cast("int")
+    other = F.sequence(F.lit(0), F.when(top, F.col("_few") - 1).otherwise(F.col("_few") + F.col("_many") - 1))
+    rows = rows.withColumn("_own", own).withColumn("_other", F.explode(other))
+    return rows.select(*df.columns, F.least("_own", "_other").alias("bi"), F.greatest("_own", "_other").alias("bj"))
+
+
 _EDGES = "a long, b long"
 
 
@@ -158,65 +200,156 @@ def _forest(ids: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return ids[moved], ids[label[moved]]
 
 
-def candidate_edges(sets: DataFrame, scratch: Scratch, least: int) -> DataFrame:
-    """Edges a, b that span the families of sets whose signatures agree on at least ``least`` coordinates.
-
-    ``sets`` has rep long and sig binary. The signatures' low bytes are compared; chance
-    agreement of bytes only adds candidates.
-    """
+def posted_lists(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """rep, token, df: each set's posting lists (coordinate and value) that another set shares, with their lengths."""
     coords = F.sequence(F.lit(0), F.lit(COORDINATES - 1))
     values = F.transform(coords, lambda c: F.xxhash64(c, F.substring(F.col("sig"), c * 4 + 1, F.lit(4))))
     tokens = sets.select("rep", F.explode(values).alias("token"))
-    lengths = scratch.keep(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "lists")
-    met = tokens.join(lengths, "token")
+    lengths = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    return scratch.keep(tokens.join(lengths, "token"), "met")
+
+
+def low_bytes() -> Column:
+    """The low bytes of a signature's coordinates, one after the other."""
+    low = F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda c: F.hex(F.substring(F.col("sig"), c * 4 + 1, F.lit(1))))
+    return F.unhex(F.array_join(low, ""))
+
+
+def _lows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+
+
+def star_edges(docs: DataFrame, met: DataFrame, sets: DataFrame, wanted: Shingles, least: int, scratch: Scratch) -> DataFrame:
+    """Edges a, b that link sets in long lists to the first set of the same list, confirmed on full shingle sets.
+
+    Near copies by the thousand share their lists; so linked, they are one known component
+    before any two of them are compared. Each set takes the two longest of its long lists, and
+    its full set travels only if its signature agrees with the first set's often enough.
+    """
+    longest = F.slice(F.sort_array(F.collect_list(F.struct("df", "token")), asc=False), 1, 2)
+    own = met.where(F.col("df") > LIST_BLOCK).groupBy("rep").agg(longest.alias("l")).select("rep", F.explode("l.token").alias("token"))
+    heads = own.groupBy("token").agg(F.min("rep").alias("head"))
+    lows = sets.select(F.col("rep").alias("_rep"), "low")
+    pairs = own.join(heads, "token").where("rep <> head").select("rep", "head").distinct()
+    both = pairs.join(lows, F.col("rep") == F.col("_rep")).drop("_rep").withColumnRenamed("low", "own").join(lows, F.col("head") == F.col("_rep")).select("rep", "head", "own", "low")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.select(["rep", "head"]).filter(pa.array((_lows(batch["own"]) == _lows(batch["low"])).sum(1) >= least))
+
+    pairs = scratch.keep(both.mapInArrow(alike, "rep long, head long"), "star-pairs")
+    parts = pairs.groupBy("head").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
+    spokes = pairs.join(parts, "head").select("rep", "head", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("bi"), F.lit(1).alias("spoke"))
+    hubs = parts.select(F.col("head").alias("rep"), "head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("bi"), F.lit(0).alias("spoke"))
+    dealt = wanted.of(docs, spokes.unionByName(hubs).join(sets.select("rep", "h1", "h2"), "rep"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub: np.ndarray | None = None
+        head = None
+        for batch in batches:
+            ids, heads_, kinds = (batch[c].to_numpy() for c in ("rep", "head", "spoke"))
+            hit = []
+            for i, raw in enumerate(batch["shingles"].to_pylist()):
+                own = np.frombuffer(raw, np.uint64)
+                if not kinds[i]:
+                    hub, head = own, heads_[i]
+                elif head == heads_[i]:
+                    at = np.minimum(np.searchsorted(hub, own), len(hub) - 1)
+                    common = int((hub[at] == own).sum())
+                    if common and 100 * common >= wanted.percent * (len(hub) + len(own) - common):
+                        hit.append(i)
+            if hit:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(heads_[hit])], names=["a", "b"])
+
+    return dealt.repartition("head", "bi").sortWithinPartitions("head", "bi", "spoke").mapInArrow(run, _EDGES)
+
+
+@dataclass(frozen=True)
+class Shingles:
+    """How full shingle sets are made again from the texts of some rows."""
+
+    id_col: str
+    text_col: str
+    size: int
+    percent: int
+
+    def of(self, docs: DataFrame, rows: DataFrame) -> DataFrame:
+        """``rows`` (rep, h1, h2 and others) with shingles: the sets of these documents, of rows that repeat an id the one with these hashes."""
+        names = [c for c in rows.columns if c not in ("h1", "h2")]
+        texts = docs.select(F.col(self.id_col).alias("_id"), F.col(self.text_col).alias("text"))
+        # the rows grow with the corpus: the plan that holds at scale is taken at every size
+        both = texts.join(rows.hint("merge"), texts["_id"] == rows["rep"]).select("text", "h1", "h2", *names)
+        schema = StructType([*(rows.schema[c] for c in names), StructField("shingles", BinaryType())])
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for own, off, data in chunks(batch[0], batch[0], 1 << 19):
+                    v, at = shingle_sets(off, data, self.size)
+                    part = batch.slice(int(own[0]), len(own))
+                    h1, h2 = set_hashes(v, at)
+                    mine = (h1 == part["h1"].to_numpy()) & (h2 == part["h2"].to_numpy())
+                    out = [*part.select(names).columns, pa.array([v[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(out, names=[*names, "shingles"]).filter(pa.array(mine))
+
+        return both.mapInArrow(sets, schema)
+
+
+def candidate_edges(sets: DataFrame, met: DataFrame, scratch: Scratch, least: int) -> DataFrame:
+    """Edges a, b between known components that hold sets whose signatures agree on at least ``least`` coordinates.
+
+    ``sets`` has rep long, low binary and known long. The signatures' low bytes are compared;
+    chance agreement of bytes only adds candidates.
+    """
     # per set: its lists from the longest; the first least-1 of them need not be posted
     posted = met.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token")), asc=False).alias("lists")).where(F.size("lists") >= least)
-    posted = posted.select("rep", F.inline(F.slice("lists", least, COORDINATES))).select("rep", "token", "df")
-    low = F.transform(coords, lambda c: F.hex(F.substring(F.col("sig"), c * 4 + 1, F.lit(1))))
-    posted = posted.join(sets.select("rep", F.unhex(F.array_join(low, "")).alias("low")), "rep")
-    posted = scratch.keep(posted, "posted")
-    blocks = F.ceil(F.col("df") / LIST_BLOCK).cast("int")
-    dealt = in_block_pairs(posted, "token", blocks, "rep").drop("df")
+    posted = posted.select("rep", F.inline(F.slice("lists", least, COORDINATES))).select("rep", "token")
+    posted = posted.join(sets.select("rep", "known", "low"), "rep")
+    order = ["token", "bi", "bj"]
+    dealt = against_others(scratch.keep(posted, "posted"), "token", "known", "rep", LIST_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ["token", "bi", "bj"]):
-            if g.num_rows < 2:
-                continue
-            ids, first = np.unique(g["rep"].to_numpy(), return_index=True)
-            low = np.frombuffer(b"".join(g["low"].to_pylist()), np.uint8).reshape(-1, COORDINATES)[first]
+        for t, at in whole_groups(batches, order):
+            known, low, size = t["known"].to_numpy(), _lows(t["low"]), np.diff(at)
             x, y = [], []
-            for i in range(len(ids) - 1):
-                same = np.flatnonzero((low[i + 1 :] == low[i]).sum(1) >= least)
-                x.append(np.full(len(same), i))
-                y.append(same + i + 1)
-            a, b = _forest(ids, roots(len(ids), np.concatenate(x), np.concatenate(y)) if x else np.arange(len(ids)))
-            if len(a):
+            # lists of a few: all of them together, by the distance of the two in the list
+            few = np.repeat((size <= FEW) & (size > 1), size)
+            end = np.repeat(at[1:], size)
+            for d in range(1, min(FEW, int(size.max()))):
+                i = np.flatnonzero(few[:-d] & (np.arange(len(few) - d) + d < end[:-d]))
+                i = i[known[i] != known[i + d]]
+                i = i[(low[i] == low[i + d]).sum(1) >= least]
+                x.append(known[i])
+                y.append(known[i + d])
+            # longer ones: each set outside the commonest known component against all others
+            for g in np.flatnonzero(size > FEW).tolist():
+                a, z = at[g], at[g + 1]
+                names, own, many = np.unique(known[a:z], return_inverse=True, return_counts=True)
+                top = int(many.argmax())
+                met_ = low[a:z]
+                for i in np.flatnonzero(own != top).tolist():
+                    rest = np.flatnonzero((own != own[i]) & ((own == top) | (np.arange(z - a) > i)))
+                    hit = rest[(met_[rest] == met_[i]).sum(1) >= least]
+                    other = np.unique(own[hit])
+                    x.append(np.full(len(other), names[own[i]]))
+                    y.append(names[other])
+            x, y = np.concatenate(x) if x else np.zeros(0, np.int64), np.concatenate(y) if y else np.zeros(0, np.int64)
+            if len(x):
+                names, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
+                a, b = _forest(names, roots(len(names), ends[: len(x)], ends[len(x) :]))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    order = ["token", "bi", "bj"]
     return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, _EDGES)
 
 
-def confirmed_edges(docs: DataFrame, families: DataFrame, id_col: str, text_col: str, size: int, percent: int, scratch: Scratch) -> DataFrame:
+def confirmed_edges(docs: DataFrame, families: DataFrame, wanted: Shingles) -> DataFrame:
     """Edges a, b that span what links of 100 * intersection >= percent * union connect inside each family.
 
-    ``families`` has rep long, family long and n_shingles long.
+    ``families`` has rep, family, known, n_shingles, h1 and h2. Sets are dealt before they are
+    made, so what is known to belong together is neither copied nor compared.
     """
-    sizes = families.groupBy("family").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("volume"))
-    members = families.join(sizes, "family").select(F.col("rep").alias("doc_id"), "family", F.greatest(F.ceil(F.col("members") / FAMILY_BLOCK), F.ceil(F.col("volume") / FAMILY_SHINGLES)).cast("int").alias("blocks"))
-    members = members.withColumn("blocks", F.least("blocks", F.lit(1 << 20)))
-    # members grow with the corpus: the plan that holds at scale is taken at every size
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(members.hint("merge"), "doc_id").select("doc_id", "text", "family", "blocks")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, off, data in chunks(batch[0], batch[1], 1 << 19):
-                v, at = shingle_sets(off, data, size)
-                part = batch.slice(int(rows[0]), len(rows))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["family"], part["blocks"], pa.array([v[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["rep", "family", "blocks", "shingles"])
-
+    dealt = against_others(families, "family", "known", "rep", FAMILY_BLOCK, "n_shingles", FAMILY_SHINGLES).drop("n_shingles", "known")
     order = ["family", "bi", "bj"]
-    dealt = in_block_pairs(texts.mapInArrow(sets, "rep long, family long, blocks int, shingles binary"), "family", F.col("blocks"), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, order):
@@ -225,12 +358,12 @@ def confirmed_edges(docs: DataFrame, families: DataFrame, id_col: str, text_col:
             ids, first = np.unique(g["rep"].to_numpy(), return_index=True)
             raw = g["shingles"].to_pylist()
             got = [np.frombuffer(raw[i], np.uint64) for i in first.tolist()]
-            x, y = linked_pairs(got, percent)
+            x, y = linked_pairs(got, wanted.percent)
             a, b = _forest(ids, roots(len(ids), x, y))
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return dealt.drop("blocks", "mine").repartition(*order).sortWithinPartitions(*order).mapInArrow(run, _EDGES)
+    return wanted.of(docs, dealt).repartition(*order).sortWithinPartitions(*order).mapInArrow(run, _EDGES)
 
 
 def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -273,10 +406,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     full = scanned.where("doc_id is not null and n_shingles > 0")
     key = ["h1", "h2", "n_shingles"]
     classes = scratch.keep(full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes")
-    least = least_matches(percent / 100)
-    families = components(candidate_edges(classes.select("rep", "sig").groupBy("rep").agg(F.min("sig").alias("sig")), scratch, least), scratch, "families")
-    families = scratch.keep(families.join(classes.groupBy(F.col("rep").alias("node")).agg(F.max("n_shingles").alias("n_shingles")), "node").select(F.col("node").alias("rep"), F.col("root").alias("family"), "n_shingles"), "members")
-    found = components(confirmed_edges(docs, families, id_col, text_col, size, percent, scratch), scratch, "links")
+    one = F.min_by(F.struct("sig", "n_shingles", "h1", "h2"), F.struct("h1", "h2", "n_shingles"))  # of rows that repeat an id
+    sets = scratch.keep(classes.groupBy("rep").agg(one.alias("r")).select("rep", "r.*").withColumn("low", low_bytes()), "sets")
+    wanted, least = Shingles(id_col, text_col, size, percent), least_matches(percent / 100)
+    met = posted_lists(sets, scratch)
+    stars = scratch.keep(star_edges(docs, met, sets, wanted, least, scratch), "stars")
+    known = components(stars, scratch, "known")
+    sets = scratch.keep(sets.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("known", F.coalesce("root", "rep")).drop("root", "sig"), "known-sets")
+    near = components(candidate_edges(sets, met, scratch, least), scratch, "families")
+    families = sets.join(near.select(F.col("node").alias("known"), F.col("root").alias("family")), "known").select("rep", "family", "known", "n_shingles", "h1", "h2")
+    links = scratch.keep(confirmed_edges(docs, scratch.keep(families, "members"), wanted), "edges")
+    found = components(links.unionByName(stars), scratch, "links")
     first = found.groupBy("root").agg(F.min("node").alias("component"))
     found = scratch.keep(found.join(first, "root").select(F.col("node").alias("rep"), "component"), "components")
     named = scratch.keep(classes.drop("sig").join(found, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component")), "named")

@@ -259,3 +259,41 @@ def test_words_and_anchors():
         shift = len(v) - 80
         keys.append({(s - shift, int(span_hash(sums, np.array([a]), np.array([a + 8]))[0]), a - shift) for l, h, a in zip(lo, hi, at) for s in range(l, h + 1) if s >= shift})
     assert keys[0] == keys[1] and len(keys[0]) == 31
+
+
+def test_many_near_copies_meet_through_their_first(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LIST_BLOCK", 20)
+    monkeypatch.setattr(minhash, "STAR", 16)
+    rng = random.Random(21)
+    base = ["w%d" % rng.randrange(10**6) for _ in range(300)]
+    rows = [(i, " ".join(base[:i] + ["x%d" % i] + base[i + 1 :])) for i in range(150)] + [(200 + i, " ".join("y%d" % rng.randrange(10**6) for _ in range(50))) for i in range(30)]
+    rows += [(7, "another text under the same id, that no one else has"), (300, " ".join(base[:150] + ["z%d" % i for i in range(150)]))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert {r["component_id"] for r in got if r["doc_id"] < 200} == {0}
+    assert all(r["component_id"] == r["doc_id"] for r in got if r["doc_id"] >= 200)
+
+
+def test_recall_of_vector_links_on_the_table(spark):
+    """What brute force links among the embeddings of the smallest data and near copies of them, just at the threshold and above, is found."""
+    rng = np.random.default_rng(12)
+    table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "label", "embedding").where("label is not null").collect()
+    data = [(r["vec_id"], str(r["label"]), [float(x) for x in r["embedding"]]) for r in table if r["embedding"]]
+    for i, (_, label, v) in enumerate(data[:200]):
+        for k in range(3):
+            noise = rng.standard_normal(len(v))
+            near = np.array(v) + noise / np.linalg.norm(noise) * np.linalg.norm(v) * rng.choice([0.1, 0.15, 0.19, 0.2, 0.203])
+            data.append((10**6 + 3 * i + k, label, near.tolist()))
+    unit = np.array([np.array(v) / np.linalg.norm(v) for *_, v in data])
+    label = np.array([x for _, x, _ in data])
+    linked = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])
+    want = dict(zip((i for i, *_ in data), (linked.sum(1) - 1).tolist(), strict=True))
+    got = {r["vec_id"]: r["n_links"] for r in collisions.near_vectors(spark.createDataFrame(data, "vec_id long, label string, embedding array<double>")).collect()}
+    assert sum(want.values()) > 300 and all(got[i] <= n for i, n in want.items())
+    assert sum(got[i] for i in want) >= 0.999 * sum(want.values())
+
+
+def test_collisions_are_counted_inside_the_windows():
+    rng = np.random.default_rng(4)
+    for n, m in ((20, 30), (80, 90)):
+        left, right = rng.standard_normal((n, 6)), rng.standard_normal((m, 6))
+        assert (collisions.collisions(left, right, 0.3) == (np.abs(left[:, None] - right[None]) <= 0.3).sum(2)).all()
