@@ -1,11 +1,11 @@
 """Embedding near-duplicates by counting collisions of one-dimensional projections.
 
 Each vector is projected on many fixed random directions. Tables of a few projections each
-deal vectors into cells; within a cell the vectors lie sorted by their projections, and a
-pair counts a collision on every projection where the two are within a window centred on
-either. Near pairs collide on almost all projections: those that pass the count calibrated
-for the recall wanted are verified by their cosine in double precision. A pair that meets in
-several tables is taken in the first.
+deal vectors into cells, which bring together what can lie in a common window; within a cell
+every projection sorts the vectors, and a pair counts a collision on each projection where one
+lies in a window centred on the other. Near pairs collide on almost all projections: those that
+pass the count calibrated for the recall wanted are verified by their cosine in double
+precision. A pair that meets in several tables is taken in the first.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
-from .minhash import groups, in_block_pairs, roots
+from .common import Scratch, components, roots
+from .minhash import FEW, in_block_pairs, whole_groups
 
 BLOCK = 512
 
@@ -80,34 +80,41 @@ def cells(projected: np.ndarray, plan: Plan, dim: int) -> np.ndarray:
     return out
 
 
+def collisions(left: np.ndarray, right: np.ndarray, half: float) -> np.ndarray:
+    """For every left and right vector on how many projections the right one lies within ``half`` of the left one.
+
+    Each projection sorts the right vectors, a window about each left one is two searches, and
+    the counts of all windows are sums over their edges. Few vectors are compared as they are.
+    """
+    if len(left) * len(right) <= 4096:
+        return (np.abs(left[:, None] - right[None]) <= half).sum(2)
+    count = np.zeros((len(left), len(right)), np.int16)
+    row = np.arange(len(left))
+    for k in range(left.shape[1]):
+        order = np.argsort(right[:, k], kind="stable")
+        line = right[order, k]
+        edge = np.zeros((len(left), len(right) + 1), np.int16)
+        edge[row, np.searchsorted(line, left[:, k] - half)] += 1
+        edge[row, np.searchsorted(line, left[:, k] + half, "right")] -= 1
+        count[:, order] += np.cumsum(edge[:, :-1], axis=1, dtype=np.int16)
+    return count
+
+
 def close_pairs(unit: np.ndarray, projected: np.ndarray, cell: np.ndarray, table: int, plan: Plan, left: np.ndarray, right: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (one of ``left``, one of ``right``; within ``left`` if not ``cross``) that link, of those that first meet in this table.
 
-    One projection's sorted order and window give the candidates; the others only count for these.
+    Collisions are counted over all sorted projections; pairs that pass the count are verified.
     """
     half = plan.window * plan.spread(unit.shape[1])
-    order = np.argsort(projected[right, 0], kind="stable")
-    line = projected[right, 0][order]
-    # the first projection alone must not decide, so its window is widened to certainty
-    sure = sqrt(2 * (1 - plan.least_cosine)) + 1e-9
-    lo, hi = np.searchsorted(line, projected[left, 0] - sure), np.searchsorted(line, projected[left, 0] + sure, "right")
-    need = plan.count()
-    xs, ys = [], []
-    for i, a, b in zip(left.tolist(), lo.tolist(), hi.tolist(), strict=True):
-        mates = right[order[a:b]]
-        if not cross:
-            mates = mates[mates > i]
-        if table and len(mates):
-            mates = mates[~(cell[mates, :table] == cell[i, :table]).any(1)]
-        if len(mates):
-            mates = mates[(np.abs(projected[mates] - projected[i]) <= half).sum(1) >= need]
-        if len(mates):
-            mates = mates[unit[mates] @ unit[i] >= plan.least_cosine]
-        if len(mates):
-            xs.append(np.full(len(mates), i))
-            ys.append(mates)
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(xs), np.concatenate(ys)) if xs else (none, none)
+    x, y = np.nonzero(collisions(projected[left], projected[right], half) >= plan.count())
+    x, y = left[x], right[y]
+    fine = np.ones(len(x), bool) if cross else x < y
+    x, y = x[fine], y[fine]
+    if table:
+        fresh = ~(cell[x, :table] == cell[y, :table]).any(1)
+        x, y = x[fresh], y[fresh]
+    fine = np.concatenate([np.einsum("ij,ij->i", unit[x[i : i + 65536]], unit[y[i : i + 65536]]) >= plan.least_cosine for i in range(0, len(x), 65536)] or [np.zeros(0, bool)])
+    return x[fine], y[fine]
 
 
 def near_vectors(vectors: DataFrame, plan: Plan | None = None, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -148,24 +155,48 @@ def near_vectors(vectors: DataFrame, plan: Plan | None = None, id_col: str = "ve
     key = ["label", "dim", "t", "cell"]
     sizes = scratch.keep(met.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").withColumn("spot", F.xxhash64(*key)), "cells")
     dealt = scratch.keep(met.join(sizes, key).select("rep", "t", "spot", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "dealt")
-    dealt = in_block_pairs(dealt.join(placed.drop("label"), "rep"), "spot", F.col("blocks"), "rep")
+    dealt = in_block_pairs(dealt.join(placed.drop("label", "cells"), "rep"), "spot", F.col("blocks"), "rep")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ["spot", "bi", "bj"]):
-            if g.num_rows < 2:
-                continue
-            unit, line = (np.frombuffer(b"".join(g[c].to_pylist())).reshape(g.num_rows, -1) for c in ("unit", "line"))
-            cell = np.array(g["cells"].to_pylist(), np.int64)
-            ids, copies, mine = (g[c].to_numpy() for c in ("rep", "copies", "mine"))
-            bi, bj = g["bi"][0].as_py(), g["bj"][0].as_py()
-            left, right = np.flatnonzero(mine == bi), np.flatnonzero(mine == bj)
-            a, b = close_pairs(unit, line, cell, g["t"][0].as_py(), plan, left, right, bi != bj)
+        for t, at in whole_groups(batches, ["spot", "bi", "bj"]):
+            size = np.diff(at)
+            ids, copies, mine, table = (t[c].to_numpy() for c in ("rep", "copies", "mine", "t"))
+            dim = np.array([len(x) for x in t["unit"].to_pylist()]) // 8
+            a, b = [], []
+            for d in np.unique(dim).tolist():  # a cell's vectors are of one dimension
+                own = np.flatnonzero(dim == d)
+                unit, line = (np.frombuffer(b"".join(t[c].take(pa.array(own)).to_pylist())).reshape(len(own), -1) for c in ("unit", "line"))
+                cell = cells(line, plan, d)
+                where = np.full(t.num_rows, -1)
+                where[own] = np.arange(len(own))
+                # cells of a few: all of them together, by the distance of the two in the cell
+                few = np.repeat((size <= FEW) & (size > 1), size)
+                end = np.repeat(at[1:], size)
+                half, need = plan.window * plan.spread(d), plan.count()
+                for k in range(1, min(FEW, int(size.max()))):
+                    i = np.flatnonzero(few[:-k] & (np.arange(len(few) - k) + k < end[:-k]) & (dim[:-k] == d))
+                    x, y = where[i], where[i + k]
+                    fine = (np.abs(line[x] - line[y]) <= half).sum(1) >= need
+                    i, x, y = i[fine], x[fine], y[fine]
+                    first = np.argmax(cell[x] == cell[y], axis=1) == table[i] if len(i) else np.zeros(0, bool)  # a pair counts in the first table where it meets
+                    linked = first & (np.einsum("ij,ij->i", unit[x], unit[y]) >= plan.least_cosine)
+                    a.append(i[linked])
+                    b.append(i[linked] + k)
+                for g in np.flatnonzero((size > FEW) & (dim[at[:-1]] == d)).tolist():
+                    rows = np.arange(at[g], at[g + 1])
+                    bi, bj = t["bi"][int(at[g])].as_py(), t["bj"][int(at[g])].as_py()
+                    left, right = where[rows[mine[rows] == bi]], where[rows[mine[rows] == bj]]
+                    x, y = close_pairs(unit, line, cell, int(table[at[g]]), plan, left, right, bi != bj)
+                    a.append(own[x])
+                    b.append(own[y])
+            a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
             if not len(a):
                 continue
-            label = roots(len(ids), a, b)
-            links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
+            names, x = np.unique(ids, return_inverse=True)
+            label = roots(len(names), x[a], x[b])
+            links = np.bincount(x[a], copies[b], len(names)) + np.bincount(x[b], copies[a], len(names))
             some = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[label[some]]), pa.array(links[some].astype(np.int64))], names=["a", "b", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(names[label[some]]), pa.array(links[some].astype(np.int64))], names=["a", "b", "links"])
 
     order = ["spot", "bi", "bj"]
     found = scratch.keep(dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(count, "a long, b long, links long"), "found")
