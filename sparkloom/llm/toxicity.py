@@ -11,12 +11,13 @@ function of what its marginals add up to.
 from __future__ import annotations
 
 import heapq
+import pickle
 import re
 import sys
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,14 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, shuffle_width
+
 _TOKEN = re.compile(r"[^\W\d_]+")
 REACH = 8  # clean tokens kept on each side of a token with evidence
-MOST_CACHED = 400_000
+PLAIN = 3  # stretches of a document without signs that the fit sees
+MOST_CACHED = 150_000
 
 
 def features(word: str) -> list[str]:
-    """The word itself, its first 3 to 6 letters, its last 3 and 4."""
-    return ["w" + word, *("p" + word[:k] for k in (3, 4, 5, 6) if len(word) > k), *("s" + word[-k:] for k in (3, 4) if len(word) > k)]
+    """The word itself, its first 3 to 8 letters, its last 3 and 4."""
+    return ["w" + word, *("p" + word[:k] for k in range(3, 9) if len(word) > k), *("s" + word[-k:] for k in (3, 4) if len(word) > k)]
 
 
 @dataclass
@@ -129,36 +133,45 @@ def summary(p: np.ndarray, doc_stops: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum(take(sums), 6), 1 - none, 1 - none - one, np.ones(len(doc_stops))], 1)
 
 
-def distinct_families(rows: list[tuple[list[str], bool]], size: int = 16, shared: int = 5, run: int = 3) -> list[tuple[list[str], bool]]:
-    """One document of each family of copies: those that share few of their least hashes of word runs with any before.
+def least_runs(tokens: list[str], size: int = 16, run: int = 3) -> list[int]:
+    """The least hashes of a text's distinct runs of ``run`` words, ascending."""
+    runs = {" ".join(tokens[i : i + run]) for i in range(max(1, len(tokens) - run + 1))} if tokens else ()
+    return heapq.nsmallest(size, {zlib.crc32(w.encode()) * 0x9E3779B1 % 2**32 for w in runs})
+
+
+def distinct_families(runs: list[list[int]], shared: int = 5) -> list[int]:
+    """The places of one document of each family of copies: those that share few of their least runs with any before.
 
     A sample drawn from a corpus with copies would else take a copied document's chance words
-    for signs of its label. Runs of ``run`` words tell copies from documents that only have
-    their vocabulary in common.
+    for signs of its label. Runs of words tell copies from documents that only have their
+    vocabulary in common.
     """
     posted: dict[int, list[int]] = {}
-    out = []
-    for tokens, toxic in rows:
-        runs = {" ".join(tokens[i : i + run]) for i in range(max(1, len(tokens) - run + 1))} if tokens else ()
-        least = heapq.nsmallest(size, {zlib.crc32(w.encode()) * 0x9E3779B1 % 2**32 for w in runs})
+    out: list[int] = []
+    for k, least in enumerate(runs):
         met = Counter(i for h in least for i in posted.get(h, ()))
         if least and met and met.most_common(1)[0][1] >= min(shared, len(least)):
             continue
         for h in least:
-            posted.setdefault(h, []).append(len(out))
-        out.append((tokens, toxic))
+            posted.setdefault(h, []).append(k)
+        out.append(k)
     return out
 
 
-def _signs(rows: list[tuple[list[str], bool]], least_lift: float = 2.5, least_g: float = 35.0) -> tuple[set[str], set[str]]:
-    """Features surely likelier in toxic documents (log-likelihood ratio and lift), and all frequent ones."""
+def signs(rows: list[tuple[list[str], bool]], least_lift: float = 2.5, margin: float = 8.0) -> tuple[set[str], set[str]]:
+    """Features surely likelier in toxic documents, and all frequent ones; ``rows`` are documents' distinct words and labels.
+
+    Sure is a lift of ``least_lift`` (in logarithms) and a log-likelihood ratio that chance
+    reaches for none of as many features as are tried, with a margin.
+    """
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     size = [0, 0]
-    for tokens, toxic in rows:
+    for words, toxic in rows:
         size[toxic] += 1
-        seen[toxic].update({f for w in set(tokens) for f in features(w)})
+        seen[toxic].update({f for w in words for f in features(w)})
     seeds = set()
     if all(size):
+        least_g = margin + 2 * np.log(max(2, len(seen[0].keys() | seen[1].keys())))
         for f, c1 in seen[1].items():
             c0 = seen[0][f]
             lift = np.log((c1 + 0.5) / (size[1] + 1)) - np.log((c0 + 0.5) / (size[0] + 1))
@@ -169,22 +182,27 @@ def _signs(rows: list[tuple[list[str], bool]], least_lift: float = 2.5, least_g:
     return seeds, {f for s in seen for f, c in s.items() if c >= 6}
 
 
-def _fit_field(rows: list[tuple[list[str], bool]], rounds: int = 80) -> tuple[dict[str, float], float, np.ndarray]:
-    """Weights, bias and transitions from documents (tokens, toxic?)."""
-    rows = distinct_families(rows)
-    seeds, kept = _signs(rows)
+Chain = tuple[list[str], list[int]]
+
+
+def chains_of(tokens: list[str], toxic: bool, seeds: set[str], most: int) -> list[Chain]:
+    """Stretches of a text (words, marks) for the fit: about its words with signs, or about evenly spaced ones where it has none.
+
+    At most ``most`` of either, drawn evenly from all over the text.
+    """
+    known = {w: any(f in seeds for f in features(w)) for w in set(tokens)}
+    hits = [i for i, w in enumerate(tokens) if known[w]] or [int(x) for x in np.linspace(0, len(tokens) - 1, PLAIN)] * bool(tokens)
+    spots = [hits[int(x)] for x in np.linspace(0, len(hits) - 1, most)] if len(hits) > most else hits
+    out = []
+    for i in spots:
+        a, b = max(0, i - REACH), min(len(tokens), i + REACH + 1)
+        out.append((tokens[a:b], [int(toxic and known[w]) for w in tokens[a:b]]))
+    return out
+
+
+def fit_field(chains: list[Chain], kept: set[str], rounds: int = 80) -> tuple[dict[str, float], float, np.ndarray]:
+    """Weights, bias and transitions from labelled stretches."""
     index = {f: i for i, f in enumerate(sorted(kept))}
-    rng = np.random.default_rng(0)
-    chains: list[tuple[list[str], list[int]]] = []
-    for tokens, toxic in rows:
-        known = {w: any(f in seeds for f in features(w)) for w in set(tokens)}
-        hits = [i for i, w in enumerate(tokens) if known[w]][:12]
-        spots = hits or (rng.integers(0, len(tokens), 3).tolist() if tokens else [])
-        for i in spots:
-            a, b = max(0, i - REACH), min(len(tokens), i + REACH + 1)
-            chains.append((tokens[a:b], [int(toxic and known[w]) for w in tokens[a:b]]))
-    if not seeds:
-        return {}, -6.0, np.zeros((2, 2))
     width = 2 * REACH + 1
     length = np.array([len(c) for c, _ in chains])
     live = np.arange(width) < length[:, None]
@@ -225,29 +243,61 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int
     return b
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 5000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, chains: int = 12) -> Model:
     """Fits a model on at most ``sample`` labelled documents, half of each class where there are as many.
 
     Only rows with crc32(doc_id as text) mod 4 other than 2 are drawn; which of them depends
-    on a hash of the id. The classes' shares among all such rows set the score's level.
-    Without any labelled row of either class every document gets one constant score.
+    on a hash of the id. A document gives at most ``chains`` stretches of 2 * REACH + 1 words to
+    the fit, drawn evenly from all of it, PLAIN where it has no signs. Texts are read where they
+    lie: the driver gets the documents' distinct words, the stretches, and four sums of each.
+    The classes' shares among all such rows set the score's level. Without any labelled row of
+    either class every document gets one constant score.
     """
+    spark = docs.sparkSession
     open_rows = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     share = {r["toxic"]: r["n"] for r in open_rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = {k: [r[0] for r in open_rows.where(F.col("toxic") == k).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2).collect()] for k in (0, 1)}
     marks = {d: k for k, ids in chosen.items() for d in ids}
-    rows = docs.select("doc_id", "text").where(F.col("doc_id").isin(list(marks))).collect() if marks else []
-    rows.sort(key=lambda r: (r[0], r[1] or ""))
-    tokens = [([sys.intern(w.lower()) for w in _TOKEN.findall(r[1] or "")], bool(marks[r[0]])) for r in rows]
-    weights, bias, transition = _fit_field(tokens)
-    model = Model(weights, bias, transition, np.zeros(4))
-    y = np.array([float(t) for _, t in tokens])
-    if not len(y) or not y.any() or y.all():
-        p0 = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1)
-        model.logistic = np.array([0, 0, 0, np.log(p0 / (1 - p0))])
-        return model
-    e = np.array([model.emission(w) for ws, _ in tokens for w in ws])
-    x = summary(token_marginals(e, (stops := np.cumsum([len(ws) for ws, _ in tokens])), model), stops)
+    level = np.log((share.get(1, 0) + 0.5) / (share.get(0, 0) + 0.5))
+    constant = Model({}, -6.0, np.zeros((2, 2)), np.array([0, 0, 0, level]))
+    if not marks:
+        return constant
+    ids = spark.createDataFrame(list(marks.items()), "id long, toxic int")  # no more than ``sample`` rows
+    drawn = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("id", "toxic", "text")
+    drawn = Scratch(spark).keep(drawn, "sample").repartition(shuffle_width(spark), "id")
+
+    def each(make: Callable[[list[str], bool], bytes]) -> list[tuple[int, bool, bytes]]:
+        """What ``make`` gives of every drawn text's lower-case words, by id."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                toxic = batch["toxic"].to_pylist()
+                made = [make([w.lower() for w in _TOKEN.findall(t or "")], bool(k)) for t, k in zip(batch["text"].to_pylist(), toxic, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch["id"], batch["toxic"], pa.array(made, pa.binary())], names=["id", "toxic", "made"])
+
+        return sorted((r["id"], bool(r["toxic"]), bytes(r["made"])) for r in drawn.mapInArrow(run, "id long, toxic int, made binary").collect())
+
+    seen = [(k, *pickle.loads(x)) for _, k, x in each(lambda ws, _: pickle.dumps((least_runs(ws), " ".join(sorted(set(ws))))))]
+    first = distinct_families([runs for _, runs, _ in seen])
+    seeds, kept = signs([([sys.intern(w) for w in seen[i][2].split()], seen[i][0]) for i in first])
+    del seen
+    if not seeds:
+        return constant
+    families = set(first)
+    cut = each(lambda ws, k: pickle.dumps(chains_of(ws, k, seeds, chains)))
+    stretches = [c for i, (_, _, x) in enumerate(cut) if i in families for c in pickle.loads(x)]
+    model = Model(*fit_field(stretches, kept), np.zeros(4))
+    del cut, stretches
+
+    def sums(words: list[str], _: bool) -> bytes:
+        e = np.array([model.emission(w) for w in words], dtype=float)
+        stops = np.array([len(words)])
+        return summary(token_marginals(e, stops, model), stops)[0].tobytes()
+
+    got = each(sums)
+    x, y = np.array([np.frombuffer(v) for *_, v in got]), np.array([float(k) for _, k, _ in got])
+    if not y.any() or y.all():
+        return constant
     weight = np.where(y == 1, share[1] / y.sum(), share[0] / (1 - y).sum())
     model.logistic = _fit_logistic(x, y, weight * len(y) / weight.sum())
     return model
