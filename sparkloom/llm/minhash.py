@@ -34,7 +34,7 @@ LIST_BLOCK = 512
 FAMILY_BLOCK = 256
 FAMILY_SHINGLES = 400_000  # a family's blocks hold about so many shingles at most
 FEW = 12  # sets in a list that are compared with those of other lists at once
-STAR = 2048  # sets compared with one head in a task
+STAR = 256  # sets compared with one head in a task
 
 
 @cache
