@@ -35,4 +35,22 @@ OP10 = f"""WITH RECURSIVE w AS (SELECT doc_id, {_SPLIT.format(text=f"translate(t
    u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s), c AS (SELECT p.doc_id AS a, q.doc_id AS b, any_value(p.n + q.n) AS n, count(*) AS i FROM u p JOIN u q ON p.x = q.x AND p.doc_id < q.doc_id AND 100 * least(p.n, q.n) >= 85 * greatest(p.n, q.n) GROUP BY 1, 2),
    links AS (SELECT a, b FROM c WHERE 100 * i >= 85 * (n - i)), {_REACH} SELECT doc_id, len(s) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM s LEFT JOIN component ON doc_id = component.a"""
 
-STATEMENTS = {"op2_fm_substring_dedup": OP2, "op3_collision_counting": OP3, "op4_suffix_merge_dedup": OP4, "op10_minhash": OP10}
+
+def _assigned(k: int) -> str:
+    """Common tables of round ``k``: every vector's nearest centroid (the smaller number on a tie) and squared distance."""
+    square = "CAST(list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    return f"a{k} AS (SELECT vec_id, any_value(v.v) AS v, min(struct_pack(d := {square}, c := c)) AS m FROM v CROSS JOIN c{k} c GROUP BY vec_id)"
+
+
+def _moved(k: int) -> str:
+    """Common tables of the centroids after round ``k``: exact floors of the means, or where they were."""
+    return f"""s{k} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT m.c AS c, unnest(v) AS x, unnest(range(64)) AS i FROM a{k}) GROUP BY 1, 2),
+   n{k} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{k} GROUP BY 1), c{k + 1} AS (SELECT c, coalesce(n{k}.v, c{k}.v) AS v FROM c{k} LEFT JOIN n{k} USING (c))"""
+
+
+#: Three rounds over 16 centroids, then the last assignment.
+OP12 = f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+   c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v FROM v ORDER BY sha256('1:' || vec_id) LIMIT 16), {", ".join(f"{_assigned(k)}, {_moved(k)}" for k in range(3))}, {_assigned(3)}
+   SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256 FROM a3 JOIN c3 ON c3.c = a3.m.c"""
+
+STATEMENTS = {"op2_fm_substring_dedup": OP2, "op3_collision_counting": OP3, "op4_suffix_merge_dedup": OP4, "op10_minhash": OP10, "op12_centroid_clustering": OP12}
