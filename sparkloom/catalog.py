@@ -39,7 +39,7 @@ def d01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _register() -> None:
-    from . import queries_core, queries_io, queries_postings, queries_text, queries_trees, queries_urls, queries_vetting  # noqa: F401
+    from . import queries_core, queries_io, queries_postings, queries_tables, queries_text, queries_trees, queries_urls, queries_vetting  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
