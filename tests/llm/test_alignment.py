@@ -90,10 +90,21 @@ def test_large_groups_are_counted_by_distinct_ids(monkeypatch):
 
 
 def test_long_texts_are_cut_where_both_encode_alike():
-    a, b = alignment.tokenizers(*map(vocabulary, PATHS))
+    a, b = alignment.tokenizers(*map(vocabulary, PATHS), vocabulary("byte_bpe_50k.tiktoken"))
     rng = random.Random(2)
     text = "".join(rng.choice(["word", " x", "  ", "\n", " é", "9 ", "日", " A"]) for _ in range(6000))
     cut = alignment.parts(text, 50)
     assert len(cut) > 20 and " ".join(cut) == text
     for t in (a, b):
         assert [i for ids in t.ids(cut) for i in ids] == t.ids([text])[0]
+
+
+def test_ranks_give_the_same_ids():
+    slow, fast = (alignment.ByteTokens(vocabulary(PATHS[0]), r) for r in (None, vocabulary("byte_bpe_50k.tiktoken")))
+    assert slow.fast is None and fast.fast is not None
+    rng = random.Random(3)
+    every = [chr(i) for i in range(256)]
+    mixed = [" ", "a", "the", "\n", "'s", "1", "<|endoftext|>", "日", "œ"]
+    some = ["".join(rng.choice(every) for _ in range(80)) for _ in range(300)] + ["".join(rng.choice(mixed) for _ in range(40)) for _ in range(300)]
+    some += [t for t in texts() if t] + [a + b for a in every for b in ("a", " ", "1", "\n")]
+    assert fast.ids(some) == slow.ids(some)
