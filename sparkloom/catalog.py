@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import aggregates as agg
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -35,7 +37,7 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 )
 def d01(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t(spark, sf_dir, "orders").where(F.col("o_totalprice").isNotNull())
-    return rows.groupBy("o_orderpriority").agg(F.percentile("o_totalprice", 0.25).alias("p25"), F.count("*").alias("n")).where("n >= 20")
+    return agg.percentile_per_key(rows, ["o_orderpriority"], "o_totalprice", 0.25).withColumnRenamed("percentile", "p25")
 
 
 def _register() -> None:

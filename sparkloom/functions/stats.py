@@ -1,4 +1,4 @@
-"""Statistics as column expressions: intervals, exact tests, rank correlation, distances."""
+"""Statistics as column expressions: intervals, exact tests, distances."""
 
 from __future__ import annotations
 
@@ -61,35 +61,6 @@ def normal_cdf(z: Column) -> Column:
     return 0.5 * (1 + F.signum(z) * F.least(F.lit(1.0), erf))
 
 
-MOST_POINTS = 20_000
-
-
-def kendall_tau(points: DataFrame, x: str, y: str, key: str, most: int = MOST_POINTS) -> DataFrame:
-    """tau, p_value and n over a small set of points (an aggregate's result, such as one per metro).
-
-    Concordant minus discordant pairs over sqrt((P + ties in x only) * (P + ties in y only));
-    pairs tied in both count for neither. p_value comes from the normal approximation, 1 for
-    fewer than 10 points. Pairs come from an ordered self-join, so the input must be an
-    aggregate: more than ``most`` points are an error.
-    """
-    n = points.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} points; aggregate them first")
-    left = points.select(F.col(key).alias("k1"), F.col(x).alias("x1"), F.col(y).alias("y1"))
-    right = points.select(F.col(key).alias("k2"), F.col(x).alias("x2"), F.col(y).alias("y2"))
-    s = F.signum(F.col("x1") - F.col("x2")) * F.signum(F.col("y1") - F.col("y2"))
-    tied_x, tied_y = F.col("x1") == F.col("x2"), F.col("y1") == F.col("y2")
-    pairs = left.join(right, F.col("k1") < F.col("k2"))
-    sums = pairs.agg(
-        F.count_if(s > 0).alias("con"), F.count_if(s < 0).alias("dis"), F.count_if(tied_x & ~tied_y).alias("tx"), F.count_if(tied_y & ~tied_x).alias("ty")
-    )
-    both = F.col("con") + F.col("dis")
-    tau = F.try_divide((F.col("con") - F.col("dis")).cast("double"), F.sqrt(((both + F.col("tx")) * (both + F.col("ty"))).cast("double")))
-    tau = F.coalesce(tau, F.lit(0.0))
-    p = 2 * (1 - normal_cdf(F.abs(tau) / sqrt(2 * (2 * n + 5) / (9 * n * (n - 1))))) if n >= 10 else F.lit(1.0)
-    return sums.select(tau.alias("tau"), p.alias("p_value"), F.lit(n).cast("long").alias("n"), F.col("con").alias("concordant"), F.col("dis").alias("discordant"))
-
-
 def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * EARTH_MILES * F.asin(F.sqrt(F.least(F.lit(1.0), a)))

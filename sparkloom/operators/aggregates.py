@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .selection import percentiles
 
-def percentile_per_key(rows: DataFrame, key: str, value: Column, p: float, least: int = 20) -> DataFrame:
-    """The linearly interpolated percentile of non-null values per key, for keys of ``least`` rows or more."""
-    return rows.where(value.isNotNull()).groupBy(key).agg(F.percentile(value, p).alias("p"), F.count("*").alias("n")).where(F.col("n") >= least)
+
+def percentile_per_key(rows: DataFrame, keys: list[str], value: str, p: float, least: int = 20) -> DataFrame:
+    """keys, percentile and n: the linearly interpolated percentile of non-null values, for keys of ``least`` of them or more."""
+    return percentiles(rows, keys, value, [p]).where(F.col("n") >= least).drop("p")
+
+
+def mean_and_median(rows: DataFrame, keys: list[str], value: str, least: int = 1) -> DataFrame:
+    """keys, n (rows), mean and median of non-null values, for keys of ``least`` rows or more."""
+    means = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).where(F.col("n") >= least)
+    middle = percentiles(rows, keys, value, [0.5]).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("percentile").alias("median"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return means.join(middle, same, "left").select(*keys, "n", "mean", "median")
 
 
 def count_and_mean(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

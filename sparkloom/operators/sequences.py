@@ -26,12 +26,6 @@ def spread(cycles: DataFrame, key: str, platform: str) -> DataFrame:
     return cycles.groupBy(key).agg(F.count_distinct(platform).alias("platforms"), F.array_sort(F.collect_list("first_seen")).alias("first_days"))
 
 
-def percentile_before(rows: DataFrame, key: str, order: list[str], value: str, p: float) -> DataFrame:
-    """Each row with the percentile and count of its key's rows strictly before it."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("p_before", F.percentile(value, p).over(w)).withColumn("n_before", F.count(value).over(w))
-
-
 def ema(rows: DataFrame, key: str, order: list[str], value: str, alpha: float, block: Column | None = None) -> DataFrame:
     """Exponential moving average per key in order: the first value, then (1-a) old + a new; n rows.
 

@@ -11,6 +11,8 @@ from .operators import aggregates as agg
 from .operators import reference_joins as rj
 from .operators import sequences as seq
 from .operators import vetting as vet
+from .operators.prefix_orders import percentile_before
+from .operators.rank_correlation import kendall_tau
 
 S = SparkSession
 KINDS = ["view", "signup", "purchase", "click", "error"]
@@ -67,7 +69,7 @@ def d09(spark: S, d: str) -> DataFrame:
 @query("d10_mean_having", "SELECT n_name, round(avg(c_acctbal), 4) AS mean, round(median(c_acctbal), 4) AS median, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 HAVING count(*) >= 5")
 def d10(spark: S, d: str) -> DataFrame:
     rows = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy("n_name").agg(F.round(F.avg("c_acctbal"), 4).alias("mean"), F.round(F.median("c_acctbal"), 4).alias("median"), F.count("*").alias("n")).where("n >= 5")
+    return agg.mean_and_median(rows, ["n_name"], "c_acctbal", 5).select("n_name", F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median"), "n")
 
 
 @query("d11_shares", "SELECT coalesce(nullif(event_type, ''), '(none)') AS label, count(*) AS n, round(count(*) / (SELECT count(*) FROM events), 6) AS share FROM events GROUP BY 1")
@@ -110,7 +112,10 @@ def d14(spark: S, d: str) -> DataFrame:
 
 @query("d15_insights", "SELECT role, count(*) AS n, median(turn) AS median_turn, round(avg(strlen(text)), 4) AS mean_bytes FROM conversations GROUP BY 1")
 def d15(spark: S, d: str) -> DataFrame:
-    return t(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.median("turn").alias("median_turn"), F.round(F.avg(F.octet_length("text")), 4).alias("mean_bytes"))
+    rows = t(spark, d, "conversations").select("role", "turn", F.octet_length("text").alias("bytes"))
+    both = agg.mean_and_median(rows, ["role"], "turn").withColumnsRenamed({"role": "_role", "median": "median_turn"}).drop("mean")
+    sizes = rows.groupBy("role").agg(F.round(F.avg("bytes"), 4).alias("mean_bytes"))
+    return sizes.join(both, F.col("role").eqNullSafe(F.col("_role"))).select("role", "n", "median_turn", "mean_bytes")
 
 
 @query(
@@ -195,7 +200,7 @@ def e04(spark: S, d: str) -> DataFrame:
     "SELECT o_orderkey, round(quantile_cont(o_totalprice, 0.25) OVER w, 4) AS p_before, count(o_totalprice) OVER w AS n_before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
 )
 def e05(spark: S, d: str) -> DataFrame:
-    return seq.percentile_before(t(spark, d, "orders"), "o_custkey", ["o_orderkey"], "o_totalprice", 0.25).select("o_orderkey", F.round("p_before", 4).alias("p_before"), "n_before")
+    return percentile_before(t(spark, d, "orders"), "o_custkey", ["o_orderkey"], "o_totalprice", 0.25).select("o_orderkey", F.round("p_before", 4).alias("p_before"), "n_before")
 
 
 _EMA = """WITH RECURSIVE s AS (SELECT {key} AS k, {value} AS x, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS i FROM events),
@@ -387,7 +392,17 @@ def c17(spark: S, d: str) -> DataFrame:
 )
 def l01(spark: S, d: str) -> DataFrame:
     g = t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("x"), F.round(F.avg("c_acctbal"), 2).alias("y"))
-    return stats.kendall_tau(g, "x", "y", "k").select(F.round("tau", 8).alias("tau"), "concordant", "discordant")
+    return kendall_tau(g, "x", "y").select(F.round("tau", 8).alias("tau"), "concordant", "discordant")
+
+
+@query(
+    "l01_kendall_tau_rows",
+    """WITH p AS (SELECT sign(a.c_acctbal - b.c_acctbal) * sign(a.c_nationkey - b.c_nationkey) AS s, a.c_acctbal = b.c_acctbal AS tx, a.c_nationkey = b.c_nationkey AS ty FROM customer a JOIN customer b ON a.c_custkey < b.c_custkey),
+       c AS (SELECT count(*) FILTER (WHERE s > 0) AS con, count(*) FILTER (WHERE s < 0) AS dis, count(*) FILTER (WHERE tx AND NOT ty) AS nx, count(*) FILTER (WHERE ty AND NOT tx) AS ny FROM p)
+       SELECT round((con - dis) / sqrt((con + dis + nx)::DOUBLE * (con + dis + ny)), 8) AS tau, con AS concordant, dis AS discordant FROM c""",
+)
+def l01_rows(spark: S, d: str) -> DataFrame:
+    return kendall_tau(t(spark, d, "customer"), "c_acctbal", "c_nationkey").select(F.round("tau", 8).alias("tau"), "concordant", "discordant")
 
 
 @query("i30_haversine", "SELECT s_suppkey, round(2 * 3958.8 * asin(sqrt(least(1, pow(sin(radians(40 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(40)) * pow(sin(radians(-74 - lon) / 2), 2)))), 4) AS miles FROM (SELECT s_suppkey, 25 + s_nationkey AS lat, -120 + s_nationkey * 2 AS lon FROM supplier)")

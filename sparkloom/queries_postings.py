@@ -15,6 +15,7 @@ from .catalog import query, t
 from .functions import pay, stats
 from .functions import text as T
 from .operators import detectors as D
+from .operators.rank_correlation import kendall_tau
 from .queries_text import _SENT, _keywords, _syl
 
 S = SparkSession
@@ -202,7 +203,7 @@ def l04(spark: S, d: str) -> DataFrame:
 )
 def j32(spark: S, d: str) -> DataFrame:
     g = t(spark, d, "part").groupBy(F.col("p_brand").alias("k")).agg(F.sum("p_size").alias("x"), (F.sum("p_size") * 3 + F.count("*")).alias("y"))
-    return D.pay_by_place(stats.kendall_tau(g, "x", "y", "k")).select("signal_type", F.round("confidence", 6).alias("confidence"), "n")
+    return D.pay_by_place(kendall_tau(g, "x", "y")).select("signal_type", F.round("confidence", 6).alias("confidence"), "n")
 
 
 @query("i13_pay_ranges")

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .catalog import query, t
+from .functions import urls as U
 from .operators import claims
+from .queries_core import _CYCLES
+from .queries_text import _IDS, _NORM, _SIG
 from .sources import shared
 from .sources.keyed import KeyedTable
+from .streaming import ingest, state
 
 S = SparkSession
 
@@ -60,3 +64,32 @@ def f01_claims(spark: S, d: str) -> DataFrame:
     ask(left, [("b", 60), ("c", 40)], 2, 1)
     ask(left, [("d", 100)], 3, 2)
     return log.read().select("o_orderkey", "claim", "worker", "place")
+
+
+def _shuffled(spark: S, rows: DataFrame, key: str, files: int = 24) -> DataFrame:
+    """A stream over a table's rows, in files of a random order."""
+    path = shared.folder(spark)
+    rows.repartition(files, F.xxhash64(key)).write.parquet(path)
+    return ingest.read_folder(spark, path, rows.schema, 8)
+
+
+@query("m04_e01_lifecycle_state", f"{_CYCLES} SELECT * FROM cycles")
+def m04_lifecycles(spark: S, d: str) -> DataFrame:
+    """Lifecycles kept in state over shuffled files: the same as the batch, without a table of days."""
+    root = shared.folder(spark)
+    table = state.lifecycles(_shuffled(spark, t(spark, d, "events"), "event_id"), ["user_id", "event_type"], "ts", f"{root}/cycles", f"{root}/state")
+    days = {new: F.date_from_unix_date(old).alias(new) for new, old in (("first_seen", "first_day"), ("last_seen", "last_day"))}
+    return table.read().select("user_id", "event_type", *days.values(), "times_seen", "times_reposted", "latest_days")
+
+
+@query(
+    "m04_g01_seen_set",
+    f"""WITH r AS (SELECT page_id, n, {_SIG} AS sig FROM (SELECT page_id, {_NORM} AS n FROM pages)), k AS (SELECT sig, min(page_id) AS kept_id, arg_min(n, page_id) AS kept FROM r GROUP BY 1)
+        SELECT sig, kept_id, count(*) AS n_rows, count(*) FILTER (WHERE n = kept) - 1 AS n_exact, count(*) FILTER (WHERE n <> kept) AS n_signature FROM r JOIN k USING (sig) GROUP BY 1, 2""",
+)
+def m04_seen(spark: S, d: str) -> DataFrame:
+    """The two-level rule over shuffled files: the page with the least id stays, exact duplicates and those by signature counted apart."""
+    root = shared.folder(spark)
+    rows = t(spark, d, "pages").select("page_id", U.normalised(F.col("url")).alias("n"))
+    table = state.seen_set(_shuffled(spark, rows, "page_id"), "page_id", F.col("page_id"), F.col("n"), U.signature(F.col("n"), _IDS), f"{root}/seen", f"{root}/state")
+    return table.read().select("sig", "kept_id", "n_rows", "n_exact", "n_signature")

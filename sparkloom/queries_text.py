@@ -12,6 +12,7 @@ from .functions import urls as U
 from .operators import detectors as D
 from .operators import reference_joins as rj
 from .operators import sequences as seq
+from .operators.prefix_orders import percentile_before
 
 S = SparkSession
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
@@ -200,7 +201,7 @@ def j15(spark: S, d: str) -> DataFrame:
        (SELECT o_orderkey, o_totalprice, quantile_cont(o_totalprice, 0.25) OVER w AS p, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE n >= 20 AND o_totalprice < p""",
 )
 def j17(spark: S, d: str) -> DataFrame:
-    rows = seq.percentile_before(t(spark, d, "orders"), "o_custkey", ["o_orderkey"], "o_totalprice", 0.25)
+    rows = percentile_before(t(spark, d, "orders"), "o_custkey", ["o_orderkey"], "o_totalprice", 0.25)
     out = D.run(rows, "o_orderkey", [D.below_market(F.lit(None), F.col("o_totalprice"), F.col("p_before"), F.col("n_before"))], False)
     return out.select("o_orderkey", "severity", F.round("confidence", 6).alias("confidence"))
 
