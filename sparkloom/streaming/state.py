@@ -19,8 +19,8 @@ from pyspark.sql.types import StructType
 
 from ..sources.keyed import KeyedTable
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Map state needs this store; timers of processing time would ask for micro-batches without data for ever.
+_CONF = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 REPOST_GAP, HISTORY = 7, 20
 
 
@@ -34,8 +34,9 @@ def keep(stream: DataFrame, table: KeyedTable, checkpoint: str, name: str) -> No
     A micro-batch that is repeated after a failure is left out: the table knows its number.
     """
     spark = stream.sparkSession
-    before = spark.conf.get(_STORE)
-    spark.conf.set(_STORE, _ROCKS)  # map and list state need it
+    before = {c: spark.conf.get(c) for c in _CONF}
+    for c, v in _CONF.items():
+        spark.conf.set(c, v)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()  # a merge reads it twice, the state should be asked once
@@ -45,7 +46,8 @@ def keep(stream: DataFrame, table: KeyedTable, checkpoint: str, name: str) -> No
     try:
         stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(_STORE, before)
+        for c, v in before.items():
+            spark.conf.set(c, v)
 
 
 class Lifecycle(StatefulProcessor):
@@ -135,8 +137,8 @@ def seen_set(stream: DataFrame, id_col: str, arrival: Column, url: Column, signa
     The first by ``arrival`` (of equal ones the least id) is kept, whichever micro-batch brings
     it. A row with the kept one's address is an exact duplicate, one with another address a
     duplicate by signature, as in ``aggregates.dedup_stats``. Signatures that nothing came for
-    in ``ttl_ms`` of processing time are forgotten by the state; their table rows stay until they come
-    again and start anew. Rows without a signature are left out.
+    in ``ttl_ms`` of processing time are forgotten by the state in the next micro-batch with any
+    rows; their table rows stay until they come again and start anew. Rows without a signature are left out.
     """
     spark = stream.sparkSession
     rows = stream.select(signature.alias("sig"), F.coalesce(url, F.lit("")).alias("url"), arrival.cast("long").alias("arrival"), F.col(id_col).cast("long").alias("id")).where("sig is not null")
