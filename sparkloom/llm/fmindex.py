@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .packed import joined, pack
-from .repeats import Collector, Found, Layout, Ranges, Unit, remove, repeated_ranges
-from .textvec import U64, span_hash
+from .repeats import NEAR, Collector, Found, Layout, Ranges, Unit, remove, repeated_ranges
+from .textvec import U64, prefix_sums, span_hash
 
-SHARD = 400_000  # words in one index; an anchor's segments stay together
+SHARD = 400_000  # words in one index
 WINDOW = 50
 GRAM = 8
 
@@ -159,7 +159,7 @@ class WordRuns(Collector):
         size = s.hi - s.lo + self.window
         stop = np.cumsum(size)
         spots = np.arange(stop[-1] if len(stop) else 0) + np.repeat(s.lo - stop + size, size)
-        self.held.append((s.key, span_hash(s.sums, s.lo, s.lo + size), found.id, found.tag, found.lo, size.astype(np.uint16), s.codes[spots]))
+        self.held.append((s.key, span_hash(s.sums, s.lo, s.lo + size), found.id, found.tag, found.lo, size.astype(np.uint16), (s.anchor - s.lo).astype(np.uint16), s.codes[spots]))
         self.many += len(spots)
 
     def size(self) -> int:
@@ -168,12 +168,12 @@ class WordRuns(Collector):
     def flush(self) -> tuple[list[tuple[int, bytes]], Ranges]:
         if not self.many:
             return [], [np.zeros(0, k) for k in (np.int64, np.uint32, np.int32, np.int32)]
-        key, content, id_, tag, lo, size, codes = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        key, content, id_, tag, lo, size, anchor, codes = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.many = [], 0
         part = (key % U64(self.parts)).astype(np.int32)
         order = np.lexsort((content, key, part))
         at = (np.cumsum(size.astype(np.int64)) - size)[order]
-        key, content, id_, tag, lo, size, part = (x[order] for x in (key, content, id_, tag, lo, size, part))
+        key, content, id_, tag, lo, size, anchor, part = (x[order] for x in (key, content, id_, tag, lo, size, anchor, part))
         start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])]))
         copy = id_ > np.repeat(np.minimum.reduceat(id_, start), np.diff(np.append(start, len(id_))))
         decided = [id_[copy], tag[copy], lo[copy], lo[copy] + size[copy].astype(np.int32) - self.window + 1]
@@ -184,40 +184,81 @@ class WordRuns(Collector):
             own = kept[i:j]
             many = size[own].astype(np.int64)
             stop = np.cumsum(many)
-            numbers = pack([key[own], id_[own], tag[own], lo[own], size[own]])
+            numbers = pack([key[own], id_[own], tag[own], lo[own], size[own], anchor[own]])
             runs.append((int(part[own[0]]), len(numbers).to_bytes(4, "little") + numbers + codes[np.arange(stop[-1]) + np.repeat(at[own] - stop + many, many)].tobytes()))
         return runs, decided
 
 
+def shards(key: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
+    """Segments' numbers in groups of about SHARD words, those with one key together; and whether one key's alone pass it."""
+    order = np.argsort(key, kind="stable")
+    edges = np.append(np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])), len(key))
+    upto = np.concatenate([[0], np.cumsum(size[order])])[edges]
+    i = 0
+    while i < len(edges) - 1:
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + SHARD, "right")) - 1)
+        yield order[edges[i] : edges[j]], bool(upto[j] - upto[i] > SHARD)
+        i = j
+
+
+def cored(sums: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np.ndarray, window: int, near: int) -> tuple[np.ndarray, ...]:
+    """Segments cut by longer cores: windows at ``near`` consecutive distances from the anchor share one of window - near + 1 words.
+
+    Gives, for each piece: the segment it is of, its first window in that, its words, its anchor
+    (the core's place), and the core's hash.
+    """
+    far, close = anchor // near, (anchor - (size - window)) // near  # distances of the first and the last window
+    many = far - close + 1
+    own = np.repeat(np.arange(len(size)), many)
+    core = anchor[own] - near * (np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(close, many))
+    lo, hi = np.maximum(0, core - near + 1), np.minimum(size[own] - window, core)
+    return own, lo, hi - lo + window, core - lo, span_hash(sums, begin[own] + core, begin[own] + core + window - near + 1)
+
+
 def repeated_in_shards(runs: list[bytes], window: int) -> Iterator[Ranges]:
     """id, tag, first, stop of the windows of a part's segments that start in another with a smaller id.
 
-    Segments of about SHARD words, an anchor's never apart, are indexed at a time and streamed
-    against their index.
+    Segments of about SHARD words are indexed at a time and streamed against their index. The
+    segments of one anchor stay together; where they pass SHARD they are cut by longer cores,
+    and where one of these passes it, by whole windows, of which the least document's is enough.
     """
     split = [(int.from_bytes(r[:4], "little"), r) for r in runs]
-    key, id_, tag, lo, size = joined([r[4 : 4 + n] for n, r in split], [np.uint64, np.int64, np.uint32, np.int32, np.uint16])
+    key, id_, tag, lo, size, anchor = joined([r[4 : 4 + n] for n, r in split], [np.uint64, np.int64, np.uint32, np.int32, np.uint16, np.uint16])
     codes = np.concatenate([np.frombuffer(r, np.uint64, -1, 4 + n) for n, r in split])
-    size = size.astype(np.int64)
+    size, anchor = size.astype(np.int64), anchor.astype(np.int64)
     begin = np.cumsum(size) - size
-    order = np.argsort(key, kind="stable")
-    edges = np.append(np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])), len(key))
-    words_before = np.concatenate([[0], np.cumsum(size[order])])[edges]
-    i = 0
-    while i < len(edges) - 1:
-        j = max(i + 1, int(np.searchsorted(words_before, words_before[i] + SHARD, "right")) - 1)
-        own = order[edges[i] : edges[j]]
-        i = j
-        index = FMIndex([codes[a : a + n] for a, n in zip(begin[own].tolist(), size[own].tolist(), strict=True)], id_[own], window)
-        length, least = index.matching_statistics([codes[a : a + n] for a, n in zip(begin[own].tolist(), size[own].tolist(), strict=True)])
-        owner = np.repeat(np.arange(len(own)), size[own])
-        hit = np.flatnonzero((length >= window) & (least < id_[own][owner]))
-        mine, spot = owner[hit], hit - (np.cumsum(size[own]) - size[own])[owner[hit]]
+
+    def answers(ids: np.ndarray, tags: np.ndarray, los: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Ranges:
+        texts = [codes[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        length, least = FMIndex(texts, ids, window).matching_statistics(texts)
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        hit = np.flatnonzero((length >= window) & (least < ids[owner]))
+        mine, spot = owner[hit], hit - (np.cumsum(sizes) - sizes)[owner[hit]]
         new = np.concatenate([[True], (mine[1:] != mine[:-1]) | (spot[1:] != spot[:-1] + 1)])[: len(hit)]
         start = np.flatnonzero(new)
         stop = np.append(start[1:], len(hit))[: len(start)] - 1
-        at = own[mine[start]]
-        yield [id_[at], tag[at], (lo[at] + spot[start]).astype(np.int32), (lo[at] + spot[stop] + 1).astype(np.int32)]
+        at = mine[start]
+        return [ids[at], tags[at], (los[at] + spot[start]).astype(np.int32), (los[at] + spot[stop] + 1).astype(np.int32)]
+
+    for own, over in shards(key, size):
+        if not over:
+            yield answers(id_[own], tag[own], lo[own], begin[own], size[own])
+            continue
+        sums = prefix_sums(np.concatenate([codes[a : a + n] for a, n in zip(begin[own].tolist(), size[own].tolist(), strict=True)]))
+        within = np.cumsum(size[own]) - size[own]
+        seg, first, n, core, name = cored(sums, within, size[own], anchor[own], window, NEAR)
+        for part, still in shards(name, n):
+            at = own[seg[part]]
+            if not still:
+                yield answers(id_[at], tag[at], (lo[at] + first[part]).astype(np.int32), begin[at] + first[part], n[part])
+                continue
+            one, ahead, _, _, content = cored(sums, within[seg[part]] + first[part], n[part], core[part], window, 1)
+            at, spot = at[one], lo[at][one] + first[part][one] + ahead
+            order = np.argsort(content, kind="stable")
+            head = np.flatnonzero(np.concatenate([[True], np.diff(content[order]) != 0]))
+            least = np.repeat(np.minimum.reduceat(id_[at][order], head), np.diff(np.append(head, len(order))))
+            hit = order[id_[at][order] > least]
+            yield [id_[at[hit]], tag[at[hit]], spot[hit].astype(np.int32), (spot[hit] + 1).astype(np.int32)]
 
 
 def unit() -> Unit:

@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from .common import shuffle_width
 
 PART_BYTES = 32 << 20  # text a part stands for
-MOST_PARTS = 20_000  # beyond so many, parts grow instead
+MOST_TASKS = 20_000  # of a shuffle; where there are more parts, a task takes several, one after the other
 
 
 def pack(cols: list[np.ndarray]) -> bytes:
@@ -52,9 +52,36 @@ def dealt(part: np.ndarray, cols: list[np.ndarray]) -> Iterator[tuple[int, bytes
 
 
 def parts_for(docs: DataFrame, text: str) -> tuple[int, int]:
-    """How many parts a table of texts is dealt to (odd, so ids in steps spread), and its bytes."""
+    """How many parts a table of texts is dealt to (odd, so ids in steps spread), and its bytes. Parts follow the bytes without limit."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    return min(MOST_PARTS, max(shuffle_width(docs.sparkSession), total // PART_BYTES)) | 1, total
+    return max(shuffle_width(docs.sparkSession), total // PART_BYTES) | 1, total
+
+
+def tasks_for(parts: int) -> int:
+    """How many tasks the parts are dealt to: part p goes to task p modulo this."""
+    return min(parts, MOST_TASKS)
+
+
+def bundled(rows: list[tuple], names: list[str], tasks: int) -> pa.RecordBatch | None:
+    """Rows, their part first, as one row for each receiving task: task, items (an array of structs of ``names``, the last one binary).
+
+    So a sender has a row for a task, not one for a part. A negative part is a task of its own.
+    """
+    if not rows:
+        return None
+    task = np.array([r[0] % tasks if r[0] >= 0 else r[0] for r in rows], np.int32)
+    order = np.argsort(task, kind="stable")
+    cuts = np.flatnonzero(np.diff(task[order], prepend=-(1 << 30)))
+    cols = list(zip(*(rows[i] for i in order.tolist()), strict=True))
+    items = pa.StructArray.from_arrays([*(pa.array(c, pa.int32()) for c in cols[:-1]), pa.array(cols[-1], pa.binary())], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(task[order][cuts]), pa.ListArray.from_arrays(pa.array(np.append(cuts, len(order)).astype(np.int32)), items)], names=["task", "items"])
+
+
+def bundle_schema(names: list[str]) -> str:
+    return f"task int, items array<struct<{', '.join(f'{n}: int' for n in names[:-1])}, {names[-1]}: binary>>"
+
+
+PACKS = ["part", "data"]
 
 
 def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
@@ -87,13 +114,15 @@ def gathered(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
 
 
 def beside(docs: DataFrame, packs: DataFrame, parts: int, use: Callable[[Packs, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """``use`` on every part: its packs (of ``packs``: part, data) and its documents' batches.
+    """``use`` on every part: its packs (of ``packs``: bundles of part, data) and its documents' batches.
 
     ``docs`` has id and text first; a part's packs come before its documents.
     """
-    names = docs.columns
-    left = packs.select("part", *(F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in names), "data")
-    both = left.unionByName(docs.select(part_column("id", parts).alias("part"), *names, F.lit(None).cast("binary").alias("data")))
+    names, tasks = docs.columns, tasks_for(parts)
+    left = packs.select("task", *(F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in names), "items", F.lit(None).cast("int").alias("own"))
+    own = docs.select(part_column("id", parts).alias("own"), *names)
+    both = left.unionByName(own.withColumn("task", F.col("own") % tasks), allowMissingColumns=True).repartitionById(tasks, F.col("task"))
+    both = both.select("own", *names, F.inline_outer("items")).select(F.coalesce("part", "own").alias("part"), *names, "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces() -> Iterator[tuple[int, bool, pa.RecordBatch]]:
@@ -123,4 +152,4 @@ def beside(docs: DataFrame, packs: DataFrame, parts: int, use: Callable[[Packs,
             for _ in rows:
                 pass
 
-    return both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("data").isNull()).mapInArrow(run, schema)
+    return both.sortWithinPartitions("part", F.col("data").isNull()).mapInArrow(run, schema)

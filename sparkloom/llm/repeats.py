@@ -17,6 +17,9 @@ with one anchor form a segment. Four jobs over tables, the same at every size:
 An anchor so frequent that it would fill parts of its own (a common line in ever new
 surroundings) is refined: its windows at NEAR consecutive distances share a longer core, which
 takes the anchor's place. What is equal stays together, what is not spreads over all parts.
+
+Parts follow the bytes of text without limit. A shuffle has MOST_TASKS tasks at most; beyond, a
+task takes the parts that are its share one after the other, and senders have a row a task.
 """
 
 from __future__ import annotations
@@ -32,14 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import Scratch
-from .packed import beside, dealt, gathered, joined, part_of, parts_for
+from .packed import PACKS, beside, bundle_schema, bundled, dealt, gathered, joined, part_of, parts_for, tasks_for
 from .textvec import _BYTE, IS_SPACE, U64, anchored, chunks, prefix_sums, span_hash, words
 
 NEAR = 8
 FLUSH = 1 << 20  # segments that a map task holds before it sends them
 LEAST_HOT = 2000  # segments an anchor has at least before it counts as hot
 HOT_SHARE = 128  # and a segment for so many bytes of a part
-SAMPLES = 16  # anchors' contents sampled for each part
+SAMPLES = 16  # anchors' contents sampled for each task
 _SEED = U64(0x3C6EF372FE94F82A)
 
 Symbols = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -128,6 +131,7 @@ class Layout:
     """Into how many parts things are dealt, and what the first pass found out about the anchors."""
 
     parts: int
+    tasks: int
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     sample: np.ndarray = field(default_factory=lambda: np.zeros(0, "S43"))
 
@@ -135,18 +139,25 @@ class Layout:
 _MARK = [np.int64, np.int32]
 _SENT = [np.uint64, np.int64, np.int32, np.uint32]
 _HOT, _SAMPLE, _KEYS = -3, -2, -1
+_SEND = ["bucket", "part", "data"]
+
+
+def exchanged(sent: DataFrame, tasks: int) -> DataFrame:
+    """bucket, part, data: what was sent to each bucket, a bucket's rows together."""
+    return sent.repartitionById(tasks, F.col("task")).select(F.inline("items")).sortWithinPartitions("bucket")
 
 
 def shared_marks(docs: DataFrame, unit: Unit, scratch: Scratch) -> tuple[DataFrame, Layout]:
-    """part, data: packs of (id, first window in its document) of the segments whose anchors another document has too.
+    """Bundles of packs of (id, first window in its document) of the segments whose anchors another document has too.
 
     A task sends each key of a flush once, with its least and its greatest document; where these
     differ, its other segments are marked at once. So a frequent anchor costs a part two entries a flush.
     """
     parts, total = parts_for(docs, "text")
+    tasks = tasks_for(parts)
     per_part = total // parts
     limit = max(LEAST_HOT, per_part // HOT_SHARE)
-    rate = min(1.0, SAMPLES * parts * 16 / max(1, total)) if unit.name == "byte" else 0.0
+    rate = min(1.0, SAMPLES * tasks * 16 / max(1, total)) if unit.name == "byte" else 0.0
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -175,8 +186,7 @@ def shared_marks(docs: DataFrame, unit: Unit, scratch: Scratch) -> tuple[DataFra
             if sample:
                 rows.append((0, _SAMPLE, b"".join(sample)))
                 sample.clear()
-            b, p, x = zip(*rows, strict=True)
-            yield _batch({"bucket": np.array(b, np.int32), "part": np.array(p, np.int32), "data": pa.array(x, pa.binary())})
+            yield bundled(rows, _SEND, tasks)
 
         size = 0
         for batch in batches:
@@ -213,18 +223,17 @@ def shared_marks(docs: DataFrame, unit: Unit, scratch: Scratch) -> tuple[DataFra
                 if len(hot):
                     rows.append((_HOT, hot.tobytes()))
             if rows:
-                p, x = zip(*rows, strict=True)
-                yield _batch({"part": np.array(p, np.int32), "data": pa.array(x, pa.binary())})
-
-    sent = docs.select("id", "text").mapInArrow(scan, "bucket int, part int, data binary")
-    marks = scratch.keep(sent.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(decide, "part int, data binary"), "marks")
-    # hot keys are those that would fill a part, so there are fewer than parts; samples are SAMPLES a part
-    told = marks.where(F.col("part") < _KEYS).collect()
-    layout = Layout(parts)
+                yield bundled(rows, PACKS, tasks)
+
+    sent = docs.select("id", "text").mapInArrow(scan, bundle_schema(_SEND))
+    marks = scratch.keep(exchanged(sent, tasks).mapInArrow(decide, bundle_schema(PACKS)), "marks")
+    # hot keys are those that would fill a part, so there are fewer than parts; samples are SAMPLES a task
+    told = marks.where(F.col("task") < _KEYS).select(F.inline("items")).collect()
+    layout = Layout(parts, tasks)
     layout.hot = np.concatenate([layout.hot, *(np.frombuffer(r["data"], np.uint64) for r in told if r["part"] == _HOT)])
     drawn = b"".join(r["data"] for r in told if r["part"] == _SAMPLE)
     layout.sample = np.sort(np.frombuffer(drawn, "S43"))
-    return marks.where("part >= 0"), layout
+    return marks.where("task >= 0"), layout
 
 
 def _spread(ids: np.ndarray, sorted_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,10 +274,10 @@ Engine = Callable[[list[bytes]], Iterator[Ranges]]
 
 
 def repeated_ranges(docs: DataFrame, unit: Unit, collector: Callable[[Layout], Collector], engine: Engine, scratch: Scratch) -> tuple[DataFrame, int]:
-    """part, data: packs of (id, tag, first, stop), the ranges of window starts (by symbol number) whose windows also start in a document with a smaller id."""
+    """Bundles of packs of (id, tag, first, stop), the ranges of window starts (by symbol number) whose windows also start in a document with a smaller id."""
     marks, layout = shared_marks(docs, unit, scratch)
     scratch.settle()
-    parts = layout.parts
+    parts, tasks = layout.parts, layout.tasks
 
     def collect(packs: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         id_m, lo_m = joined(packs, _MARK)
@@ -280,8 +289,7 @@ def repeated_ranges(docs: DataFrame, unit: Unit, collector: Callable[[Layout], C
             runs, decided = own.flush()
             rows = [(b, _KEYS, x) for b, x in runs] + [(p, p, x) for p, x in dealt(part_of(decided[0], parts), decided)]
             if rows:
-                b, p, x = zip(*rows, strict=True)
-                yield _batch({"bucket": np.array(b, np.int32), "part": np.array(p, np.int32), "data": pa.array(x, pa.binary())})
+                yield bundled(rows, _SEND, tasks)
 
         for batch in batches if len(id_m) else ():
             ids = batch["id"].to_numpy(zero_copy_only=False)
@@ -305,11 +313,10 @@ def repeated_ranges(docs: DataFrame, unit: Unit, collector: Callable[[Layout], C
             for ranges in engine(runs) if runs else ():
                 rows += dealt(part_of(ranges[0], parts), ranges)
             if rows:
-                p, x = zip(*rows, strict=True)
-                yield _batch({"part": np.array(p, np.int32), "data": pa.array(x, pa.binary())})
+                yield bundled(rows, PACKS, tasks)
 
-    sent = beside(docs.select("id", "text"), marks, parts, collect, "bucket int, part int, data binary")
-    found = sent.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(combine, "part int, data binary")
+    sent = beside(docs.select("id", "text"), marks, parts, collect, bundle_schema(_SEND))
+    found = exchanged(sent, tasks).mapInArrow(combine, bundle_schema(PACKS))
     return scratch.keep(found, "ranges"), parts
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .packed import pack, unpack
 from .repeats import NEAR, Collector, Found, Layout, Ranges, Unit, remove, repeated_ranges
+from .textvec import U64
 
 WINDOW = 50
 GRAM = 20
@@ -130,7 +131,10 @@ class SuffixRuns(Collector):
 
     def __init__(self, layout: Layout, unit: Unit):
         self.layout, self.window = layout, unit.window
-        spots = np.linspace(0, len(layout.sample), layout.parts + 1)[1:-1].astype(int)
+        # as many ranges as tasks; where there are more parts, the anchors of a range are dealt to several by their hash
+        self.tasks = layout.tasks
+        self.each = -(-layout.parts // self.tasks)
+        spots = np.linspace(0, len(layout.sample), self.tasks + 1)[1:-1].astype(int)
         self.splitters = layout.sample[np.minimum(spots, len(layout.sample) - 1)] if len(layout.sample) else layout.sample
         self.held: list[tuple[np.ndarray, ...]] = []
         self.many = 0
@@ -144,7 +148,7 @@ class SuffixRuns(Collector):
                 spots = s.anchor[:, None] + (step * np.arange(count) - (step < 0))
                 rows[:, at : at + count] = np.where(np.arange(count) < size[:, None], data[np.clip(spots, 0, len(data) - 1)], 0)
             rows[:, at + count] = size
-        self.held.append((rows, found.id, found.tag, found.lo, s.fine))
+        self.held.append((rows, found.id, found.tag, found.lo, s.fine, (s.key >> U64(40)).astype(np.uint32)))
         self.many += len(rows)
 
     def size(self) -> int:
@@ -153,17 +157,17 @@ class SuffixRuns(Collector):
     def flush(self) -> tuple[list[tuple[int, bytes]], Ranges]:
         if not self.many:
             return [], [np.zeros(0, k) for k in (np.int64, np.uint32, np.int32, np.int32)]
-        rows, id_, tag, lo, fine = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        rows, id_, tag, lo, fine, spread = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.many = [], 0
         whole = rows.view(f"S{_ROW}").ravel()
         order = np.argsort(whole, kind="stable")
-        rows, id_, tag, lo, fine, whole = (x[order] for x in (rows, id_, tag, lo, fine, whole))
+        rows, id_, tag, lo, fine, spread, whole = (x[order] for x in (rows, id_, tag, lo, fine, spread, whole))
         start = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
         copy = id_ > np.repeat(np.minimum.reduceat(id_, start), np.diff(np.append(start, len(id_))))
         decided = whole_ranges(rows, id_, tag, lo, copy, self.window)
         kept = np.flatnonzero(~copy)
         rows, id_, tag, lo = rows[kept], id_[kept], tag[kept], lo[kept]
-        part = self.parts_of(rows, fine[kept])
+        part = self.parts_of(rows, fine[kept]) + self.tasks * (spread[kept] % self.each).astype(np.int32)
         turn = np.argsort(part, kind="stable")  # ranges ascend already but for refined anchors
         cuts = [0, *(np.flatnonzero(np.diff(part[turn])) + 1).tolist(), len(turn)]
         return [(int(part[turn[i]]), front_coded(*(x[turn[i:j]] for x in (rows, id_, tag, lo)))) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], decided
