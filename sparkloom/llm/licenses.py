@@ -116,6 +116,20 @@ class Template:
         return Template(name, tuple(w), tuple(needed))
 
 
+def tightened(pairs: list[tuple[int, int]], part: list[str], words: tuple[str, ...]) -> list[tuple[int, int]]:
+    """An alignment whose stray words at either end, far from the rest, are moved to the nearest equal word on the inside."""
+    pairs = list(pairs)
+    for k in range(len(pairs) - 2, -1, -1):  # leading words as late as the next one allows
+        x, y = pairs[k]
+        if pairs[k + 1][0] - x > pairs[k + 1][1] - y:
+            pairs[k] = (max(i for i in range(x, pairs[k + 1][0]) if part[i] == words[y]), y)
+    for k in range(1, len(pairs)):  # and the others as early as the one before allows
+        x, y = pairs[k]
+        if x - pairs[k - 1][0] > y - pairs[k - 1][1]:
+            pairs[k] = (min(i for i in range(pairs[k - 1][0] + 1, x + 1) if part[i] == words[y]), y)
+    return pairs
+
+
 def find(text: str, templates: list[Template], coverage: float) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, start, stop, matched words) of each place in a text that covers a template; offsets in code points."""
     low = text.lower()
@@ -128,22 +142,27 @@ def find(text: str, templates: list[Template], coverage: float) -> list[tuple[st
         vocabulary, n = set(t.words), len(t.words)
         seeds = {w for w in vocabulary if len(w) > 3} or vocabulary
         hits = [i for i, (w, _, _) in enumerate(tokens) if w in seeds]
-        at = 0
+        at = free = 0  # words from ``free`` on belong to no place of this template yet
         while at < len(hits):
             end = at + 1
             while end < len(hits) and hits[end] - hits[end - 1] <= n // 2 + 4 and tokens[hits[end]][0] != tokens[hits[at]][0] or end < len(hits) and hits[end] - hits[at] < n:
                 end += 1
-            lo, hi = max(0, hits[at] - n), min(len(tokens), hits[end - 1] + n + 1)
-            part = [w for w, _, _ in tokens[lo:hi]]
-            if len(vocabulary & set(part)) >= coverage * len(vocabulary) - 1e-9 or n > len(vocabulary):
-                pairs = align(part, list(t.words))
+            stop = min(len(tokens), hits[end - 1] + n + 1)
+            # what lies before a place may hold others; what lies behind it comes next
+            todo, places = [(max(free, hits[at] - n), stop)], []
+            while todo:
+                lo, hi = todo.pop()
+                part = [w for w, _, _ in tokens[lo:hi]]
+                if len(part) < coverage * n - 1e-9 or len(vocabulary & set(part)) < coverage * len(vocabulary) - 1e-9 and n <= len(vocabulary):
+                    continue
+                pairs = tightened(align(part, list(t.words)), part, t.words)
                 if len(pairs) >= coverage * n - 1e-9:
                     first, last = lo + pairs[0][0], lo + pairs[-1][0]
-                    if not (found and found[-1][0] == t.name and found[-1][2] == tokens[first][1]):
-                        found.append((t.name, len(pairs) / n, tokens[first][1], tokens[last][2], len(pairs)))
-                    while end < len(hits) and hits[end] <= last:
-                        end += 1
-            at = end
+                    places.append((t.name, len(pairs) / n, tokens[first][1], tokens[last][2], len(pairs)))
+                    free = max(free, last + 1)
+                    todo.append((lo, first))
+            found += sorted(places, key=lambda x: x[2])
+            at = max(at + 1, bisect_left(hits, free)) if places else end
     return found
 
 

@@ -15,16 +15,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_width
 from .textvec import _BYTE, U64, chunks, mix, powers, prefix_sums
 
-GRAM = 8
-SHORT = 40  # texts of fewer bytes use grams of SHORT_GRAM bytes
-SHORT_GRAM = 3
+GRAM = 6  # bytes; a text has GRAM - 1 zero bytes before and after it, so texts of any length have grams alike
 SKETCH = 64
 
 
@@ -112,21 +111,15 @@ def sketches(texts: list[str]) -> list[np.ndarray]:
     """The SKETCH least distinct 32-bit hashes of each text's byte grams, ascending; none of an empty text."""
     out: list[np.ndarray] = []
     arr = pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.large_binary()).view(pa.large_string())
-    for _, off, data in chunks(arr, arr, 1 << 18):
-        n = len(data)
-        if n >= GRAM:
-            sums = prefix_sums(_BYTE[data])
-            grams = mix((sums[GRAM:] - sums[:-GRAM]) * powers(n + 1, True)[: n - GRAM + 1])
-            grams >>= U64(32)
-        else:
-            sums, grams = prefix_sums(_BYTE[data]), np.zeros(0, np.uint64)
-        for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-            if j - i < SHORT:
-                k = min(SHORT_GRAM, j - i)
-                few = mix((sums[i + k : j + 1] - sums[i : j + 1 - k]) * powers(n + 1, True)[i : j + 1 - k])
-                out.append(np.unique(few >> U64(32))[: SKETCH * (j > i)])
-                continue
-            g = grams[i : j - GRAM + 1]
+    side = GRAM - 1
+    for rows, off, data in chunks(arr, arr, 1 << 18):
+        padded = np.zeros(len(data) + 2 * side * len(rows), np.uint8)
+        padded[np.arange(len(data)) + side * (2 * np.repeat(np.arange(len(rows)), np.diff(off)) + 1)] = data
+        sums = prefix_sums(_BYTE[padded])
+        grams = mix((sums[GRAM:] - sums[:-GRAM]) * powers(len(padded) + 1, True)[: len(padded) - GRAM + 1]) >> U64(32)
+        begin = off[:-1] + 2 * side * np.arange(len(rows))
+        for i, n in zip(begin.tolist(), np.diff(off).tolist(), strict=True):
+            g = grams[i : i + n + side] if n else grams[:0]
             most = 8 * SKETCH
             if len(g) > 2 * most:
                 few = np.unique(g[g < U64((1 << 32) * most // len(g))])
@@ -179,7 +172,7 @@ def with_successor(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     The range bounds are about evenly spaced quantiles, as many as there are shuffle partitions,
     so neither the driver nor a task sees more than its share; they need not be ids that
-    occur. What each range begins with is found exactly. A row with ``look`` 1 only stands for
+    occur. A row finds its range by bisection. What each range begins with is found exactly. A row with ``look`` 1 only stands for
     the successor of the range's last document; the last range is followed by the first
     document of all. Null ids come first.
     """
@@ -187,16 +180,25 @@ def with_successor(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("ord"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = rows.stat.approxQuantile("ord", [i / width for i in range(1, width)], 1 / (4 * width)) if width > 1 else []
     bounds = sorted({max(-(2**63), min(2**63 - 1, int(x))) for x in found if x is not None})
-    at = F.lit(bounds).cast("array<bigint>")
-    bucket: Column = F.aggregate(at, F.lit(0), lambda n, b: n + (b <= F.col("ord")).cast("int")) if bounds else F.lit(0)
-    dealt = rows.select(bucket.alias("bucket"), "*")
+    edges = np.array(bounds, np.int64)
+
+    @F.pandas_udf("int")
+    def bucket(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(), "right").astype(np.int32))
+
+    dealt = rows.select(bucket("ord").alias("bucket"), "*")
     firsts = sorted(tuple(r) for r in dealt.groupBy("bucket").agg(F.min("ord")).collect())  # a row for each range
     # the range before (of those that hold any) looks at a range's first id
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    extra = F.lit(None).cast("int")
-    if before:
-        spot = F.array_position(F.lit(list(before)).cast("array<bigint>"), F.col("ord")).cast("int")
-        extra = F.when(spot > 0, F.get(F.lit(list(before.values())).cast("array<int>"), spot - 1))
+    heads = np.array([first for _, first in firsts], np.int64)
+    lookers = np.array([firsts[i - 1][0] for i in range(len(firsts))], np.int32)
+
+    @F.pandas_udf("int")
+    def looker(ids: pd.Series) -> pd.Series:
+        at = np.searchsorted(heads, ids.to_numpy())
+        hit = (at < len(heads)) & (heads[np.minimum(at, len(heads) - 1)] == ids.to_numpy()) if len(heads) else np.zeros(len(ids), bool)
+        return pd.Series(np.where(hit, lookers[np.minimum(at, max(0, len(heads) - 1))], -1).astype(np.int32)) if len(heads) else pd.Series(np.full(len(ids), -1, np.int32))
+
+    extra = F.nullif(looker("ord"), F.lit(-1))
     spots = F.array_compact(F.array(F.struct("bucket", F.lit(0).alias("look")), F.when(extra.isNotNull(), F.struct(extra.alias("bucket"), F.lit(1).alias("look")))))
     spread = dealt.select("ord", "id", "text", F.inline(spots))
     return spread.repartitionByRange(max(1, len(firsts)), "bucket").sortWithinPartitions("bucket", "look", "ord", "text")

@@ -357,3 +357,63 @@ def test_segmentations_cover_the_documents(spark):
     got = queries.op9_gumbel_segmentations(spark, sf)
     assert "doc_id" in got.columns
     assert {r["doc_id"] for r in got.select("doc_id").distinct().collect()} == docs
+
+
+def longest(part, words):
+    """Plain longest common subsequence."""
+    row = [0] * (len(words) + 1)
+    for w in part:
+        now = [0]
+        for k, x in enumerate(words):
+            now.append(row[k] + 1 if w == x else max(row[k + 1], now[-1]))
+        row = now
+    return row[-1]
+
+
+@pytest.mark.parametrize("name", sorted(licenses.NOTICES))
+def test_adjacent_notices_are_places_of_their_own(name):
+    notice = licenses.NOTICES[name]
+    templates = [licenses.Template.of(name, notice, 0.8)]
+    n = len(licenses.words(notice))
+    for k in range(1, 6):
+        for text in ("\n".join([notice] * k), " x ".join([notice] * k), "so " * 40 + " ".join([notice] * k) + " end" * 40):
+            places = licenses.find(text, templates, 0.8)
+            assert [p[4] for p in places] == [n] * k, (k, places)
+            assert all(licenses.words(text[a:z]) == licenses.words(notice) for _, _, a, z, _ in places)
+
+
+def test_places_against_a_scan_of_every_window():
+    rng = random.Random(6)
+    notice = licenses.NOTICES["BSD-3-Clause"]
+    own = licenses.words(notice)
+    n = len(own)
+    templates = [licenses.Template.of("BSD-3-Clause", notice, 0.8)]
+    for _ in range(25):
+        text, planted = [], 0
+        for _ in range(rng.randrange(1, 5)):
+            text += [rng.choice(["lorem", "ipsum", "the", "of", *own[:3]]) for _ in range(rng.randrange(0, 30))]
+            w = list(own)
+            for i in sorted(rng.sample(range(n), int(n * rng.choice([0.0, 0.05, 0.1]))), reverse=True):
+                if rng.random() < 0.5:
+                    w[i] = "changed"
+                else:
+                    del w[i]
+            text += w
+            planted += 1
+        places = licenses.find(" ".join(text), templates, 0.8)
+        assert len(places) == planted
+        # every window of the template's length that covers it meets a place, and every place covers it
+        spots = [(len(" ".join(text)[:a].split()), len(" ".join(text)[:z].split())) for _, _, a, z, _ in places]
+        assert all(longest(text[a:z], own) >= 0.8 * n for a, z in spots)
+        for i in range(0, len(text) - n + 1, 3):
+            if longest(text[i : i + n], own) >= 0.8 * n:
+                assert any(a < i + n and i < z for a, z in spots)
+
+
+def test_likeness_falls_smoothly_at_every_length():
+    for letter in ("q", "é"):
+        for n in range(3, 120):
+            base = "".join(chr(97 + i * 7 % 26) for i in range(n))
+            a, b, c = (merkle.written(merkle.tree(t), merkle.sketches([t])[0]) for t in (base, base[: n // 2] + letter + base[n // 2 + 1 :], base + letter))
+            assert merkle.likeness(a, b) >= (n - 6) / (n + 18) > 0 or n < 7
+            assert merkle.likeness(a, c) > 0 and merkle.likeness(a, a) == 1.0
