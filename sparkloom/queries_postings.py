@@ -206,11 +206,6 @@ def j32(spark: S, d: str) -> DataFrame:
     return D.pay_by_place(kendall_tau(g, "x", "y")).select("signal_type", F.round("confidence", 6).alias("confidence"), "n")
 
 
-@query("i13_pay_ranges")
-def i13(spark: S, d: str) -> DataFrame:
-    return pay.pay_ranges(postings(spark, d), "doc_id", "description")
-
-
 @query(
     "i14_annualise",
     """SELECT event_id, CASE WHEN total > 0 AND total <= 1000000 THEN CAST(round_even(total, 0) AS BIGINT) END AS annual FROM (SELECT event_id, v * coalesce(CASE k WHEN 'hour' THEN 2080 WHEN 'week' THEN 52 WHEN 'month' THEN 12 WHEN 'day' THEN 0 ELSE CASE WHEN v >= 1000 THEN 1 ELSE 0 END END, 0) AS total

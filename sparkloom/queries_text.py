@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query, t
 from .functions import html as H
+from .functions import pages as G
 from .functions import text as T
 from .functions import urls as U
 from .operators import detectors as D
@@ -121,25 +122,75 @@ def i19(spark: S, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", *(H.count_tag(h, x).cast("long").alias(n) for x, n in (("a", "links"), ("script", "scripts"), ("p", "paragraphs"))))
 
 
-_VIS = "regexp_replace(CASE WHEN regexp_matches(html, '(?is)<body[^>]*>(.*)</body>') THEN regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1) ELSE html END, '(?s)<!--.*?-->', '', 'g')"
-for _tag in ("script", "style", "noscript", "template"):
-    _VIS = f"regexp_replace({_VIS}, '(?is)<{_tag}\\b.*?</{_tag}>', '', 'g')"
-for _pattern, _to in (("(?i)<br[^>]*>|</(?:p|div|li|ul|ol|h[1-6]|tr|table|section|article|nav|header|footer)>", "\n"), ("(?i)</t[dh]>", " "), ("<[^>]*>", "")):
-    _VIS = f"regexp_replace({_VIS}, '{_pattern}', '{_to}', 'g')"
-for _name, _c in H.ENTITIES:
-    _VIS = f"replace({_VIS}, '{_name}', '{_c.replace(chr(39), chr(39) * 2)}')"
-_VIS = f"trim(regexp_replace(regexp_replace({_VIS}, '[ \\t]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'))"
+_BLOCK = "|".join(sorted(G.BLOCKS))
+_VIS = r"CASE WHEN regexp_matches(html, '(?is)<body\b[^<>]*>.*</body\s*>') THEN regexp_extract(html, '(?is)<body\b[^<>]*>(.*)</body\s*>', 1) ELSE html END"
+for _pattern, _to in (
+    (r"(?s)<!--.*?-->", "' '"), *((rf"(?is)<{_t}\b.*?</{_t}\s*>", "''") for _t in G.HIDDEN), (rf"(?i)<(?:{'|'.join(G.HIDDEN)})\b[^<>]*>", "' '"),
+    (rf"(?i)</?(?:{_BLOCK})\b[^<>]*>", "chr(10)"), (r"(?i)</?t[dh]\b[^<>]*>", "' '"), (r"</?[A-Za-z!][^<>]*>", "''"),
+):
+    _VIS = f"regexp_replace({_VIS}, '{_pattern}', {_to}, 'g')"
+for _name, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&nbsp;", " "), ("&amp;", "&")):
+    _VIS = f"replace({_VIS}, '{_name}', '{_c}')"
+_VIS = f"array_to_string(list_transform(string_split({_VIS}, chr(10)), lambda l: trim(regexp_replace(l, '[ \\t\u00a0]+', ' ', 'g'))), chr(10))"
+_VIS = rf"regexp_replace(regexp_replace({_VIS}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 
 
 @query("i15_i16_visible_text", f"SELECT page_id, {_VIS} AS text FROM pages")
 def i15(spark: S, d: str) -> DataFrame:
-    return t(spark, d, "pages").select("page_id", H.visible_text(F.col("html")).alias("text"))
+    return t(spark, d, "pages").select("page_id", G.text_of(F.col("html")).alias("text"))
 
 
-@query("i17_redaction_counts", "SELECT page_id, len(regexp_extract_all(html, '(?is)<script\\b.*?</script>')) AS script, len(regexp_extract_all(regexp_replace(html, '(?is)<script\\b.*?</script>', '', 'g'), '[A-Za-z0-9._]+@[A-Za-z0-9.]+')) AS mail FROM pages")
+#: What redaction removes, added to the pages by their number.
+_ADD = [
+    '<iframe src="/a"></iframe><noscript>n</noscript><script src="/open">', '<form onsubmit="x()"><input type="hidden" name="t" value="1"><input value="me"><input name="q"><option data-value=\'7\'></form>',
+    '<textarea name="a">typed</textarea><meta name="csrf-token" content="1"><meta charset="u"><object><embed src="/e"></object><embed src="/e">', '<button onclick=go() value="b">go</button><input TYPE=hidden>', "",
+]
+_PICK = "[" + ", ".join("'" + a.replace("'", "''") + "'" for a in _ADD) + "][page_id % 5 + 1]"
+
+
+@query(
+    "i17_redaction_counts",
+    rf"""WITH x AS (SELECT page_id, {_PICK} || html AS x FROM pages), a AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<noscript\b.*?</noscript\s*>', '', 'g'), '(?is)<iframe\b.*?</iframe\s*>', '', 'g'), '(?is)<object\b.*?</object\s*>', '', 'g') AS y FROM x),
+       b AS (SELECT *, regexp_replace(y, '(?i)<(?:script|noscript|iframe|frame|object|embed)\b[^<>]*>', '', 'g') AS z FROM a), c AS (SELECT *, regexp_replace(z, '(?i)\son[a-z]+\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', '', 'g') AS w FROM b),
+       d AS (SELECT *, regexp_extract_all(w, '(?i)<input\b[^<>]*>') AS i, regexp_extract_all(w, '(?i)<(?:option|button)\b[^<>]*>') AS o FROM c)
+       SELECT page_id, len(regexp_extract_all(x, '(?is)<script\b.*?</script\s*>')) + len(regexp_extract_all(y, '(?i)<script\b[^<>]*>')) AS script, len(regexp_extract_all(x, '(?is)<noscript\b.*?</noscript\s*>')) AS noscript, len(regexp_extract_all(x, '(?is)<iframe\b.*?</iframe\s*>')) AS frame,
+         len(regexp_extract_all(x, '(?is)<object\b.*?</object\s*>')) + len(regexp_extract_all(y, '(?i)<embed\b[^<>]*>')) AS embed, len(regexp_extract_all(z, '(?i)\son[a-z]+\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)')) AS event_handler, len(list_filter(i, lambda t: regexp_matches(t, '(?i)type=["'']?hidden'))) AS hidden_input,
+         len(list_filter(list_concat(list_filter(i, lambda t: NOT regexp_matches(t, '(?i)type=["'']?hidden')), o), lambda t: regexp_matches(t, '(?i)\s(?:data-)?value='))) AS form_value, len(regexp_extract_all(w, '(?is)<textarea\b.*?</textarea')) AS textarea_text,
+         len(list_filter(regexp_extract_all(w, '(?i)<meta\b[^<>]*>'), lambda t: regexp_matches(t, '(?i)name="[^"]*token'))) AS token_meta FROM d""",
+)
 def i17(spark: S, d: str) -> DataFrame:
-    _, counts = H.redacted(F.col("html"))
-    return t(spark, d, "pages").select("page_id", counts["script"].cast("long").alias("script"), counts["mail"].cast("long").alias("mail"))
+    added = F.element_at(F.array(*map(F.lit, _ADD)), (F.col("page_id") % 5 + 1).cast("int"))
+    counts = t(spark, d, "pages").select("page_id", G.redaction_of(F.concat(added, "html"))["counts"].alias("c"))
+    rules = ["script", "noscript", "frame", "embed", "event_handler", "hidden_input", "form_value", "textarea_text", "token_meta"]
+    return counts.select("page_id", *(F.coalesce(F.col("c")[r], F.lit(0).cast("long")).alias(r) for r in rules))
+
+
+#: Page parts that decide a verdict, added before pages by their number.
+_SIGNS = [
+    "", '<div class="cf-turnstile"></div><a href="/x">Apply now</a>', '<input type="password">', "<p>You have already applied</p>", "<p>No longer accepting</p>", "<p>Thank you for applying</p>",
+    '<form><input name="a"><select></select><textarea></textarea></form>', '<script type="application/ld+json">{"@type":"JobPosting"}</script>', '<iframe src="https://hcaptcha.com"></iframe>',
+]
+_LISTS = {"login_urls": ["/login", "/signin"], "already": ["already applied"], "closed": ["no longer accepting"], "confirmed": ["thank you for applying"], "confirmed_urls": ["/en/3"]}
+
+
+def _any_of(c: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+@query(
+    "b19_b20_b21_page_verdict",
+    rf"""WITH x AS (SELECT page_id, lower(url) AS u, [{', '.join("'" + a + "'" for a in _SIGNS)}][page_id % 9 + 1] AS s, html FROM pages), v AS (SELECT *, replace(html, '<body>', '<body>' || s) AS h, lower({_VIS.replace("html", "replace(html, '<body>', '<body>' || s)")}) AS low FROM x)
+       SELECT page_id, CASE WHEN s LIKE '<iframe%' AND NOT regexp_matches(html, '(?i)<form\b') AND NOT regexp_matches(lower(html), '(?s)<(?:a|button)\b[^>]*>[^<]*apply') OR {_any_of('u', ['/sorry/', '/challenge/', '/checkpoint/', '/verify/'])} THEN 'gated'
+         WHEN {_any_of('u', _LISTS['login_urls'])} OR (s LIKE '%password%' AND len(regexp_extract_all(h, '(?i)<form\b')) <= 2 AND length(low) < 600) THEN 'login' WHEN regexp_matches(lower(h), '<title>[^<]*(404|page not found)') THEN 'missing'
+         WHEN {_any_of('low', _LISTS['already'])} THEN 'applied' WHEN {_any_of('low', _LISTS['closed'])} THEN 'closed' WHEN s LIKE '<form>%' THEN 'form' WHEN {_any_of('low', _LISTS['confirmed'])} OR {_any_of('u', _LISTS['confirmed_urls'])} THEN 'success' WHEN contains(h, 'JobPosting') THEN 'structured' ELSE 'unknown' END AS kind FROM v""",
+)
+def b19_verdict(spark: S, d: str) -> DataFrame:
+    sign = F.element_at(F.array(*map(F.lit, _SIGNS)), (F.col("page_id") % 9 + 1).cast("int"))
+    rows = t(spark, d, "pages").select("page_id", "url", F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), sign)).alias("html"))
+    rows = rows.withColumn("text", G.text_of(F.col("html")))
+    title = F.regexp_extract("html", "(?i)<title>([^<]*)", 1)
+    kind = G.page_verdict(F.col("url"), title, F.col("html"), F.col("text"), H.challenge(F.col("url"), F.col("html")), H.fillable_form(F.col("html")), **_LISTS)
+    return rows.select("page_id", kind.alias("kind"))
 
 
 @query(

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .catalog import query, t
 from .functions import html as H
+from .functions import pages as G
 from .functions import identity as I
-from .functions import places as PL
 from .functions import stats
 from .functions import text as T
 from .functions import urls as U
@@ -130,18 +130,18 @@ def b20(spark: S, d: str) -> DataFrame:
 
 
 _SAFE = "html"
-for _p in H.UNSAFE:
+for _p in (r"(?is)<script\b.*?</script\s*>", r"(?is)<noscript\b.*?</noscript\s*>", r"(?is)<iframe\b.*?</iframe\s*>", r"(?i)<(?:script|noscript|iframe|object|embed|base)\b[^<>]*>", r"(?i)<meta\b[^<>]*http-equiv\s*=\s*[\"']?refresh[^<>]*>", r"(?i)\son[a-z]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)"):
     _SAFE = f"regexp_replace({_SAFE}, {_lit(_p)}, '', 'g')"
 
 
 @query("i48_safe_view", f"WITH {_V} SELECT page_id, md5({_SAFE}) AS safe FROM v")
 def i48(spark: S, d: str) -> DataFrame:
-    return _variants(spark, d).select("page_id", F.md5(H.safe_view(F.col("html")).cast("binary")).alias("safe"))
+    return _variants(spark, d).select("page_id", F.md5(G.view_of(F.col("html")).cast("binary")).alias("safe"))
 
 
 @query("i18_own_values")
 def i18(spark: S, d: str) -> DataFrame:
-    return t(spark, d, "documents").select("doc_id", H.without_own_values(F.col("text"), ["(555) 010-0199", "the", "of"]).alias("text"))
+    return t(spark, d, "documents").select("doc_id", G.redaction_of(F.col("text"), ["(555) 010-0199", "the of"], ["Reere", "of"])["html"].alias("text"))
 
 
 @query("a17_samples", "SELECT page_id, substr(sha256(html), 1, 16) AS item_id, coalesce(nullif(lower(regexp_extract(CASE WHEN page_id % 2 = 0 THEN url ELSE '' END, '://([^/?#]+)', 1)), ''), 'unknown site') AS host FROM (SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN '<!-- url: ' || url || ' context: a b captured: 2024-01-01 -->' ELSE '' END || html AS html FROM pages)")
@@ -219,16 +219,7 @@ def i49(spark: S, d: str) -> DataFrame:
     return t(spark, d, "events").select("event_id", F.array_join(vet.answer_problems(rules), "; ").alias("problems"))
 
 
-@query("g12_ordered_distinct", "SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i), ' ') AS words FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+')[1:60] AS w FROM documents)")
+@query("g12_ordered_distinct", "WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents), x AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM w), f AS (SELECT doc_id, arg_min(x, i) AS x, min(i) AS i FROM x GROUP BY doc_id, lower(x)) SELECT w.doc_id, coalesce(words, '') AS words FROM w LEFT JOIN (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS words FROM f GROUP BY 1) s ON w.doc_id = s.doc_id WHERE w.w IS NOT NULL")
 def g12(spark: S, d: str) -> DataFrame:
-    w = F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)), 1, 60)
+    w = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
     return t(spark, d, "documents").select("doc_id", w.alias("w")).select("doc_id", F.array_join(I.ordered_distinct(F.col("w")), " ").alias("words"))
-
-
-_LOCATIONS = ["San Jose, CA", "New York, NY", "Remote", "Greater Chicago Area", "Washington", "Princeton, NJ / Denver, CO", "London, UK", "Columbus, OH", "Portland", "Albany, New York"]
-
-
-@query("i32_i33_places")
-def i32(spark: S, d: str) -> DataFrame:
-    place = F.element_at(F.array(*map(F.lit, _LOCATIONS)), (F.col("c_custkey") % 10 + 1).cast("int"))
-    return t(spark, d, "customer").select("c_custkey", place.alias("place")).select("c_custkey", PL.jurisdiction(F.col("place")).alias("jurisdiction"), PL.metro(F.col("place")).alias("metro"))

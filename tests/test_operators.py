@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.functions import html, stats, text, urls
+from sparkloom.functions import stats, text, urls
 from sparkloom.operators import detectors, sequences, vetting
 from sparkloom.sources import export, jsonl, warc
 
@@ -56,13 +56,6 @@ def test_urls(spark):
     assert one(spark, urls.company_label(F.col("h")), h="jobs.acme.com") == "acme"
 
 
-def test_visible_text_and_hostile_input(spark):
-    page = "<body><script>x</script><p>a&amp;b</p><!-- <p>no</p> --><td>c</td>d</body>"
-    assert one(spark, html.visible_text(F.col("h")), h=page) == "a&b\nc d"
-    hostile = "<p " * 20_000 + "<!-- " * 20_000
-    assert one(spark, F.length(html.visible_text(F.col("h"))), h=hostile) is not None
-
-
 def test_vetting_scores_only_what_came_before_the_first_failure(spark):
     rows = spark.createDataFrame([(1, 5), (2, 50), (3, None)], "id long, x long")
     rules = [vetting.Rule("A", F.lit(True), "no", 1.0, 0.3), vetting.Rule("B", F.col("x") < 10, "big", 1.0, 0.3), vetting.Rule("C", F.lit(True), "no", 1.0, 0.3)]
