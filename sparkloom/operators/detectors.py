@@ -190,7 +190,11 @@ def below_market(salary_min: Column, salary_max: Column, p25: Column, n: Column)
 def obfuscation(text: Column, lexicon: Sequence[tuple[str, float]] = VEILED) -> Column:
     """DP-02: the weights of the phrases found add up to 0.65 or more."""
     low = F.lower(text)
-    s = sum((F.when(low.contains(p.lower()), w).otherwise(0.0) for p, w in lexicon), F.lit(0.0))
+    return obfuscated(sum((F.when(low.contains(p.lower()), w).otherwise(0.0) for p, w in lexicon), F.lit(0.0)))
+
+
+def obfuscated(s: Column) -> Column:
+    """DP-02 from the sum of the weights, as ``lexicon.weighed`` gives it for a lexicon that is a table."""
     return F.when(s >= 0.65, signal("DP-02", F.when(s >= 2, "violation").when(s >= 1.2, "concern").otherwise("flag"), F.least(F.lit(0.9), 0.55 + s * 0.12)))
 
 

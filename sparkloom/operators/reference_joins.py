@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import host_suffixes
+from . import lexicon
 
 MOST_BROADCAST = 100_000
 MOST_PLANS = 2_000  # entries of each list of a plan
@@ -47,20 +48,14 @@ def platform_by_host(rows: DataFrame, host: str, key: str, domains: DataFrame) -
 def platform_by_pattern(rows: DataFrame, url: str, key: str, patterns: DataFrame) -> DataFrame:
     """key and platform: the first platform, in load order, one of whose globs matches the URL without its scheme, in any case.
 
-    ``patterns`` (glob, platform, load_order) is a small table by contract, checked before it is
-    broadcast; globs become regular expressions whose only wildcard is the star.
+    ``patterns`` (glob, platform, load_order) may have any number of rows: a glob is tried only
+    where its longest literal occurs.
     """
-    pattern = F.concat(F.lit("(?i)^"), F.replace(F.regexp_replace("glob", r"([.+?^$(){}|\[\]\\])", r"\\$1"), F.lit("*"), F.lit(".*")))
     bare = rows.select(key, F.regexp_replace(url, "^[A-Za-z][A-Za-z0-9+.-]*://", "").alias("_bare"))
-    hits = bare.join(small(patterns.withColumn("_pattern", pattern), must=True), F.expr("_bare rlike _pattern"))
+    hits = lexicon.glob_matches(bare, key, "_bare", patterns)
     return hits.groupBy(key).agg(F.min_by("platform", F.struct("load_order", "platform")).alias("platform"))
 
 
-def mutual_substring(mentions: DataFrame, name: str, table: DataFrame, other: str) -> DataFrame:
-    """Pairs in which either name holds the other. The table is a small one by contract, checked before it is broadcast."""
-    return mentions.join(small(table, must=True), F.col(name).contains(F.col(other)) | F.col(other).contains(F.col(name)))
-
-
 def absent(roster: DataFrame, recorded: DataFrame, keys: list[str]) -> DataFrame:
     return roster.join(recorded.select(*keys).distinct(), keys, "left_anti")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .catalog import query, t
 from .functions import stats
 from .operators import aggregates as agg
+from .operators import lexicon
 from .operators import reference_joins as rj
 from .operators import sequences as seq
 from .operators import vetting as vet
@@ -343,7 +344,7 @@ _TECH = [("green", 2010), ("red", 2001), ("steel", 1999), ("small brushed", 2015
 @query("c03_mutual_substring", "SELECT p_partkey, tech, since FROM part JOIN (VALUES " + ", ".join(f"('{a}', {b})" for a, b in _TECH) + ") v(tech, since) ON contains(lower(p_type), tech) OR contains(tech, lower(p_type))")
 def c03(spark: S, d: str) -> DataFrame:
     dim = spark.createDataFrame(_TECH, "tech string, since int")
-    return rj.mutual_substring(t(spark, d, "part").select("p_partkey", F.lower("p_type").alias("ptype")), "ptype", dim, "tech").select("p_partkey", "tech", "since")
+    return lexicon.mutual_substring(t(spark, d, "part").select("p_partkey", F.lower("p_type").alias("ptype")), "ptype", dim, "tech").select("p_partkey", "tech", "since")
 
 
 @query(

@@ -11,6 +11,7 @@ from .functions import pages as G
 from .functions import text as T
 from .functions import urls as U
 from .operators import detectors as D
+from .operators import lexicon
 from .operators import reference_joins as rj
 from .operators import sequences as seq
 from .operators.prefix_orders import percentile_before
@@ -263,10 +264,27 @@ _LEXSUM = " + ".join(f"CASE WHEN contains(lower(text), '{p}') THEN {w}::DOUBLE E
 
 @query("c04_j18_obfuscation", f"SELECT doc_id, CASE WHEN s >= 2 THEN 'violation' WHEN s >= 1.2 THEN 'concern' ELSE 'flag' END AS severity, round(least(0.9, 0.55 + s * 0.12), 6) AS confidence FROM (SELECT doc_id, {_LEXSUM} AS s FROM documents) WHERE s >= 0.65")
 def j18(spark: S, d: str) -> DataFrame:
-    out = D.run(t(spark, d, "documents"), "doc_id", [D.obfuscation(F.col("text"), _LEX)], False)
+    weights = lexicon.weighed(t(spark, d, "documents"), "doc_id", "text", spark.createDataFrame(_LEX, "term string, weight double"))
+    out = D.run(weights, "doc_id", [D.obfuscated(F.col("weight"))], False)
     return out.select("doc_id", "severity", F.round("confidence", 6).alias("confidence"))
 
 
+_TERMS = "SELECT DISTINCT x AS term FROM (SELECT unnest(string_split(lower(text), ' ')) AS x FROM benchmark) WHERE length(x) >= 6"
+
+
+@query(
+    "c03_c04_lexicon_hits",
+    f"""WITH t AS ({_TERMS}), n AS (SELECT DISTINCT length(term) AS n FROM t), d AS (SELECT doc_id, lower(text) AS low FROM documents WHERE text IS NOT NULL),
+        g AS (SELECT doc_id, n, unnest(range(0, length(low) - n + 1)) AS start, low FROM d, n WHERE length(low) >= n)
+        SELECT doc_id, term, count(*) AS places, min(start) AS first, max(start) AS last FROM (SELECT doc_id, start, substr(low, start + 1, n) AS term FROM g) JOIN t USING (term) GROUP BY 1, 2""",
+)
+def c04_hits(spark: S, d: str) -> DataFrame:
+    """Where the benchmark's longer words, a lexicon that is a table, stand anywhere in the documents, overlaps and parts of words included."""
+    words = t(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("term")).where("length(term) >= 6").distinct()
+    found = lexicon.hits(t(spark, d, "documents").select("doc_id", F.lower("text").alias("low")), "doc_id", "low", words, "term", "term")
+    return found.groupBy("doc_id", "term").agg(F.count("*").alias("places"), F.min("start").cast("long").alias("first"), F.max("start").cast("long").alias("last"))
+
+
 @query("j20_form_bloat", "SELECT p_partkey, CASE WHEN p_size >= b[3] THEN 'violation' WHEN p_size >= b[2] THEN 'concern' ELSE 'flag' END AS severity, round(least(0.88, 0.6 + p_size / 100), 6) AS confidence FROM (SELECT *, CASE WHEN contains(lower(p_type), 'intern') OR contains(lower(p_type), 'entry') THEN [25, 35, 50] ELSE [40, 55, 70] END AS b FROM part) WHERE p_size >= b[1]")
 def j20(spark: S, d: str) -> DataFrame:
     out = D.run(t(spark, d, "part"), "p_partkey", [D.form_bloat(F.col("p_type"), F.col("p_size"))], False)
