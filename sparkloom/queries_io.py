@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import query, t
+from .operators import ranks
 from .plans import search_plan as sp
 from .queries_core import _EMA
-from .sources import export, jsonl, shared, warc
+from .sources import export, jsonl, shared, verification, warc
 from .streaming import ingest
 
 S = SparkSession
@@ -37,6 +38,17 @@ def a10(spark: S, d: str) -> DataFrame:
     return spark.createDataFrame([(want["n"], not problems)], "n long, verified boolean")
 
 
+@query("a14_bundle_problems", "SELECT 'customer' AS \"table\", 'extra' AS problem, count(*) > 0 AS found FROM customer UNION ALL SELECT 'nation', 'missing', count(*) > 0 FROM nation")
+def a14(spark: S, d: str) -> DataFrame:
+    """A sealed bundle of two tables, one of which is then gone and the other written once more beside itself."""
+    path = shared.folder(spark)
+    verification.sealed(spark, {"nation": (t(spark, d, "nation"), ["n_nationkey"]), "customer": (t(spark, d, "customer"), ["c_custkey"])}, path)
+    t(spark, d, "nation").limit(0).write.mode("overwrite").option("pathGlobFilter", "*").csv(f"{path}/nation")
+    t(spark, d, "customer").orderBy(F.desc("c_custkey")).repartitionByRange(200, "c_custkey").write.mode("append").parquet(f"{path}/customer")
+    found = verification.problems(spark, path).where(F.col("problem").isin("missing", "extra"))
+    return found.groupBy("table", "problem").agg((F.count("*") > 0).alias("found"))
+
+
 @query("m01_m04_stream_lifecycle", "WITH days AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day FROM events GROUP BY ALL), g AS (SELECT *, date_diff('day', lag(day) OVER (PARTITION BY user_id, event_type ORDER BY day), day) AS gap FROM days) SELECT user_id, event_type, count(*) AS times_seen, count(*) FILTER (WHERE gap > 7) AS times_reposted FROM g GROUP BY 1, 2")
 def m01(spark: S, d: str) -> DataFrame:
     schema = t(spark, d, "events").schema
@@ -60,9 +72,9 @@ def m04(spark: S, d: str) -> DataFrame:
     root = shared.folder(spark)
     rows = t(spark, d, "events").select("user_id", "event_id", "value")
     third = rows.agg(F.max("event_id")).first()[0] // 3 + 1
-    for k in range(3):  # files in the order of their rows, one a micro-batch
-        rows.where(F.floor(F.col("event_id") / third) == k).coalesce(1).write.mode("append").parquet(f"{root}/events")
-    stream = ingest.smoothed(ingest.read_folder(spark, f"{root}/events", rows.schema, 1), "user_id", "event_id", "value", 0.3)
+    for k in range(3):  # thirds in the order of their rows, one a micro-batch, of four files each
+        rows.where(F.floor(F.col("event_id") / third) == k).repartition(4, F.xxhash64("event_id")).write.mode("append").parquet(f"{root}/events")
+    stream = ingest.smoothed(ingest.read_folder(spark, f"{root}/events", rows.schema, 4), "user_id", "event_id", "value", 0.3)
     ingest.keep_latest(stream, f"{root}/ema", f"{root}/state")
     last = spark.read.parquet(f"{root}/ema").groupBy("key").agg(F.max_by("ema", "n").alias("ema"), F.max("n").alias("n"))
     return last.select(F.col("key").alias("user_id"), F.round("ema", 6).alias("ema"), "n")
@@ -119,10 +131,9 @@ def a12(spark: S, d: str) -> DataFrame:
 def a19(spark: S, d: str) -> DataFrame:
     path = shared.folder(spark)
     rows = t(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.max("event_id").cast("string").alias("started_at"))
-    rows.coalesce(1).write.json(path)
+    rows.write.json(path)
     listed = export.reports(spark, path, rows.schema)
-    ranks = listed.agg(F.collect_list("session_id").alias("ids"))  # a listing: one short entry a session
-    return rows.crossJoin(ranks).select("session_id", "started_at", F.array_position("ids", F.col("session_id")).alias("rank"))
+    return ranks.numbered(listed, export.newest_first(), shared.folder(spark)).select("session_id", "started_at", "rank")
 
 
 @query("a20_replay_lines", "SELECT '{\"id\":' || s_suppkey || '}' AS value FROM supplier")

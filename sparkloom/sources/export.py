@@ -69,7 +69,12 @@ def write_lines(rows: DataFrame, keys: list[str], text: str, path: str) -> None:
     rows.orderBy(*keys).select(text).write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
+def newest_first() -> list:
+    """The order of session reports: by when they started, then by the stamp in the file's name, then by session."""
+    return [F.desc_nulls_last("started_at"), F.desc("report_path"), F.col("session_id")]
+
+
 def reports(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Saved session reports (JSON), newest first: by when they started, then by the stamp in the file's name; unreadable ones are skipped."""
+    """Saved session reports (JSON) with the file of each; unreadable ones are skipped."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).withColumn("report_path", F.col("_metadata.file_path"))
-    return rows.where("session_id is not null").orderBy(F.desc_nulls_last("started_at"), F.desc("report_path"), "session_id")
+    return rows.where("session_id is not null")
