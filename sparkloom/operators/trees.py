@@ -1,4 +1,4 @@
-"""Page trees as tables of nodes: parsing, structural hashes, distances, geometry, occlusion, traps, field types, forms and cards.
+"""Page trees as tables of nodes: structural hashes, distances, geometry, occlusion, traps, field types, forms and cards.
 
 A node is a row (page, node, parent, ord, depth, path, tag, and attributes or boxes where they are
 known); ``path`` lists its ancestors from the root to itself. A page is the unit that all pairs of
@@ -9,72 +9,12 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Elements that have no content.
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-NODES = "node int, parent int, ord int, depth int, path array<int>, tag string, attributes map<string,string>, text string"
-
-
-class _Reader(HTMLParser):
-    """Collects the nodes of one page in document order."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[int] = []
-        self.nodes: list[dict] = []
-        self.children: dict[int, int] = {}
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        parent, me = self.open[-1] if self.open else -1, len(self.nodes)
-        at = self.children.get(parent, 0)
-        self.children[parent] = at + 1
-        self.nodes.append({"node": me, "parent": parent if parent >= 0 else None, "ord": at, "depth": len(self.open), "path": [*self.open, me], "tag": tag, "attributes": {k: v or "" for k, v in attrs}, "text": ""})
-        if tag not in VOID:
-            self.open.append(me)
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.open.pop()
-
-    def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[i]]["tag"] == tag:
-                del self.open[i:]
-                return
-
-    def handle_data(self, data: str) -> None:
-        if self.open:
-            self.nodes[self.open[-1]]["text"] += data
-
-
-def read_nodes(html: str | None) -> list[dict]:
-    reader = _Reader()
-    reader.feed(html or "")
-    reader.close()
-    return reader.nodes
-
-
-def parsed(pages: DataFrame, page: str, html: str) -> DataFrame:
-    """A row per element of every page, in document order; a page without elements has none."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in NODES.split(", ")]
-        for f in frames:
-            rows = [(k, *n.values()) for k, h in zip(f[page], f[html], strict=True) for n in read_nodes(h)]
-            out = pd.DataFrame(rows, columns=[page, *names])
-            out["parent"] = out["parent"].astype("Int32")
-            yield out
-
-    return pages.select(page, html).mapInPandas(run, f"`{page}` {dict(pages.dtypes)[page]}, {NODES}")
-
-
 def structural_hashes(nodes: DataFrame, page: str, base: Column, keep, brackets: bool = True) -> DataFrame:
     """``nodes`` with n_children and hash: md5 of the node's base and its children's hashes in order, level by level from the deepest.
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import query, t
+from .operators import page_nodes
 from .operators import trees as K
 from .queries_postings import _lit
 from .sources import shared
@@ -33,14 +34,19 @@ def _keep(spark: S):
 
 @query("k01_page_nodes", "SELECT page_id, len(regexp_extract_all(html, '<(?:a|li|p|h1|article|nav|ul|div)\\b')) AS nodes FROM pages")
 def k01(spark: S, d: str) -> DataFrame:
-    nodes = K.parsed(t(spark, d, "pages"), "page_id", "html")
+    nodes = page_nodes.parsed(t(spark, d, "pages"), "page_id", "html")
     return nodes.groupBy("page_id").agg(F.count_if(F.col("tag").isin("a", "li", "p", "h1", "article", "nav", "ul", "div")).alias("nodes"))
 
 
 @query("k02_page_hashes")
 def k02_pages(spark: S, d: str) -> DataFrame:
-    nodes = K.parsed(t(spark, d, "pages"), "page_id", "html").select("page_id", "node", "parent", "ord", "depth", "tag")
-    return K.structural_hashes(nodes, "page_id", K.plain_base(), _keep(spark)).select("page_id", "node", "tag", "hash")
+    return page_nodes.parsed(t(spark, d, "pages"), "page_id", "html").select("page_id", "node", "tag", F.col("plain").alias("hash"))
+
+
+@query("f10_k13_k14_k15_c16_page_cards")
+def page_cards(spark: S, d: str) -> DataFrame:
+    """The cards of the real pages: the best repeated group of each, climbed up, with its texts and link."""
+    return page_nodes.page_cards(t(spark, d, "pages"), "page_id", "html", "url", _keep(spark))
 
 
 def order_nodes(spark: S, d: str) -> DataFrame:

@@ -106,17 +106,6 @@ def test_hulls(spark):
         assert all((b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) >= -1e-9 for g, x, y in points if g == "g")
 
 
-def test_page_nodes_and_hashes(spark):
-    nodes = trees.read_nodes("<div><p>a<br>b</p><p>c<br></p><ul><li>x<li>y</ul></div>")
-    assert [(n["tag"], n["depth"]) for n in nodes] == [("div", 0), ("p", 1), ("br", 2), ("p", 1), ("br", 2), ("ul", 1), ("li", 2), ("li", 3)]
-    assert trees.read_nodes(None) == [] and trees.read_nodes("<" * 1000) == []
-    frame = rows(spark, [(1, "<div><p><br></p><p><br></p><b></b></div>"), (2, ""), (3, None)], "page long, html string")
-    parsed = trees.parsed(frame, "page", "html").select("page", "node", "parent", "ord", "depth", "tag")
-    hashed = trees.structural_hashes(parsed, "page", trees.plain_base(), lambda f, _: f).collect()
-    by_tag = {(r["tag"], r["hash"]) for r in hashed}
-    assert len(hashed) == 6 and len(by_tag) == 4
-
-
 def test_card_levels_and_distances(spark):
     cards = rows(spark, [(1, [0, 1, 2]), (1, [0, 3, 4]), (2, [0, 1, 2])], "page long, path array<int>")
     assert {tuple(r) for r in trees.card_levels(cards, "page").collect()} == {(1, 1), (2, 12)}
