@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .catalog import query, t
 from .functions import stats
 from .operators import aggregates as agg
+from .operators import answers
 from .operators import lexicon
 from .operators import reference_joins as rj
 from .operators import sequences as seq
@@ -119,6 +120,42 @@ def d15(spark: S, d: str) -> DataFrame:
     return sizes.join(both, F.col("role").eqNullSafe(F.col("_role"))).select("role", "n", "median_turn", "mean_bytes")
 
 
+#: Turns as answers: the role's question, and by the conversation a list of choices, a text, a number, a truth, null, nothing or no JSON.
+_ANSWERS = """SELECT role, CASE conv_id % 7 WHEN 0 THEN to_json(list_distinct([left(text, 1), right(text, 1), left(text, 1)])) WHEN 1 THEN to_json(left(text, 2)) WHEN 2 THEN CAST(length(text) AS VARCHAR)
+   WHEN 3 THEN CASE WHEN length(text) % 3 = 0 THEN 'true' ELSE 'false' END WHEN 4 THEN 'null' WHEN 5 THEN '{' END AS answer, conv_id % 7 AS k, text FROM conversations WHERE text IS NOT NULL AND text <> ''"""
+
+
+def _answers(spark: S, d: str) -> DataFrame:
+    c, n = t(spark, d, "conversations").where("text is not null and text <> ''"), F.length("text")
+    ends = F.array(F.left("text", F.lit(1)), F.right("text", F.lit(1)), F.left("text", F.lit(1)))
+    k = F.col("conv_id") % 7
+    answer = F.when(k == 0, F.to_json(ends)).when(k == 1, F.to_json(F.array(F.left("text", F.lit(2))))).when(k == 2, n.cast("string")).when(k == 3, F.when(n % 3 == 0, "true").otherwise("false")).when(k == 4, "null").when(k == 5, "{")
+    return c.select("role", F.when(k == 1, F.substring(answer, 2, 20).substr(F.lit(1), F.length(answer) - 2)).otherwise(answer).alias("answer"))
+
+
+_W = "(p + z*z/(2*{n}) {s} z*sqrt(p*(1-p)/{n} + z*z/(4*{n}*{n}))) / (1 + z*z/{n})"
+
+
+@query(
+    "d15_i44_answer_insights",
+    f"""WITH a AS ({_ANSWERS}), g AS (SELECT role, count(*) AS n, count(*) FILTER (WHERE k = 0) AS n_lists, count(*) FILTER (WHERE k = 1) AS n_texts, count(*) FILTER (WHERE k = 2) AS n_numbers, count(*) FILTER (WHERE k = 3) AS n_truths, count(*) FILTER (WHERE k IN (4, 6)) AS n_none, count(*) FILTER (WHERE k = 5) AS n_invalid,
+         median(length(text)) FILTER (WHERE k = 2) AS median, count(*) FILTER (WHERE k = 3 AND length(text) % 3 = 0) AS hits, 1.959963984540054 AS z FROM a GROUP BY 1), p AS (SELECT *, hits / nullif(n_truths, 0) AS p FROM g)
+        SELECT role, n, n_lists, n_texts, n_numbers, n_truths, n_none, n_invalid, CAST(median AS DOUBLE) AS median, round(p, 8) AS rate, round({_W.format(n="n_truths", s="-")}, 8) AS low, round({_W.format(n="n_truths", s="+")}, 8) AS high FROM p""",
+)
+def d15_insights(spark: S, d: str) -> DataFrame:
+    rows = answers.insights(_answers(spark, d), "role", "answer")
+    return rows.select(*(c for c in rows.columns if c not in ("rate", "low", "high")), *(F.round(c, 8).alias(c) for c in ("rate", "low", "high")))
+
+
+@query(
+    "d15_answer_tallies",
+    f"""WITH a AS ({_ANSWERS}), v AS (SELECT role, count(*) FILTER (WHERE k < 4) AS valid FROM a GROUP BY 1), c AS (SELECT role, unnest(CASE WHEN k = 0 THEN list_distinct([left(text, 1), right(text, 1)]) ELSE [left(text, 2)] END) AS choice FROM a WHERE k < 2)
+        SELECT role, choice, count(*) AS n, round(count(*) / any_value(valid), 8) AS share FROM c JOIN v USING (role) GROUP BY 1, 2""",
+)
+def d15_tallies(spark: S, d: str) -> DataFrame:
+    return answers.tallies(_answers(spark, d), "role", "answer").select("role", "choice", "n", F.round("share", 8).alias("share"))
+
+
 @query(
     "d16_wilson",
     """SELECT lang, n, hits, round(greatest(0, (p + z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n)), 8) AS low, round(least(1, (p + z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n)), 8) AS high
