@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .reference_joins import small
 
 #: Words coded masculine and feminine in job advertisements (Gaucher, Friesen and Kay 2011).
 MASCULINE = (
@@ -292,7 +293,7 @@ def strict_thresholds(postings: DataFrame, key: str, thresholds: str, norms: Dat
 
     ``thresholds`` is a map of question to value, joined with ``norms`` (question, p90, higher).
     """
-    each = postings.select(key, F.explode(thresholds).alias("question", "value")).join(F.broadcast(norms), "question")
+    each = postings.select(key, F.explode(thresholds).alias("question", "value")).join(small(norms), "question")
     beyond = F.when(F.col("higher"), F.col("value") > F.col("p90")).otherwise(F.col("value") < F.col("p90"))
     off = F.abs(F.col("value") - F.col("p90")) / F.greatest(F.abs("p90"), F.lit(1.0))
     return each.where(beyond).select(key, "question", F.lit("AH-01").alias("signal_type"), F.lit("concern").alias("severity"), F.least(F.lit(0.85), 0.55 + off * 0.5).alias("confidence"))

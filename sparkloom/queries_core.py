@@ -9,7 +9,7 @@ from .catalog import query, t
 from .functions import stats
 from .operators import aggregates as agg
 from .operators import answers
-from .operators import lexicon
+from .operators import lexicon, macro
 from .operators import reference_joins as rj
 from .operators import sequences as seq
 from .operators import vetting as vet
@@ -186,6 +186,20 @@ def d17(spark: S, d: str) -> DataFrame:
     return stats.fisher_exact(tables, key="lang").select("lang", F.round("p_value", 6).alias("p_value"))
 
 
+@query(
+    "d17_paired_trials",
+    """WITH x AS (SELECT o_custkey % 40 AS pair, o_orderkey // 2 AS trial, o_orderkey % 2 AS arm, o_orderstatus <> 'P' AS sent, o_totalprice > 150000 + 40000 * (o_orderkey % 2) AS back FROM (SELECT o_orderkey, o_orderkey // 64 AS o_custkey, o_orderstatus, o_totalprice FROM orders)),
+       w AS (SELECT pair, trial, bool_or(arm = 0 AND sent) AS s0, bool_or(arm = 1 AND sent) AS s1, bool_or(arm = 0 AND back) AS b0, bool_or(arm = 1 AND back) AS b1 FROM x GROUP BY 1, 2), g AS (SELECT pair, count(*) AS n, count(*) FILTER (WHERE b0) AS a, count(*) FILTER (WHERE b1) AS c FROM w WHERE s0 AND s1 GROUP BY 1),
+       k AS (SELECT *, unnest(range(greatest(0, a + c - n), least(n, a + c) + 1)) AS k FROM g), p AS (SELECT *, exp(lgamma(n+1)+lgamma(n+1)+lgamma(a+c+1)+lgamma(2*n-a-c+1)-lgamma(2*n+1)-lgamma(k+1)-lgamma(n-k+1)-lgamma(a+c-k+1)-lgamma(n-a-c+k+1)) AS pk FROM k),
+       o AS (SELECT pair, pk AS seen FROM p WHERE k = a) SELECT pair, any_value(n) AS n_pairs, any_value(a) AS a_callbacks, any_value(c) AS b_callbacks, round(any_value((a - c) / n), 8) AS difference, round(least(1, sum(CASE WHEN pk <= seen * (1 + 1e-9) THEN pk ELSE 0 END)), 6) AS p_value FROM p JOIN o USING (pair) GROUP BY 1""",
+)
+def d17_pairs(spark: S, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = t(spark, d, "orders").select((F.floor(k / 64) % 40).alias("pair"), F.floor(k / 2).alias("trial"), F.when(k % 2 == 0, "a").otherwise("b").alias("arm"), (F.col("o_orderstatus") != "P").alias("sent"), (F.col("o_totalprice") > 150000 + 40000 * (k % 2)).alias("back"))
+    out = macro.paired_trials(rows, "pair", "trial", "arm", F.col("sent"), F.col("back"))
+    return out.select("pair", "n_pairs", "a_callbacks", "b_callbacks", F.round("difference", 8).alias("difference"), F.round("p_value", 6).alias("p_value"))
+
+
 @query("d18_progress", "SELECT quality AS study, count(*) AS total, count(*) FILTER (WHERE toxic = 1) AS done, count(*) FILTER (WHERE toxic = 0) AS skipped FROM labels GROUP BY 1")
 def d18(spark: S, d: str) -> DataFrame:
     return t(spark, d, "labels").groupBy(F.col("quality").alias("study")).agg(F.count("*").alias("total"), F.count_if(F.col("toxic") == 1).alias("done"), F.count_if(F.col("toxic") == 0).alias("skipped"))
@@ -386,11 +400,16 @@ def c03(spark: S, d: str) -> DataFrame:
 
 @query(
     "c06_geo_lookup",
-    """SELECT c_custkey, p.s_suppkey AS place FROM customer LEFT JOIN (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey DESC) AS r FROM supplier) p ON c_nationkey = s_nationkey AND r = 1""",
+    """WITH p AS (SELECT s_suppkey, s_acctbal, 'c' || s_suppkey % 7 AS city, n_name AS admin1, r_name AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+       c AS (SELECT c_custkey, 'c' || c_custkey % 9 AS city, CASE WHEN c_custkey % 2 = 0 THEN n_name ELSE r_name END AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+       m AS (SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY s_acctbal DESC, s_suppkey DESC) AS r FROM c JOIN p ON c.city = p.city AND (region = admin1 OR region = country)) SELECT c.c_custkey, s_suppkey AS place FROM c LEFT JOIN m ON c.c_custkey = m.c_custkey AND r = 1""",
 )
 def c06(spark: S, d: str) -> DataFrame:
-    places = t(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("city"), F.lit("x").alias("admin1"), F.lit("y").alias("country"), F.struct("s_acctbal", "s_suppkey").alias("population"), F.col("s_suppkey").alias("lat"), F.col("s_suppkey").alias("lon"))
-    rows = t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("city"), F.lit("x").alias("region"))
+    named = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    places = t(spark, d, "supplier").join(named, F.col("s_nationkey") == F.col("n_nationkey"))
+    places = places.select(F.concat(F.lit("c"), F.col("s_suppkey") % 7).alias("city"), F.col("n_name").alias("admin1"), F.col("r_name").alias("country"), F.col("s_acctbal").alias("population"), F.col("s_suppkey").alias("lat"), F.col("s_suppkey").alias("lon"))
+    rows = t(spark, d, "customer").join(named, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select("c_custkey", F.concat(F.lit("c"), F.col("c_custkey") % 9).alias("city"), F.when(F.col("c_custkey") % 2 == 0, F.col("n_name")).otherwise(F.col("r_name")).alias("region"))
     return rj.geo_lookup(rows, places).select("c_custkey", F.col("lat").alias("place"))
 
 

@@ -154,6 +154,27 @@ def o06(spark: S, d: str) -> DataFrame:
     return sp.within_budget(t(spark, d, "customer"), "c_nationkey", [F.desc("c_acctbal"), F.col("c_custkey")], 5).select("c_nationkey", "c_custkey", "dropped")
 
 
+@query(
+    "o06_b14_carried_budget",
+    """WITH b AS (SELECT c_mktsegment, count(*) AS n, max(c_acctbal) AS top FROM customer GROUP BY 1), s AS (SELECT *, sum(n) OVER (ORDER BY top DESC, c_mktsegment) - n AS before FROM b), r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS i FROM customer)
+       SELECT c_custkey, CAST(before + i AS BIGINT) AS place, before + i <= 60 AS planned, CASE WHEN before + i <= 60 THEN ['x', 'y', 'z'][CAST((before + i - 1) % 3 + 1 AS INTEGER)] END AS engine, CAST(greatest(0, least(n, before + n - 60)) AS BIGINT) AS dropped FROM r JOIN s USING (c_mktsegment)""",
+)
+def o06_carried(spark: S, d: str) -> DataFrame:
+    rows = sp.carried(t(spark, d, "customer"), "c_mktsegment", [-F.col("c_acctbal")], [F.desc("c_acctbal"), F.col("c_custkey")], 60, ["x", "y", "z"])
+    return rows.select("c_custkey", "place", "planned", "engine", "dropped")
+
+
+@query(
+    "o01_compose_or_refuse",
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE '"' || lower(c_mktsegment) || '" role' || CASE WHEN c_custkey % 3 = 1 THEN ' intitle:' || lower(c_mktsegment) ELSE '' END END AS text FROM customer""",
+)
+def o01_refuse(spark: S, d: str) -> DataFrame:
+    k, seg = F.col("c_custkey") % 3, F.array(F.lower("c_mktsegment"))
+    none, site = F.array().cast("array<string>"), F.when(k == 0, F.lit("example.com"))
+    text = sp.composed(F.array(F.lit("role")), none, none, site, phrases=seg, in_title=F.when(k == 1, seg), operators=sp.OPERATORS - {"site"})
+    return t(spark, d, "customer").select("c_custkey", text.alias("text"))
+
+
 @query("o07_recent_queries", "SELECT event_type, max(event_id) AS event_id FROM events GROUP BY 1")
 def o07(spark: S, d: str) -> DataFrame:
     return sp.recent(t(spark, d, "events"), "event_type", "event_id")

@@ -15,6 +15,7 @@ from .catalog import query, t
 from .functions import pay, stats
 from .functions import text as T
 from .operators import detectors as D
+from .operators import reference_joins as rj
 from .operators.rank_correlation import kendall_tau
 from .queries_text import _SENT, _keywords, _syl
 
@@ -123,7 +124,7 @@ _LAWS = "(VALUES " + ", ".join(f"({_lit(k)}, DATE {_lit(s)}, {n})" for k, (s, n)
 )
 def j14(spark: S, d: str) -> DataFrame:
     laws = spark.createDataFrame([(k, s, n) for k, (s, n) in LAWS.items()], "jurisdiction string, since string, threshold int").withColumn("since", F.col("since").cast("date"))
-    rows = postings(spark, d).join(F.broadcast(laws), "jurisdiction", "left")
+    rows = postings(spark, d).join(rj.small(laws), "jurisdiction", "left")
     found = D.undisclosed_pay(F.col("lo"), F.col("hi"), F.col("since"), F.col("threshold"), F.lit("2022-12-01").cast("date"))
     return D.run(rows, "doc_id", [found], False).select("doc_id", "severity", "confidence")
 
@@ -151,7 +152,7 @@ _signals("j24_no_form", _rule("'concern'", "0.8", "generic AND fields = 0"), lam
 )
 def j25(spark: S, d: str) -> DataFrame:
     places = spark.createDataFrame(list(PLACES.items()), "metro string, cost double")
-    rows = postings(spark, d).join(F.broadcast(places), "metro", "left")
+    rows = postings(spark, d).join(rj.small(places), "metro", "left")
     return D.run(rows, "doc_id", [D.low_for_place(F.col("lo"), F.col("hi"), F.col("cost"))], False).select("doc_id", "severity", F.round("confidence", 6).alias("confidence"))
 
 

@@ -11,7 +11,7 @@ from .functions import pages as G
 from .functions import text as T
 from .functions import urls as U
 from .operators import detectors as D
-from .operators import lexicon
+from .operators import lexicon, macro
 from .operators import reference_joins as rj
 from .operators import sequences as seq
 from .operators.prefix_orders import percentile_before
@@ -104,10 +104,9 @@ def i25(spark: S, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", U.canonical(F.col("url")).alias("url_key"))
 
 
-@query("i46_company_label", "SELECT page_id, string_split(lower(regexp_extract(url, '://([^/?#]+)', 1)), '.')[1] AS label FROM pages WHERE NOT regexp_matches(url, '://(www|jobs|careers|apply|boards|job|career)[.]')")
+@query("i46_company_label", "SELECT page_id, CASE WHEN l[1] IN ('jobs', 'careers', 'apply', 'boards', 'job', 'career') AND len(l) > 2 THEN l[2] ELSE l[1] END AS label FROM (SELECT page_id, string_split(regexp_replace(lower(regexp_extract(url, '://([^/?#]+)', 1)), '^www[.]', ''), '.') AS l FROM pages)")
 def i46(spark: S, d: str) -> DataFrame:
-    kept = t(spark, d, "pages").where(~F.col("url").rlike("://(www|jobs|careers|apply|boards|job|career)[.]"))
-    return kept.select("page_id", U.company_label(U.host(F.col("url"))).alias("label"))
+    return t(spark, d, "pages").select("page_id", U.company_label(U.host(F.col("url"))).alias("label"))
 
 
 @query("c07_c12_platform_by_host", "SELECT page_id, CASE WHEN regexp_matches(lower(url), '://([^/?#]*[.])?example[.]com([/?#]|$)') THEN 'demo' WHEN regexp_matches(lower(url), '://([^/?#]*[.])?example[.]org([/?#]|$)') THEN 'other' END AS platform FROM pages")
@@ -298,14 +297,18 @@ def j33(spark: S, d: str) -> DataFrame:
     return D.outcomes(rows, found, "p_partkey", ["DP-04", "GJ-05"])
 
 
-@query("j31_black_hole", "SELECT l_suppkey, n, round(least(0.85, 0.5 + n / 200), 6) AS confidence FROM (SELECT l_suppkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') / count(*) AS rate FROM lineitem GROUP BY 1) WHERE n >= 10 AND rate < 0.25")
+_LM2 = "SELECT l_partkey // 3 AS entity, l_linenumber <> 7 AS sent, l_returnflag = 'R' AND l_partkey // 3 % 2 = 0 OR l_quantity > 49 AS back FROM lineitem"
+
+
+@query("j31_black_hole", f"SELECT entity, n, 'flag' AS severity, round(least(0.85, 0.5 + n / 200), 6) AS confidence FROM (SELECT entity, count(*) FILTER (WHERE sent) AS n, count(*) FILTER (WHERE sent AND back) AS got FROM ({_LM2}) GROUP BY 1) WHERE n >= 10 AND got / n < 0.05")
 def j31(spark: S, d: str) -> DataFrame:
-    g = t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), (F.count_if(F.col("l_returnflag") == "R") / F.count("*")).alias("rate"))
-    return g.where("n >= 10 and rate < 0.25").select("l_suppkey", "n", F.round(F.least(F.lit(0.85), 0.5 + F.col("n") / 200), 6).alias("confidence"))
+    entity = F.floor(F.col("l_partkey") / 3)
+    back = ((F.col("l_returnflag") == "R") & (entity % 2 == 0)) | (F.col("l_quantity") > 49)
+    rows = t(spark, d, "lineitem").select(entity.alias("entity"), (F.col("l_linenumber") != 7).alias("sent"), back.alias("back"))
+    return macro.black_holes(rows, "entity", F.col("sent"), F.col("back")).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("j30_sector_ratio", "WITH g AS (SELECT p_brand, count(*) FILTER (WHERE p_size > 25) / count(*) AS ratio FROM part GROUP BY 1), m AS (SELECT median(ratio) AS mid FROM g) SELECT p_brand, round(ratio / mid, 6) AS against FROM g, m WHERE ratio / mid < 0.9 OR ratio / mid > 1.1")
+@query("j30_sector_ratio", "WITH g AS (SELECT p_brand, count(*) / (sum(p_size) - 13 * count(*)) AS ratio FROM part GROUP BY 1 HAVING sum(p_size) > 13 * count(*)), m AS (SELECT median(ratio) AS mid, count(*) AS n FROM g) SELECT p_brand, 'flag' AS severity, 0.6::DOUBLE AS confidence, round(ratio / mid, 6) AS against FROM g, m WHERE n >= 3 AND NOT ratio / mid BETWEEN 0.5 AND 2")
 def j30(spark: S, d: str) -> DataFrame:
-    g = t(spark, d, "part").groupBy("p_brand").agg((F.count_if(F.col("p_size") > 25) / F.count("*")).alias("ratio"))
-    both = g.crossJoin(F.broadcast(g.agg(F.median("ratio").alias("mid")))).withColumn("x", F.col("ratio") / F.col("mid"))
-    return both.where("x < 0.9 or x > 1.1").select("p_brand", F.round("x", 6).alias("against"))
+    g = t(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("postings"), (F.sum("p_size") - 13 * F.count("*")).alias("openings"))
+    return macro.sector_ratios(g, "p_brand", "postings", "openings").withColumn("against", F.round("against", 6))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query, t
 from .operators import page_nodes
+from .operators import reference_joins as rj
 from .operators import trees as K
 from .queries_postings import _lit
 from .sources import shared
@@ -72,10 +73,10 @@ def k02(spark: S, d: str) -> DataFrame:
 @query(
     "k03_classed_hashes",
     f"""WITH {_LINES}, h AS (SELECT page, n, md5(tag || CASE WHEN lower(flag) < 'b' THEN lower(flag) || 'b' ELSE 'b' || lower(flag) END || CASE WHEN flag = 'R' THEN md5('iaz') ELSE '' END) AS hash FROM ln)
-       SELECT page, 0 AS node, md5('order' || string_agg(hash, '' ORDER BY n)) AS hash FROM h GROUP BY 1 UNION ALL SELECT page, n * 10, hash FROM h""",
+       SELECT page, 0 AS node, md5('order' || string_agg(hash, '' ORDER BY n)) AS hash FROM h GROUP BY 1 UNION ALL SELECT page, n * 10, hash FROM h UNION ALL SELECT page, n * 10 + 1, md5('iaz') FROM ln WHERE flag = 'R'""",
 )
 def k03(spark: S, d: str) -> DataFrame:
-    return K.structural_hashes(order_nodes(spark, d), "page", K.classed_base(F.col("classes")), _keep(spark), False).where("depth < 2").select("page", "node", "hash")
+    return K.structural_hashes(order_nodes(spark, d), "page", K.classed_base(F.col("classes")), _keep(spark), False).select("page", "node", "hash")
 
 
 @query("g13_g14_repeated_subtrees", f"{_HASHES}, c AS (SELECT page, hash, count(*) AS times FROM h WHERE inner_node GROUP BY 1, 2 HAVING count(*) >= 2) SELECT page, n * 10 AS node, hash, times FROM h JOIN c USING (page, hash) WHERE inner_node")
@@ -86,7 +87,7 @@ def g13(spark: S, d: str) -> DataFrame:
 
 @query("k04_tree_distance", "SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN 1000000 WHEN s_nationkey = 3 THEN 2 WHEN n_regionkey = 3 THEN 4 ELSE 6 END AS distance FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def k04(spark: S, d: str) -> DataFrame:
-    rows = t(spark, d, "supplier").join(F.broadcast(t(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = t(spark, d, "supplier").join(rj.small(t(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     root = F.when(F.col("s_suppkey") % 9 == 0, -1).otherwise(0)
     path = F.array(root, F.col("n_regionkey") + 100, F.col("s_nationkey") + 1000, F.col("s_suppkey") + 100000)
     three = F.array(F.lit(0), F.lit(103), F.lit(1003), F.lit(7))

@@ -61,10 +61,9 @@ _EV = f"""WITH {_L}, a AS (SELECT *, {_FULL} AS full_url FROM l), b AS (SELECT *
    s AS (SELECT *, overlap + CASE WHEN regexp_extract(dest, '://([^/?#]+)', 1) <> 'board.example.org' THEN 0.5 ELSE 0 END + CASE WHEN page_id % 9 = 8 OR page_id % 9 IN (3, 4) AND length(url_decode(regexp_extract(full_url, '[?][uq]=(.*)', 1))) > 40 THEN 0.4 ELSE 0 END + CASE WHEN contains(lower(text), 'apply') THEN 0.6 ELSE 0 END AS score FROM e)"""
 
 
-@query("i26_ad_evidence", f"WITH {_L} SELECT page_id, array_to_string({_ads('href')}, ' ') AS evidence FROM l WHERE href LIKE 'http%'")
+@query("i26_ad_evidence", f"WITH {_L} SELECT page_id, array_to_string({_ads('href')}, ' ') AS evidence FROM l")
 def i26(spark: S, d: str) -> DataFrame:
-    rows = links(spark, d).where(F.col("href").startswith("http"))
-    return rows.select("page_id", F.array_join(E.ad_evidence(F.col("href")), " ").alias("evidence"))
+    return links(spark, d).select("page_id", F.array_join(E.ad_evidence(F.col("href")), " ").alias("evidence"))
 
 
 @query("i27_unwrapped", f"WITH {_L} SELECT page_id, {_DEST} AS url FROM (SELECT *, {_FULL} AS full_url FROM l)")

@@ -87,11 +87,11 @@ def b26(spark: S, d: str) -> DataFrame:
     return postings(spark, d).select("doc_id", *vet.parsed(F.col("title"), F.col("description")))
 
 
-@query("b24_generic_apply_url", "SELECT page_id, page_id % 4 = 0 OR page_id % 4 = 1 OR (page_id % 4 = 2 AND regexp_replace(regexp_extract(url, '://[^/?#]+([^?#]*)', 1), '/', '', 'g') = '') AS generic FROM pages WHERE page_id % 4 < 3")
+@query("b24_generic_apply_url", "SELECT page_id, page_id % 4 = 0 OR page_id % 4 = 1 OR (page_id % 4 >= 2 AND regexp_replace(regexp_extract(url, '://[^/?#]+([^?#]*)', 1), '/', '', 'g') = '') AS generic FROM pages")
 def b24(spark: S, d: str) -> DataFrame:
     k = F.col("page_id") % 4
     link = F.when(k == 0, F.lit("mailto:jobs@example.com")).when(k == 1, F.regexp_replace("url", "(://[^/?#]+).*", "$1/")).otherwise(F.col("url"))
-    return t(spark, d, "pages").where(k < 3).select("page_id", U.is_generic_apply(link).alias("generic"))
+    return t(spark, d, "pages").select("page_id", U.is_generic_apply(link).alias("generic"))
 
 
 #: Page variants: as they are, with a challenge's frame, script or widget beside or instead of content, with a form.
