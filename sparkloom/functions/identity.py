@@ -8,7 +8,7 @@ import json
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Names that say that none is known.
@@ -78,7 +78,14 @@ def locale(raw: Column) -> Column:
     return F.when(~none & ~F.upper(value).isin("C", "POSIX") & language.isNotNull(), F.struct(language.alias("language"), country.alias("country")))
 
 
-def ordered_distinct(words: Column) -> Column:
-    """Each word once, in any case, where and as it is spelled first."""
-    low = F.transform(words, F.lower)
-    return F.filter(words, lambda w, i: F.array_position(low, F.lower(w)) == i + 1)
+def ordered_distinct(rows: DataFrame, key: str, words: Column) -> DataFrame:
+    """``key`` and words: each word of a row once, in any case, where and as it is spelled first; ``key`` must be unique.
+
+    Words meet by key and lower-case form, so long texts cost what their words cost; a row
+    without words has an empty array, one whose words are null none.
+    """
+    own = rows.select(key, words.alias("_words"))
+    each = own.select(key, F.posexplode("_words").alias("_at", "_word"))
+    firsts = each.groupBy(key, F.lower("_word").alias("_low")).agg(F.min(F.struct("_at", "_word")).alias("_first"))
+    listed = firsts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("_first")), lambda x: x["_word"]).alias("words"))
+    return own.where("_words is not null").select(key).join(listed, key, "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))

@@ -221,5 +221,5 @@ def i49(spark: S, d: str) -> DataFrame:
 
 @query("g12_ordered_distinct", "WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents), x AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM w), f AS (SELECT doc_id, arg_min(x, i) AS x, min(i) AS i FROM x GROUP BY doc_id, lower(x)) SELECT w.doc_id, coalesce(words, '') AS words FROM w LEFT JOIN (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS words FROM f GROUP BY 1) s ON w.doc_id = s.doc_id WHERE w.w IS NOT NULL")
 def g12(spark: S, d: str) -> DataFrame:
-    w = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
-    return t(spark, d, "documents").select("doc_id", w.alias("w")).select("doc_id", F.array_join(I.ordered_distinct(F.col("w")), " ").alias("words"))
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
+    return I.ordered_distinct(t(spark, d, "documents"), "doc_id", words).select("doc_id", F.array_join("words", " ").alias("words"))
