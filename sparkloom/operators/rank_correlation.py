@@ -15,7 +15,7 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import normal_cdf
@@ -80,7 +80,23 @@ def _pairs(n: Column) -> Column:
     return F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0)).cast("decimal(38,0)")
 
 
-def kendall_tau(points: DataFrame, x: str, y: str, parts: int | None = None) -> DataFrame:
+#: So many distinct points or fewer are counted by one task in the same way.
+FEW = 50_000
+_SUMS = ("n", "dis", "tx", "ty", "txy")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n, discordant pairs and tied pairs of points sorted by (x, y)."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        x, y, w = (pa.Table.from_batches(held)[c].to_numpy() for c in ("x", "y", "w"))
+        pairs = lambda n: sum(int(v) * (int(v) - 1) // 2 for v in n)
+        sums = [np.bincount(np.unique(v, return_inverse=True)[1], w).round().astype(np.int64) for v in (x, y)]
+        out = (int(w.sum()), inversions(y, w), pairs(sums[0]), pairs(sums[1]), pairs(w))
+        yield pa.RecordBatch.from_arrays([pa.array([Decimal(v)], pa.decimal128(38, 0)) for v in out], names=list(_SUMS))
+
+
+def kendall_tau(points: DataFrame, x: str, y: str, parts: int | None = None, few: int = FEW) -> DataFrame:
     """tau, p_value, n, concordant and discordant of a table's points.
 
     Concordant minus discordant pairs over sqrt((P + ties in x only) * (P + ties in y only));
@@ -92,6 +108,24 @@ def kendall_tau(points: DataFrame, x: str, y: str, parts: int | None = None) ->
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     root = shared.folder(spark)
     own = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("w"))
+    own.write.parquet(f"{root}/points")
+    own = spark.read.schema(own.schema).parquet(f"{root}/points")
+    if own.count() <= few:
+        got = own.coalesce(1).sortWithinPartitions("x", "y").mapInArrow(_counted, ", ".join(f"{c} decimal(38,0)" for c in _SUMS)).first() or dict.fromkeys(_SUMS, 0)
+    else:
+        got = _by_ranges(own, root, parts)
+    n, dis, tx, ty, txy = (int(got[c]) for c in _SUMS)
+    linked = n * (n - 1) // 2 - tx - ty + txy
+    con = linked - dis
+    base = (linked + tx - txy) * (linked + ty - txy)
+    tau = float(con - dis) / sqrt(base) if base else 0.0
+    p = 2 * (1 - normal_cdf(F.lit(abs(tau) / sqrt(2 * (2 * n + 5) / (9 * n * (n - 1)))))) if n >= 10 else F.lit(1.0)
+    return spark.range(1).select(F.lit(tau).alias("tau"), p.alias("p_value"), F.lit(n).cast("long").alias("n"), F.lit(con).cast("long").alias("concordant"), F.lit(dis).cast("long").alias("discordant"))
+
+
+def _by_ranges(own: DataFrame, root: str, parts: int) -> Row:
+    """The sums of distinct points (x, y, w), by ranges of both orders."""
+    spark = own.sparkSession
     own.repartitionByRange(parts, "x", "y").withColumn("xp", F.spark_partition_id()).write.parquet(f"{root}/x")
     spark.read.parquet(f"{root}/x").repartitionByRange(parts, "y", "x").withColumn("yp", F.spark_partition_id()).write.parquet(f"{root}/xy")
     both = spark.read.parquet(f"{root}/xy")
@@ -109,11 +143,4 @@ def kendall_tau(points: DataFrame, x: str, y: str, parts: int | None = None) ->
     discordant = one_x.unionByName(one_y).unionByName(cross).agg(F.coalesce(F.sum("d"), zero).alias("dis"))
     ties = both.groupBy("x").agg(F.sum("w").alias("n")).agg(_pairs(F.col("n")).alias("tx")).crossJoin(both.groupBy("y").agg(F.sum("w").alias("n")).agg(_pairs(F.col("n")).alias("ty")))  # one row each
     whole = both.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"), _pairs(F.col("w")).alias("txy"))
-    got = discordant.crossJoin(ties).crossJoin(whole).first()
-    n, dis, tx, ty, txy = int(got["n"]), int(got["dis"]), int(got["tx"]), int(got["ty"]), int(got["txy"])
-    linked = n * (n - 1) // 2 - tx - ty + txy
-    con = linked - dis
-    base = (linked + tx - txy) * (linked + ty - txy)
-    tau = float(con - dis) / sqrt(base) if base else 0.0
-    p = 2 * (1 - normal_cdf(F.lit(abs(tau) / sqrt(2 * (2 * n + 5) / (9 * n * (n - 1)))))) if n >= 10 else F.lit(1.0)
-    return spark.range(1).select(F.lit(tau).alias("tau"), p.alias("p_value"), F.lit(n).cast("long").alias("n"), F.lit(con).cast("long").alias("concordant"), F.lit(dis).cast("long").alias("discordant"))
+    return discordant.crossJoin(ties).crossJoin(whole).first()

@@ -77,15 +77,16 @@ def pairs(points):
     return con, dis, (con - dis) / math.sqrt(base) if base else 0.0
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
 @pytest.mark.parametrize("kind", ["ties", "few", "line", "empty", "hot"])
-def test_rank_correlation(spark, kind):
+def test_rank_correlation(spark, kind, few):
     rng = random.Random(5)
     points = {
         "ties": [(rng.randrange(12), rng.randrange(9)) for _ in range(300)], "few": [(1, 2), (1, 2), (3, 1)], "line": [(i, 3 * i) for i in range(80)], "empty": [],
         "hot": [(rng.random(), 5) for _ in range(150)] + [(7, rng.random() * 9) for _ in range(150)] + [(rng.random() * 9, rng.random() * 9) for _ in range(100)],
     }[kind]
     df = spark.createDataFrame([(float(a), float(b)) for a, b in points] + [(None, 1.0), (2.0, None)], "x double, y double").repartition(3)
-    got = rank_correlation.kendall_tau(df, "x", "y", parts=6).first()
+    got = rank_correlation.kendall_tau(df, "x", "y", parts=6, few=few).first()
     con, dis, tau = pairs(points)
     assert (got["concordant"], got["discordant"], got["n"]) == (con, dis, len(points)) and got["tau"] == pytest.approx(tau)
 
