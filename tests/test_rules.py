@@ -165,3 +165,12 @@ def test_bundle_names_what_was_asked_for(spark, tmp_path):
     _, again = export.bundle(spark, tables, str(tmp_path / "b"), "csv")
     _, other = export.bundle(spark, tables, str(tmp_path / "c"), "feather")
     assert csv == again != other
+
+
+def test_bundle_is_the_same_for_rows_in_other_partitions_and_with_equal_keys(spark, tmp_path):
+    wide = spark.range(60_000).selectExpr("if(id % 50 = 0, null, id div 2) k", "id % 7 v", "repeat(cast(id as string), 20) s")
+    (a, one), (b, two) = (export.bundle(spark, {"t": (x, ["k"])}, str(tmp_path / n), "csv") for n, x in (("a", wide), ("b", wide.repartition(7))))
+    assert one == two and a.collect() == b.collect()
+    export.write_files(wide, ["k"], str(tmp_path / "c"), "json", 25_000)
+    got = sorted(tuple(r) for r in spark.read.json(str(tmp_path / "c")).groupBy(F.col("_metadata.file_name")).agg(F.count("*"), F.coalesce(F.min("k"), F.lit(-1)), F.max("k")).collect())
+    assert [r[1] for r in got] == [25_000, 25_000, 10_000] and got[0][3] <= got[1][2] <= got[1][3] <= got[2][2]
