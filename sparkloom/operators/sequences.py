@@ -84,8 +84,8 @@ def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def gap_clusters(boxes: DataFrame, part: str, top: str, bottom: str, threshold: float) -> DataFrame:
-    """Numbers runs of boxes: a new one where a top lies more than ``threshold`` below all bottoms before."""
-    w = Window.partitionBy(part).orderBy(top, bottom)
+    """Numbers runs of boxes: a new one where a top lies more than ``threshold`` below all bottoms before; boxes without a top come last."""
+    w = Window.partitionBy(part).orderBy(F.asc_nulls_last(top), F.asc_nulls_last(bottom))
     before = F.max(bottom).over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(F.col(top) - before > threshold, 1).otherwise(0)
     return boxes.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")

@@ -309,7 +309,7 @@ def e13(spark: S, d: str) -> DataFrame:
        FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_quantity + 3 + l_linenumber / 100 AS bottom FROM lineitem WHERE l_orderkey % 10 = l_orderkey % 10))""",
 )
 def e14(spark: S, d: str) -> DataFrame:
-    rows = t(spark, d, "lineitem").withColumn("bottom", F.col("l_quantity") + 3 + F.col("l_linenumber") / 100)
+    rows = t(spark, d, "lineitem").where("l_orderkey is not null").withColumn("bottom", F.col("l_quantity") + 3 + F.col("l_linenumber") / 100)
     return seq.gap_clusters(rows, "l_orderkey", "l_quantity", "bottom", 5).select("l_orderkey", "l_linenumber", "cluster")
 
 

@@ -174,3 +174,9 @@ def test_bundle_is_the_same_for_rows_in_other_partitions_and_with_equal_keys(spa
     export.write_files(wide, ["k"], str(tmp_path / "c"), "json", 25_000)
     got = sorted(tuple(r) for r in spark.read.json(str(tmp_path / "c")).groupBy(F.col("_metadata.file_name")).agg(F.count("*"), F.coalesce(F.min("k"), F.lit(-1)), F.max("k")).collect())
     assert [r[1] for r in got] == [25_000, 25_000, 10_000] and got[0][3] <= got[1][2] <= got[1][3] <= got[2][2]
+
+
+def test_boxes_without_a_top_come_last(spark):
+    boxes = spark.createDataFrame([(1, 0.0, 3.0), (1, 20.0, 23.0), (1, None, None)], "p int, top double, bottom double")
+    got = {r["top"]: r["cluster"] for r in sequences.gap_clusters(boxes, "p", "top", "bottom", 5).collect()}
+    assert got == {0.0: 0, 20.0: 1, None: 1}
