@@ -100,3 +100,9 @@ def test_annual_figures(spark):
     df = spark.createDataFrame([(20.0, "hour"), (1000.0, "week"), (3000.5, "month"), (90000.0, "year"), (90000.0, None), (500.0, None), (100.0, "day"), (700.0, "hour"), (-5.0, "year"), (None, "year")], "v double, p string")
     got = [r[0] for r in df.select(pay.annualised(F.col("v"), F.col("p"))).collect()]
     assert got == [41600, 52000, 36006, 90000, 90000, None, None, None, None, None]
+
+
+def test_only_closed_entities_are_decoded_on_request():
+    page = "a&amp;b &amp c&copy &lt;i&gt; &#65; &#66 &nosuch; &amp;lt; x&&amp"
+    assert pages.visible_text(page, closed=True) == "a&b &amp c&copy <i> A &#66 &nosuch; &lt; x&&amp"
+    assert pages.visible_text(page) == "a&b & c\u00a9 <i> A B &nosuch; &lt; x&&"
