@@ -55,7 +55,7 @@ def _unquoted(text: Column) -> Column:
 
 
 def _unbase64(text: Column, skip: int) -> Column:
-    body = F.translate(F.substring(text, skip + 1, 1_000_000), "-_", "+/")
+    body = F.translate(F.regexp_replace(F.substring(text, skip + 1, 1_000_000), "\\s", ""), "-_", "+/")  # encoders may end a line every 76 characters
     padded = F.concat(body, F.repeat(F.lit("="), F.pmod(-F.length(body), F.lit(4)).cast("int")))
     return F.try_to_binary(padded, F.lit("base64")).cast("string")
 

@@ -30,7 +30,7 @@ def links(spark: S, d: str) -> DataFrame:
     card = F.floor(k / 3)
     href = (
         F.when(k % 9 == 0, url).when(k % 9 == 1, F.replace(url, F.lit("://"), F.lit("://ads."))).when(k % 9 == 2, F.concat(F.lit("https://jobs.example.com/sponsored-x/"), k.cast("string")))
-        .when(k % 9 == 3, F.concat(F.lit("https://r.example.net/go?u="), F.url_encode(url))).when(k % 9 == 4, F.concat(F.lit("https://r.example.net/go?q="), F.url_encode(F.base64(url.cast("binary")))))
+        .when(k % 9 == 3, F.concat(F.lit("https://r.example.net/go?u="), F.url_encode(url))).when(k % 9 == 4, F.concat(F.lit("https://r.example.net/go?q="), F.url_encode(F.regexp_replace(F.base64(url.cast("binary")), "\\s", ""))))
         .when(k % 9 == 5, "#top").when(k % 9 == 6, "mailto:x@example.com").when(k % 9 == 7, F.concat(F.lit("/relative/apply?id="), k.cast("string")))
         .otherwise(F.concat(F.lit("https://r.example.net/go?r="), F.repeat(F.lit("z"), 50), k.cast("string")))
     )

@@ -1,8 +1,10 @@
 """Rules of the operators that read text, trees, places and identities, on small literal inputs."""
 
+import base64
 import datetime
 import itertools
 import random
+import urllib.parse
 
 import numpy as np
 import pytest
@@ -180,3 +182,11 @@ def test_boxes_without_a_top_come_last(spark):
     boxes = spark.createDataFrame([(1, 0.0, 3.0), (1, 20.0, 23.0), (1, None, None)], "p int, top double, bottom double")
     got = {r["top"]: r["cluster"] for r in sequences.gap_clusters(boxes, "p", "top", "bottom", 5).collect()}
     assert got == {0.0: 0, 20.0: 1, None: 1}
+
+
+def test_base64_payload_in_lines_is_unwrapped(spark):
+    url = "https://careers.example.org/a/long/path/of/words/that/goes/on?for=a&while=longer"
+    lines = base64.encodebytes(url.encode()).decode().replace("\n", "\r\n")
+    wrapped = [f"https://r.example.net/go?q={urllib.parse.quote(p + lines.strip(), safe='')}" for p in ("", "a", "a1")]
+    got = spark.createDataFrame([(w,) for w in wrapped], "u string").select(url_evidence.unwrapped(F.col("u")).alias("x"))
+    assert lines.count("\r\n") == 2 and [r["x"] for r in got.collect()] == [url] * 3
