@@ -3,6 +3,7 @@
 import base64
 import datetime
 import itertools
+import math
 import random
 import urllib.parse
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.functions import identity, text, urls
+from sparkloom.functions import identity, stats, text, urls
 from sparkloom.operators import detectors, reference_joins, sequences, trees, url_evidence, vetting
 from sparkloom.sources import export, warc
 from sparkloom.streaming import ingest
@@ -195,3 +196,16 @@ def test_base64_payload_in_lines_is_unwrapped(spark):
 def test_currency_without_places_cuts_the_fraction_and_keeps_the_sign(spark):
     got = spark.createDataFrame([(-0.4,), (-1234.9,), (0.9,), (1e6,), (None,)], "x double").select(identity.currency(F.col("x"), "$", 0).alias("v")).collect()
     assert [r["v"] for r in got] == ["-$0", "-$1,234", "$0", "$1,000,000", None]
+
+
+def test_exact_test_of_large_tables_costs_a_fixed_amount_a_cell(spark):
+    numbers = [0, 1, 2, 9, 15, 16, 17, 40, 1_000, 10**6, 3 * 10**9]
+    got = {r["n"]: r["v"] for r in spark.createDataFrame([(n,) for n in numbers], "n long").select("n", stats.ln_factorial(F.col("n")).alias("v")).collect()}
+    assert [got[n] for n in numbers] == pytest.approx([math.lgamma(n + 1) for n in numbers], rel=1e-14, abs=1e-13)
+    a, b, c, d = 60_300, 59_700, 60_000, 60_000
+    k = np.arange(a + c - min(a + c, c + d), min(a + b, a + c) + 1)
+    f = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, a + b + c + d + 1)))])
+    p = np.exp(f[a + b] + f[c + d] + f[a + c] + f[b + d] - f[-1] - f[k] - f[a + b - k] - f[a + c - k] - f[c + d - a - c + k])
+    want = p[p <= p[k == a] * (1 + 1e-7)].sum()
+    got = stats.fisher_exact(spark.createDataFrame([("t", a, b, c, d)], "key string, a long, b long, c long, d long")).first()["p_value"]
+    assert got == pytest.approx(want, rel=1e-6)
