@@ -82,17 +82,25 @@ def transformed(x: Column, y: Column, matrix: tuple[float, ...], cx: Column, cy:
     return a * dx + c * dy + e + cx, b * dx + d * dy + f + cy
 
 
-def in_polygon(x: Column, y: Column, corners: Column) -> Column:
-    """Whether a point lies inside a polygon (an array of x, y) by the even-odd rule."""
-    n = F.size(corners)
+def _crosses(x: Column, y: Column, p: tuple[Column, Column], q: tuple[Column, Column]) -> Column:
+    """Whether the edge from p to q lies right of a point at its height."""
+    (px, py), (qx, qy) = p, q
+    level = (F.least(py, qy) < y) & (y <= F.greatest(py, qy)) & (x <= F.greatest(px, qx))
+    at = F.try_divide((y - py) * (qx - px), qy - py) + px
+    return F.coalesce(level & ((px == qx) | (x <= at)), F.lit(False))
 
-    def crosses(i: Column) -> Column:
-        p, q = F.element_at(corners, i), F.element_at(corners, i % n + 1)
-        level = (F.least(p["y"], q["y"]) < y) & (y <= F.greatest(p["y"], q["y"])) & (x <= F.greatest(p["x"], q["x"]))
-        at = F.try_divide((y - p["y"]) * (q["x"] - p["x"]), q["y"] - p["y"]) + p["x"]
-        return F.coalesce(level & ((p["x"] == q["x"]) | (x <= at)), F.lit(False))
 
-    return F.size(F.filter(F.sequence(F.lit(1), n), crosses)) % 2 == 1
+def in_polygon(x: Column, y: Column, corners: Column | list[tuple[Column, Column]]) -> Column:
+    """Whether a point lies inside a polygon by the even-odd rule: an array of x, y, or, where their number is known, pairs of columns.
+
+    Pairs are compiled; each corner of an array is bound once, as a function in it would be worked out anew at every use.
+    """
+    if isinstance(corners, list):
+        crossings = [_crosses(x, y, p, q).cast("int") for p, q in zip(corners, [*corners[1:], *corners[:1]], strict=True)]
+        return sum(crossings[1:], crossings[0]) % 2 == 1
+    after = F.concat(F.slice(corners, 2, F.size(corners)), F.slice(corners, 1, 1))
+    crossings = F.zip_with(corners, after, lambda p, q: _crosses(x, y, (p["x"], p["y"]), (q["x"], q["y"])))
+    return F.size(F.filter(crossings, lambda c: c)) % 2 == 1
 
 
 def hull(points: np.ndarray) -> np.ndarray:

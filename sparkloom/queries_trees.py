@@ -133,8 +133,7 @@ def k07(spark: S, d: str) -> DataFrame:
     cx, cy = K.centre(b)
     ends = [(b["x"], b["y"]), (b["x"] + b["w"], b["y"]), (b["x"] + b["w"], b["y"] + b["h"]), (b["x"], b["y"] + b["h"])]
     turned = [K.transformed(x, y, (0, 1, -1, 0, 0, 0), cx, cy) for x, y in ends]
-    corners = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in turned))
-    return boxes(spark, d).where("box.w > 0 and box.h > 0").select("page", "node", K.in_polygon(F.lit(131.7), F.lit(117.3), corners).alias("hit"))
+    return boxes(spark, d).where("box.w > 0 and box.h > 0").select("page", "node", K.in_polygon(F.lit(131.7), F.lit(117.3), turned).alias("hit"))
 
 
 @query(

@@ -209,3 +209,21 @@ def test_exact_test_of_large_tables_costs_a_fixed_amount_a_cell(spark):
     want = p[p <= p[k == a] * (1 + 1e-7)].sum()
     got = stats.fisher_exact(spark.createDataFrame([("t", a, b, c, d)], "key string, a long, b long, c long, d long")).first()["p_value"]
     assert got == pytest.approx(want, rel=1e-6)
+
+
+def test_point_in_polygon_by_array_and_by_columns(spark):
+    rng = random.Random(3)
+    rows = [tuple(float(rng.randrange(8)) for _ in range(12)) for _ in range(300)]
+    names = [f"c{i}" for i in range(12)]
+    pairs = [(F.col(names[i]), F.col(names[i + 1])) for i in range(2, 12, 2)]
+    array = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in pairs))
+    got = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).select(trees.in_polygon(F.col("c0"), F.col("c1"), pairs).alias("a"), trees.in_polygon(F.col("c0"), F.col("c1"), array).alias("b")).collect()
+
+    def inside(x, y, *c):
+        odd = False
+        for (px, py), (qx, qy) in zip(p := list(zip(c[::2], c[1::2])), p[1:] + p[:1]):
+            if min(py, qy) < y <= max(py, qy) and x <= max(px, qx):
+                odd ^= px == qx or x <= (y - py) * (qx - px) / (qy - py) + px
+        return odd
+
+    assert [(r["a"], r["b"]) for r in got] == [(inside(*r),) * 2 for r in rows]
