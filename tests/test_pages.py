@@ -106,3 +106,14 @@ def test_only_closed_entities_are_decoded_on_request():
     page = "a&amp;b &amp c&copy &lt;i&gt; &#65; &#66 &nosuch; &amp;lt; x&&amp"
     assert pages.visible_text(page, closed=True) == "a&b &amp c&copy <i> A &#66 &nosuch; &lt; x&&amp"
     assert pages.visible_text(page) == "a&b & c\u00a9 <i> A B &nosuch; &lt; x&&"
+
+
+def test_a_batch_is_read_in_slices(spark):
+    import pyarrow as pa
+
+    batch = pa.array([f"<p>{i}</p>" if i % 9 else None for i in range(3 * pages.SLICE + 1)])
+    got = list(pages._over(iter([batch]), pages.visible_text, pa.string()))
+    assert [len(a) for a in got] == [pages.SLICE] * 3 + [1] and pa.concat_arrays(got).to_pylist() == [str(i) if i % 9 else None for i in range(len(batch))]
+    df = spark.createDataFrame([("<script>a</script><script>b</script>",), (None,)], "h string")
+    rows = df.select(pages.redaction_counts_of(F.col("h")).alias("c"), pages.redaction_of(F.col("h"))["counts"].alias("d"), pages.redaction_of(F.col("h"))["html"].alias("h")).collect()
+    assert [tuple(r) for r in rows] == [({"script": 2}, {"script": 2}, ""), (None, None, None)]
