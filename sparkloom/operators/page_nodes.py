@@ -13,7 +13,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,22 +119,29 @@ def finished(nodes: list[dict]) -> list[dict]:
 
 
 NODES = "node int, parent int, ord int, depth int, stop int, tag string, n_children int, attributes map<string,string>, above array<int>, text string, plain string, classed string, chars long, links long, marked boolean"
-_NAMES = [c.split()[0] for c in NODES.split(", ")]
-
-
-def parsed(pages: DataFrame, page: str, html: str) -> DataFrame:
-    """A row an element of every page; a page without elements, or a null one, has none."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for key, text in zip(f[page], f[html], strict=True):  # a page at a time, as its nodes are many times its row
-                own = read_nodes(text)
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "map<string,string>": pa.map_(pa.string(), pa.string())}
+_COLUMNS = dict(c.split() for c in NODES.split(", "))
+SLICE = 16  # pages whose nodes are held at a time, as they are many times their rows
+
+
+def parsed(pages: DataFrame, page: str, html: str, columns: list[str] | None = None) -> DataFrame:
+    """A row an element of every page, with some ``columns`` of NODES or all; a page without elements, or a null one, has none."""
+    names = columns or list(_COLUMNS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                some = batch.slice(at, SLICE)
+                of, own = [], []
+                for i, text in enumerate(some.column(1).to_pylist()):
+                    nodes = read_nodes(text)
+                    own += nodes
+                    of += [i] * len(nodes)
                 if own:
-                    out = pd.DataFrame({c: pd.Series([n[c] for n in own], dtype="Int32" if c == "parent" else None) for c in _NAMES})
-                    out.insert(0, page, key)
-                    yield out
+                    values = [pa.array([list(n[c].items()) if c == "attributes" else n[c] for n in own], _KINDS[_COLUMNS[c]]) for c in names]
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(of)), *values], names=[page, *names])
 
-    return pages.select(page, html).mapInPandas(run, f"`{page}` {dict(pages.dtypes)[page]}, {NODES}")
+    return pages.select(page, html).mapInArrow(run, f"`{page}` {dict(pages.dtypes)[page]}, " + ", ".join(f"{c} {_COLUMNS[c]}" for c in names))
 
 
 def card_like(least: int = 10, most: int = 2000) -> Column:

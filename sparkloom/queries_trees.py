@@ -35,13 +35,13 @@ def _keep(spark: S):
 
 @query("k01_page_nodes", "SELECT page_id, len(regexp_extract_all(html, '<(?:a|li|p|h1|article|nav|ul|div)\\b')) AS nodes FROM pages")
 def k01(spark: S, d: str) -> DataFrame:
-    nodes = page_nodes.parsed(t(spark, d, "pages"), "page_id", "html")
+    nodes = page_nodes.parsed(t(spark, d, "pages"), "page_id", "html", ["tag"])
     return nodes.groupBy("page_id").agg(F.count_if(F.col("tag").isin("a", "li", "p", "h1", "article", "nav", "ul", "div")).alias("nodes"))
 
 
 @query("k02_page_hashes")
 def k02_pages(spark: S, d: str) -> DataFrame:
-    return page_nodes.parsed(t(spark, d, "pages"), "page_id", "html").select("page_id", "node", "tag", F.col("plain").alias("hash"))
+    return page_nodes.parsed(t(spark, d, "pages"), "page_id", "html", ["node", "tag", "plain"]).withColumnRenamed("plain", "hash")
 
 
 @query("f10_k13_k14_k15_c16_page_cards")

@@ -101,3 +101,12 @@ def test_titles_and_links_of_cards(spark):
     html = "<ul>" + "".join(f"<li class=card><div><h3>Job {i}</h3><span>Firm {i}</span><span>Town</span><a href='/j/{i}'>see</a></div></li>" for i in range(3)) + "</ul>"
     got = page_nodes.page_cards(spark.createDataFrame([(1, html, "https://x.org/l")], "p long, h string, u string"), "p", "h", "u", lambda f, _: f).collect()
     assert sorted((r["title"], r["company"], r["location"], r["link"]) for r in got) == [(f"Job {i}", f"Firm {i}", "Town", f"https://x.org/j/{i}") for i in range(3)]
+
+
+def test_some_columns_of_nodes(spark):
+    rows = spark.createDataFrame([(i, f"<div id='a{i}'><p>x</p></div>" if i % 5 else None) for i in range(3 * page_nodes.SLICE)], "k long, h string")
+    whole = page_nodes.parsed(rows, "k", "h")
+    some = page_nodes.parsed(rows, "k", "h", ["node", "attributes", "plain"])
+    assert some.columns == ["k", "node", "attributes", "plain"]
+    key = lambda r: (r["k"], r["node"])
+    assert sorted(some.collect(), key=key) == sorted(whole.select(*some.columns).collect(), key=key) and some.count() == 2 * rows.where("h is not null").count()
