@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkloom.functions import identity
+from sparkloom.operators import detectors
 
 
 def plan_of(frame) -> str:
@@ -16,3 +17,16 @@ def test_ordered_distinct_words_shuffle_nothing(spark):
     assert "Exchange hashpartitioning" not in plan_of(got)
     found = {r["k"]: r["words"] for r in got.collect()}
     assert found == {0: ["b", "A", None, "c"], 1: [], 3: ["Ä", "x"], 4: ["x"], None: [], **{k: [str(k), "W"] for k in range(100, 1900)}}
+
+
+def detected(spark, texts, found):
+    frame = spark.createDataFrame([(k, "Junior Software Engineer", x) for k, x in enumerate(texts)], "k long, title string, text string")
+    return detectors.run(frame, "k", [found], False)
+
+
+def test_title_mismatch_reads_a_text_once_and_its_first_150_words_only(spark):
+    far = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(150))
+    texts = [far + " software engineer", far, " \t" + far, far[: far.rindex(" ")] + " software", "software engineer", "", None, far + " ", far + "\n" + far]
+    got = detected(spark, texts, detectors.title_mismatch(F.col("title"), F.col("text")))
+    assert plan_of(got).count("regexp_extract_all") == 2
+    assert {r["k"]: round(r["confidence"], 6) for r in got.collect()} == dict.fromkeys((0, 1, 2, 7, 8), 0.8)
