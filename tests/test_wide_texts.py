@@ -1,8 +1,10 @@
 """Queries over long texts and many rows: what a task shuffles and how often it reads a text."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from sparkloom.functions import identity
+from sparkloom.functions import identity, text
 from sparkloom.operators import detectors
 
 
@@ -30,3 +32,17 @@ def test_title_mismatch_reads_a_text_once_and_its_first_150_words_only(spark):
     got = detected(spark, texts, detectors.title_mismatch(F.col("title"), F.col("text")))
     assert plan_of(got).count("regexp_extract_all") == 2
     assert {r["k"]: round(r["confidence"], 6) for r in got.collect()} == dict.fromkeys((0, 1, 2, 7, 8), 0.8)
+
+
+def test_hard_reading_counts_syllables_outside_of_lambdas(spark):
+    rng = random.Random(3)
+    word = lambda: rng.choice(["a", "the", "queue", "Readability", "extraordinarily", "x9", "étude", "internationalisation", "--", "e"])
+    texts = [rng.choice(["", " ", "\n", "  a"]) + rng.choice([" ", "\t", " \n"]).join(word() + rng.choice(["", "", "", ".", "! "]) for _ in range(n)) + rng.choice(["", " "]) for n in (0, 1, 48, 49, 50, 51, 300) for _ in range(30)]
+    texts += [None, " ".join(["extraordinarily"] * 49), " ".join(["extraordinarily"] * 50), " ".join(["extraordinarily"] * 60)]
+    got = detected(spark, texts, detectors.hard_reading(F.col("title"), F.col("text")))
+    assert "aggregate(" not in plan_of(got)
+    plain = spark.createDataFrame(list(enumerate(texts)), "k long, text string").select(
+        "k", F.size(F.filter(F.split("text", "\\s+"), lambda w: F.length(w) > 0)).alias("n"), text.flesch_kincaid(F.col("text")).alias("grade"))
+    want = {r["k"]: min(0.78, 0.45 + (r["grade"] - 16) * 0.05) for r in plain.where("n >= 50 and grade >= 16").collect()}
+    assert {r["k"]: r["confidence"] for r in got.collect()} == want
+    assert 212 in want and 211 not in want and len(want) > 50
