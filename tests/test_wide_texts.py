@@ -46,3 +46,10 @@ def test_hard_reading_counts_syllables_outside_of_lambdas(spark):
     want = {r["k"]: min(0.78, 0.45 + (r["grade"] - 16) * 0.05) for r in plain.where("n >= 50 and grade >= 16").collect()}
     assert {r["k"]: r["confidence"] for r in got.collect()} == want
     assert 212 in want and 211 not in want and len(want) > 50
+
+
+def test_coded_words_reads_a_text_once(spark):
+    texts = ["Leader, LEADER leader", "leader loyal warm", "leader team-player decision-maker warm caring", "driven_leader leader2", "", None, "elite_ elite elite elite " + "x " * 5000]
+    got = detected(spark, texts, detectors.coded_words(F.col("text")))
+    assert plan_of(got).count("regexp_extract_all") == 1
+    assert {r["k"]: (r["severity"], round(r["confidence"], 6)) for r in got.collect()} == {0: ("violation", 0.9), 6: ("violation", 0.9), 1: ("flag", 0.766667), 2: ("flag", 0.766667)}
