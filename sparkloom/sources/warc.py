@@ -7,7 +7,7 @@ import hashlib
 import io
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,20 +37,28 @@ def record(kind: str, uri: str, day: str, payload: bytes) -> bytes:
     return gzip.compress(text.encode() + payload + b"\r\n\r\n", mtime=0)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of a few rows, so that a worker holds copies of as many pages beside an Arrow batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def members(files: DataFrame) -> DataFrame:
     """A row per record of archives (``path``, ``content``); one that can't be read gives a row with the error instead of failing the scan."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches):
             out = []
-            for file, data in zip(f["path"], f["content"], strict=True):
+            for file, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 try:
-                    out += [(file, h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), body, None) for h, body in records(bytes(data))]
+                    out += [(file, h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), body, None) for h, body in records(data)]
                 except (OSError, ValueError, EOFError) as x:
                     out.append((file, None, None, None, None, type(x).__name__))
-            yield pd.DataFrame(out, columns=["file", "kind", "uri", "day", "payload", "error"])
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [*[pa.string()] * 4, pa.binary(), pa.string()], strict=True)], names=["file", "kind", "uri", "day", "payload", "error"])
 
-    return files.select("path", "content").mapInPandas(run, _ROWS)
+    return files.select("path", "content").mapInArrow(run, _ROWS)
 
 
 def read(spark: SparkSession, path: str, pattern: str = "*.warc.gz") -> DataFrame:
@@ -66,12 +74,12 @@ def archived(copies: DataFrame) -> DataFrame:
     named = copies.withColumn("copy_id", F.sha2(F.concat(F.col("uri").cast("binary"), F.lit("\n").cast("binary"), "payload"), 256))
     once = named.groupBy("copy_id").agg(F.min_by(F.struct("uri", "day", "payload"), "day").alias("r")).select("copy_id", "r.*")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            content = [record("resource", u, d, bytes(x)) for u, d, x in zip(f["uri"], f["day"], f["payload"], strict=True)]
-            yield pd.DataFrame({"copy_id": f["copy_id"], "day": f["day"], "content": content})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches):
+            content = [record("resource", u, d, x) for u, d, x in zip(*(part[c].to_pylist() for c in ("uri", "day", "payload")), strict=True)]
+            yield pa.RecordBatch.from_arrays([part["copy_id"], part["day"], pa.array(content, pa.binary())], names=["copy_id", "day", "content"])
 
-    return once.mapInPandas(run, "copy_id string, day string, content binary")
+    return once.mapInArrow(run, "copy_id string, day string, content binary")
 
 
 def store(copies: DataFrame, path: str, budget: int) -> None:

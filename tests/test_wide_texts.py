@@ -2,10 +2,12 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkloom.functions import identity, text
 from sparkloom.operators import detectors
+from sparkloom.sources import warc
 
 
 def plan_of(frame) -> str:
@@ -53,3 +55,14 @@ def test_coded_words_reads_a_text_once(spark):
     got = detected(spark, texts, detectors.coded_words(F.col("text")))
     assert plan_of(got).count("regexp_extract_all") == 1
     assert {r["k"]: (r["severity"], round(r["confidence"], 6)) for r in got.collect()} == {0: ("violation", 0.9), 6: ("violation", 0.9), 1: ("flag", 0.766667), 2: ("flag", 0.766667)}
+
+
+def test_archive_members_are_packed_a_few_pages_at_a_time(spark):
+    page = bytes(range(256)) * 40
+    copies = spark.range(700).selectExpr("'u' || id uri", "'2024-01-0' || (1 + id % 9) day").withColumn("payload", F.lit(page))
+    packed = warc.archived(copies.coalesce(1))
+    assert "InPandas" not in plan_of(packed)
+    assert [b.num_rows for b in warc.sliced(iter([pa.record_batch({"x": range(130)})]))] == [64, 64, 2]
+    got = warc.members(packed.select(F.col("copy_id").alias("path"), "content"))
+    assert "InPandas" not in plan_of(got)
+    assert got.where(F.col("error").isNull() & (F.col("payload") == F.lit(page)) & (F.col("kind") == "resource")).select("uri").distinct().count() == got.count() == 700
