@@ -47,6 +47,30 @@ def slices(lexicon: DataFrame, term: str, term_id: str) -> list[list[tuple[str,
     return out
 
 
+def places(own: ahocorasick.Automaton, batches: Iterator[pa.RecordBatch], term_id: str, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The batches' first column, ids, starts and stops of all places in their second; 128 texts are held as Python's, and no more than BATCH places."""
+    for batch in batches:
+        at, ids, starts, stops = [], [], [], []
+
+        def full() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([batch[0].take(pa.array(at, pa.int32())), pa.array(ids, kind), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=[batch.schema.names[0], term_id, "start", "stop"])  # noqa: B023
+            for x in (at, ids, starts, stops):  # noqa: B023
+                x.clear()
+            return out
+
+        for i, t in enumerate(text for few in range(0, batch.num_rows, 128) for text in batch[1].slice(few, 128).to_pylist()):
+            for last, (n, mine) in own.iter(t or ""):
+                for v in mine:
+                    at.append(i)
+                    ids.append(v)
+                    starts.append(last + 1 - n)
+                    stops.append(last + 1)
+                    if len(at) >= BATCH:
+                        yield full()
+        if at:
+            yield full()
+
+
 def hits(rows: DataFrame, key: str, text: str, lexicon: DataFrame, term: str = "term", term_id: str = "term_id") -> DataFrame:
     """``key``, ``term_id``, start and stop (code points, stop exclusive) of every place of every term, overlapping ones included.
 
@@ -63,27 +87,7 @@ def hits(rows: DataFrame, key: str, text: str, lexicon: DataFrame, term: str = "
         name, held = uuid4().hex, spark.sparkContext.broadcast(pickle.dumps(part))  # about SLICE bytes
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = automaton(name, pickle.loads(held.value))
-            for batch in batches:
-                at, ids, starts, stops = [], [], [], []
-
-                def full() -> pa.RecordBatch:
-                    out = pa.RecordBatch.from_arrays([batch[0].take(pa.array(at, pa.int32())), pa.array(ids, arrow), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=[key, term_id, "start", "stop"])  # noqa: B023
-                    for x in (at, ids, starts, stops):  # noqa: B023
-                        x.clear()
-                    return out
-
-                for i, t in enumerate(batch[1].to_pylist()):
-                    for last, (n, mine) in own.iter(t or ""):
-                        for v in mine:
-                            at.append(i)
-                            ids.append(v)
-                            starts.append(last + 1 - n)
-                            stops.append(last + 1)
-                    if len(at) >= BATCH:
-                        yield full()
-                if at:
-                    yield full()
+            return places(automaton(name, pickle.loads(held.value)), batches, term_id, arrow)
 
         return rows.select(key, text).mapInArrow(run, schema)
 

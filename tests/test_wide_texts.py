@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkloom.functions import identity, text
-from sparkloom.operators import detectors
+from sparkloom.operators import detectors, lexicon
 from sparkloom.sources import warc
 
 
@@ -66,3 +66,12 @@ def test_archive_members_are_packed_a_few_pages_at_a_time(spark):
     got = warc.members(packed.select(F.col("copy_id").alias("path"), "content"))
     assert "InPandas" not in plan_of(got)
     assert got.where(F.col("error").isNull() & (F.col("payload") == F.lit(page)) & (F.col("kind") == "resource")).select("uri").distinct().count() == got.count() == 700
+
+
+def test_places_of_a_text_that_is_full_of_terms_are_sent_on_in_between():
+    own = lexicon.automaton("test", [("ab", [1, 2]), ("b", [3])])
+    batch = pa.record_batch({"k": [7, 8, 9], "t": ["ab" * 30_000, None, "xb"]})
+    got = list(lexicon.places(own, iter([batch]), "term", pa.int64()))
+    assert max(x.num_rows for x in got) <= lexicon.BATCH and len(got) == 5
+    found = pa.Table.from_batches(got)
+    assert found.num_rows == 90_001 and found.slice(90_000).to_pylist() == [{"k": 9, "term": 3, "start": 1, "stop": 2}]
