@@ -7,11 +7,12 @@ nodes stay within.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -354,6 +355,110 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def assigned(cost: list[list[float]]) -> list[int]:
+    """``assignment`` of a small matrix of finite costs without more rows than columns, step by step the same, in lists."""
+    n, m = len(cost), len(cost[0])
+    u, v, owner = [0.0] * n, [0.0] * m, [-1] * m
+    for row in range(n):
+        reach, before, left = [np.inf] * m, [-1] * m, list(range(m))
+        at, column, far = row, -1, 0.0
+        while at >= 0:
+            own, less, least, near = cost[at], u[at], np.inf, -1
+            for j in left:
+                step = far + own[j] - less - v[j]
+                if step < reach[j]:
+                    reach[j], before[j] = step, column
+                if reach[j] < least:
+                    least, near = reach[j], j
+            left.remove(near)
+            column, far, at = near, least, owner[near]
+        u[row] += far
+        for j in set(range(m)).difference(left):
+            if owner[j] >= 0:
+                u[owner[j]] += far - reach[j]
+            v[j] -= far - reach[j]
+        while column >= 0:
+            nearer = before[column]
+            owner[column] = owner[nearer] if nearer >= 0 else row
+            column = nearer
+    out = [-1] * n
+    for j, k in enumerate(owner):
+        if k >= 0:
+            out[k] = j
+    return out
+
+
+def _solved(cost: np.ndarray) -> np.ndarray:
+    if cost.size > 256 or not np.isfinite(cost).all():
+        return assignment(cost)
+    if cost.shape[0] <= cost.shape[1]:
+        return np.array(assigned(cost.tolist()))
+    out = np.full(len(cost), -1)
+    out[assigned(cost.T.tolist())] = np.arange(cost.shape[1])
+    return out
+
+
+#: Pairs of inputs and labels whose costs are computed together.
+PAIRS = 500_000
+
+
+class _Nodes:
+    """The inputs and labels of an Arrow batch's pages, laid end to end in the order of page and node."""
+
+    def __init__(self, pages: pa.ListArray):
+        flat = pages.flatten()
+        row = np.repeat(np.arange(len(pages)), pc.list_value_length(pages).to_numpy())
+        order = np.lexsort((flat.field("node").to_numpy(), row))
+        flat, row = flat.take(pa.array(order)), row[order]
+        self.node = flat.field("node").to_numpy()
+        self.x, self.y = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("cx", "cy"))
+        self.size = pc.fill_null(pc.list_value_length(flat.field("path")), 0).to_numpy()
+        self.steps = flat.field("path").flatten().to_numpy()
+        self.first = np.cumsum(self.size) - self.size
+        (self.inputs, self.n), (self.labels, self.m) = ((own, np.bincount(row[own], minlength=len(pages))) for own in (np.flatnonzero(flat.field(c).to_numpy(zero_copy_only=False)) for c in ("is_input", "is_label")))
+        self.row = row
+
+    def costs(self, a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
+        cost = np.minimum(np.hypot(self.x[a] - self.x[b], self.y[a] - self.y[b]), most)
+        same, shorter = np.zeros(len(a), np.int64), np.minimum(self.size[a], self.size[b])
+        live = np.flatnonzero(shorter > 0)
+        while len(live):
+            live = live[self.steps[self.first[a[live]] + same[live]] == self.steps[self.first[b[live]] + same[live]]]
+            same[live] += 1
+            live = live[same[live] < shorter[live]]
+        return cost + np.log1p(np.where(same > 0, self.size[a] + self.size[b] - 2 * same, 1_000_000))
+
+    def paired(self, most: float) -> np.ndarray:
+        """For each input the label it gets, -1 for none; pages are taken together up to PAIRS pairs, a larger page by itself."""
+        out = np.full(len(self.inputs), -1)
+        at, begin = np.cumsum(self.n) - self.n, np.cumsum(self.m) - self.m
+        page = self.row[self.inputs]
+        many = self.m[page]  # labels on the input's page
+        full = np.flatnonzero((self.n > 0) & (self.m > 0))
+        stops = np.cumsum(self.n[full] * self.m[full])
+        i = 0
+        while i < len(full):
+            z = max(i + 1, int(np.searchsorted(stops, (stops[i - 1] if i else 0) + PAIRS, "right")))
+            rows = np.arange(at[full[i]], at[full[z - 1]] + self.n[full[z - 1]])
+            rows = rows[many[rows] > 0]
+            step = max(1, PAIRS // int(many[rows[0]])) if z == i + 1 else len(rows)
+            parts = []
+            for few in (rows[k : k + step] for k in range(0, len(rows), step)):
+                a, size = np.repeat(few, many[few]), many[few]
+                b = np.arange(len(a)) + np.repeat(begin[page[few]] - np.cumsum(size) + size, size)
+                parts.append(self.costs(self.inputs[a], self.labels[b], most))
+            costs, used = np.concatenate(parts), 0
+            for k in full[i:z].tolist():
+                n, m = int(self.n[k]), int(self.m[k])
+                cost = costs[used : used + n * m].reshape(n, m)
+                pair = _solved(cost)
+                pair[(pair >= 0) & (cost[np.arange(n), np.maximum(pair, 0)] >= 2 * most)] = -1
+                out[at[k] : at[k] + n] = np.where(pair >= 0, self.labels[begin[k] + np.maximum(pair, 0)], -1)
+                used += n * m
+            i = z
+        return out
+
+
 def paired_labels(nodes: DataFrame, page: str, most: float = 500.0) -> DataFrame:
     """page, input and label (null for none): each page's inputs and labels in an assignment of least total cost.
 
@@ -363,28 +468,13 @@ def paired_labels(nodes: DataFrame, page: str, most: float = 500.0) -> DataFrame
     """
     kind = dict(nodes.dtypes)[page]
 
-    def pairs(own: list) -> list[tuple[int, int | None]]:
-        own = sorted(own, key=lambda n: n["node"])
-        a, b = [n for n in own if n["is_input"]], [n for n in own if n["is_label"]]
-        pair = np.full(len(a), -1)
-        if a and b:
-            at = lambda side, c: np.array([n[c] for n in side], float)
-            cost = np.minimum(np.hypot(at(a, "cx")[:, None] - at(b, "cx"), at(a, "cy")[:, None] - at(b, "cy")), most)
-            for i, j in itertools.product(range(len(a)), range(len(b))):
-                p, q = a[i]["path"], b[j]["path"]
-                same = next((k for k, (x, y) in enumerate(zip(p, q, strict=False)) if x != y), min(len(p), len(q)))
-                cost[i, j] += np.log1p(len(p) + len(q) - 2 * same if same else 1_000_000)
-            pair = assignment(cost)
-            pair[(pair >= 0) & (cost[np.arange(len(a)), np.maximum(pair, 0)] >= 2 * most)] = -1
-        return [(a[i]["node"], b[j]["node"] if j >= 0 else None) for i, j in enumerate(pair.tolist())]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = [(k, *x) for k, own in zip(f[page], f["own"], strict=True) for x in pairs(list(own))]
-            table = pd.DataFrame(out, columns=[page, "input", "label"])
-            table["label"] = table["label"].astype("Int64")
-            yield table
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = _Nodes(batch["own"])
+            pair = own.paired(most)
+            label = pa.array(own.node[np.maximum(pair, 0)], pa.int64(), mask=pair < 0)
+            yield pa.RecordBatch.from_arrays([batch[page].take(pa.array(own.row[own.inputs])), pa.array(own.node[own.inputs], pa.int64()), label], names=[page, "input", "label"])
 
     cx, cy = centre(F.col("box"))
     rows = nodes.where("is_input or is_label").select(page, F.struct(F.col("node").cast("long").alias("node"), "is_input", "is_label", cx.alias("cx"), cy.alias("cy"), "path").alias("n"))
-    return rows.groupBy(page).agg(F.collect_list("n").alias("own")).mapInPandas(run, f"`{page}` {kind}, input long, label long")
+    return rows.groupBy(page).agg(F.collect_list("n").alias("own")).mapInArrow(run, f"`{page}` {kind}, input long, label long")

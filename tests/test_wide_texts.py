@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkloom.functions import identity, text
-from sparkloom.operators import detectors, lexicon
+from sparkloom.operators import detectors, lexicon, trees
 from sparkloom.sources import warc
 
 
@@ -75,3 +76,27 @@ def test_places_of_a_text_that_is_full_of_terms_are_sent_on_in_between():
     assert max(x.num_rows for x in got) <= lexicon.BATCH and len(got) == 5
     found = pa.Table.from_batches(got)
     assert found.num_rows == 90_001 and found.slice(90_000).to_pylist() == [{"k": 9, "term": 3, "start": 1, "stop": 2}]
+
+
+def test_labels_are_paired_as_page_by_page(spark):
+    """Costs of many pages at once and assignments in lists give what a matrix a page gives, for any mix of pages."""
+    rng = random.Random(5)
+    nodes = []
+    for page in range(300):
+        for node in rng.sample(range(50), rng.choice([0, 1, 2, 5, 9, 40])):
+            kind = rng.random()
+            nodes.append((f"p{page}", node, kind < 0.5, 0.4 < kind < 0.9, (rng.choice([0.0, 30.0, 700.0]), rng.uniform(0, 90), 0.0, 0.0), [rng.randint(0, 1) for _ in range(rng.randint(0, 4))]))
+    frame = spark.createDataFrame(nodes, "page string, node int, is_input boolean, is_label boolean, box struct<x: double, y: double, w: double, h: double>, path array<int>")
+    want = set()
+    for page in {n[0] for n in nodes}:
+        a, b = (sorted((n for n in nodes if n[0] == page and n[side]), key=lambda n: n[1]) for side in (2, 3))
+        cost = np.zeros((len(a), len(b)))
+        for i, j in np.ndindex(*cost.shape):
+            (x, y, w, h), (u, v, *_), p, q = a[i][4], b[j][4], a[i][5], b[j][5]
+            same = next((k for k, (s, t) in enumerate(zip(p, q, strict=False)) if s != t), min(len(p), len(q)))
+            cost[i, j] = min(np.hypot(x - u, y - v), 500.0) + np.log1p(len(p) + len(q) - 2 * same if same else 1_000_000)
+        pair = trees.assignment(cost) if a and b else np.full(len(a), -1)
+        want |= {(page, n[1], b[j][1] if j >= 0 and cost[i, j] < 1000 else None) for i, (n, j) in enumerate(zip(a, pair.tolist(), strict=True))}
+    got = trees.paired_labels(frame, "page")
+    assert "InPandas" not in plan_of(got)
+    assert {tuple(r) for r in got.collect()} == want
