@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sparkloom.operators import aggregates, sequences
@@ -65,3 +66,39 @@ def test_signatures_are_forgotten(spark, tmp_path):
     state.seen_set(source(spark, tmp_path / "in", [(2, 2, "other", "x")], schema, 1, 1), *args)
     state.seen_set(source(spark, tmp_path / "in", [(3, 3, "s", "x")], schema, 1, 1), *args)
     assert table.read().where("sig = 's'").first()["kept_id"] == 3
+
+
+def test_a_new_signature_costs_the_state_three_calls():
+    calls = []
+
+    class Held:
+        def __init__(self):
+            self.rows = {}
+
+        def __getattr__(self, name):
+            raise AssertionError(f"{name} is a call too many")
+
+        def get(self):
+            calls.append("get")
+            return self.rows.get(None)
+
+        def update(self, row):
+            calls.append("update")
+            self.rows[None] = row
+
+        def getValue(self, key):
+            calls.append("getValue")
+            return self.rows.get(key)
+
+        def updateValue(self, key, row):
+            calls.append("updateValue")
+            self.rows[key] = row
+
+    seen = state.Seen(None)
+    seen.counts, seen.kept = Held(), Held()
+    take = lambda *rows: next(seen.handleInputRows(("s",), iter([pd.DataFrame(rows, columns=["arrival", "id", "url", "n"])]), None)).to_dict("records")
+    assert take((5, 50, "x", 2)) == [{"sig": "s", "kept_id": 50, "url": "x", "n_rows": 2, "n_exact": 1, "n_signature": 0}]
+    assert len(calls) == 3
+    assert take((6, 60, "y", 3), (7, 70, "x", 1)) == [{"sig": "s", "kept_id": 50, "url": "x", "n_rows": 6, "n_exact": 2, "n_signature": 3}]
+    assert take((1, 10, "y", 1)) == [{"sig": "s", "kept_id": 10, "url": "y", "n_rows": 7, "n_exact": 3, "n_signature": 3}]
+    assert take((2, 20, "z", 4)) == [{"sig": "s", "kept_id": 10, "url": "y", "n_rows": 11, "n_exact": 3, "n_signature": 7}]
