@@ -340,6 +340,54 @@ def test_samples_do_not_depend_on_their_batch():
     assert len(keys) == 4 and all(0 <= x <= 1 for x in keys)
 
 
+def spread(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyzé日", k=rng.randrange(1, 12))) for _ in range(n))
+
+
+def as_lists(found):
+    return [[(ids.tolist(), total, share) for ids, total, share in x] for x in found]
+
+
+def test_words_kept_from_other_batches_change_no_sample(monkeypatch):
+    m = segmentations.SubwordModel(vocabulary("piece_bpe_32k.model"))
+    texts, seeds = [spread(1, 60), "  odd  spaces ", spread(2, 300), "\x00é▁ ▁"], np.arange(4)
+    want = as_lists(segmentations.sample_batch(m, texts, seeds, 4))
+    states, steps = m.lattices.states, m.lattices.steps
+    assert states == sum(map(len, {w for t in texts for w in m.words(t)}))
+    assert as_lists(segmentations.sample_batch(m, texts, seeds, 4)) == want
+    assert (m.lattices.states, m.lattices.steps) == (states, steps)  # the same words are not laid out again
+    segmentations.sample_batch(m, [spread(3, 500)], np.arange(1), 4)
+    assert m.lattices.states > states
+    assert as_lists(segmentations.sample_batch(m, texts, seeds, 4)) == want
+    monkeypatch.setattr(segmentations, "MOST_STATES", 10)
+    assert as_lists(segmentations.sample_batch(m, texts[::-1], seeds[::-1], 4))[::-1] == want
+    assert m.lattices.states == states
+
+
+def test_words_walked_alone_and_together_are_the_same(monkeypatch):
+    m = segmentations.SubwordModel(vocabulary("piece_bpe_32k.model"), 0.2)
+    texts, seeds = [spread(4, 100), "日x" * 300, "\x00\x01" * 40, "y" * 2000], np.arange(4)
+    got = []
+    for few in (0, 8, 10**6):
+        monkeypatch.setattr(segmentations, "FEW", few)
+        got.append(as_lists(segmentations.sample_batch(m, texts, seeds, 4)))
+    assert got[0] == got[1] == got[2]
+
+
+def test_open_nodes_are_looked_at_only_where_they_can_be_taken(monkeypatch):
+    m = segmentations.SubwordModel(vocabulary("piece_bpe_32k.model"))
+    texts, seeds = [spread(n, n) for n in (1, 2, 3, 10, 40, 200, 6000)], np.arange(7)
+    keys, plain = [], segmentations.lowered
+    monkeypatch.setattr(segmentations, "lowered", lambda limit, loc, u: keys.append(np.size(u)) or plain(limit, loc, u))
+    got = [as_lists(segmentations.sample_batch(m, texts, seeds, k)) for k in (1, 4, 30)]
+    few = sum(keys)
+    segmentations.sample_batch(m, texts[-1:], seeds[-1:], 4)
+    assert sum(keys) - few < 1000  # of 4 walks over 6000 words
+    monkeypatch.setattr(segmentations, "HEAD", 10**6)  # every open node of every walk
+    assert [as_lists(segmentations.sample_batch(m, texts, seeds, k)) for k in (1, 4, 30)] == got
+
+
 @pytest.mark.parametrize("local", [0, 20, 10**6])
 def test_components(spark, local):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (100, 102), (7, 7)]
